@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, neardup, secrets
+from . import bpe, chat, linededup, neardup, packing, secrets
 from .common import ship_package, table
 
 
@@ -15,6 +15,18 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary is installed; the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.with_crc(packed)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -31,6 +43,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    back = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = chat.END + chat.START + "assistant ok"
@@ -50,7 +71,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeated_windows(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
-_QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op4_secret_scan, op9_chat_format, op10_line_dedup)}
+_QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_cost_packing, op4_secret_scan, op5_bpe_codec, op9_chat_format, op10_line_dedup)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
