@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, linededup, neardup, packing, secrets
-from .common import ship_package, table
+from . import bpe, chat, imi, langid, linededup, media, neardup, packing, secrets, toxicity
+from .common import fold, ship_package, table
 
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(packed)
 
 
+def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imi.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -52,6 +56,22 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held)
+    got = toxicity.score(docs, model)
+    return got.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_texts(media.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
+    return langid.identify(docs, ~held).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = chat.END + chat.START + "assistant ok"
@@ -71,7 +91,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeated_windows(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
-_QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_cost_packing, op4_secret_scan, op5_bpe_codec, op9_chat_format, op10_line_dedup)}
+_QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_cost_packing, op3_inverted_multi_index, op4_secret_scan, op5_bpe_codec, op6_toxicity, op7_media_columns, op8_language_id, op9_chat_format, op10_line_dedup)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
