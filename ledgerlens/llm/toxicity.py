@@ -1,14 +1,15 @@
 """Toxicity scores by weak supervision.
 
 1. On a bounded sample of labelled texts, words and word edges (prefixes and suffixes of 4 to 6 letters)
-   that toxic texts hold more often than chance are found by a binomial tail test with Bonferroni's
-   correction over all that were tried.
+   that toxic texts hold more often than chance are found by a binomial tail test, with Benjamini and
+   Hochberg's false-discovery control over all that were tried.
 2. They are dealt into lexicon voters (words) and pattern voters (edges); the given label is one more,
    fallible, voter.  A generative model fits each voter's rates of voting on toxic and on clean texts by
    EM.  Voters that agree beyond what the label explains share their weight: a voter's evidence is
    divided by one plus its positive conditional correlations with the others of its kind.
 3. A linear classifier (logistic regression on the presence of words and edges) is trained on the
-   posterior labels.  A word that occurs often counts once, so a text's length does not move its score.
+   posterior labels; its bias is then set where the two classes part best.  A word that occurs often
+   counts once, so a text's length does not move its score.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import Scratch, ship_package
 
 SAMPLE = 8000  # labelled texts learned from, those of least hashed id
 EDGES = (4, 5, 6)
+FEATURES = 20_000  # candidates for the lexicon that the driver gets at most, the most frequent ones
 VOTERS = 8  # of each kind
 _WORD = re.compile(r"\w+")
 
@@ -45,17 +47,16 @@ def _log_tail(n: int, k: int, p: float) -> float:
     return top + log(sum(exp(lf(i) - top) for i in range(k, min(n, k + 200) + 1)))
 
 
-def significant(texts: list[set[str]], toxic: np.ndarray, level: float = 0.05) -> list[str]:
-    """Features that toxic texts hold beyond chance and that are mostly held by toxic texts."""
-    count, hits = Counter(), Counter()
-    for f, y in zip(texts, toxic):
-        count.update(f)
-        if y:
-            hits.update(f)
-    p = min(max(float(toxic.mean()), 1e-6), 1 - 1e-6)
-    bar = log(level / max(1, len(count)))
-    out = [f for f, k in hits.items() if k >= 3 and 2 * k >= count[f] and _log_tail(count[f], k, p) < bar]
-    return sorted(out, key=lambda f: (-hits[f], f))
+def text_features(text: str | None) -> set[str]:
+    return {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}
+
+
+def significant(counts: list[tuple[str, int, int]], share: float, tried: int, rate: float = 0.05, precision: float = 0.9) -> list[str]:
+    """Of (feature, texts, toxic texts), those that toxic texts hold beyond chance and nearly only they."""
+    p = min(max(share, 1e-6), 1 - 1e-6)
+    fit_ = sorted((_log_tail(n, k, p), -k, f) for f, n, k in counts if k >= 3 and k >= precision * n)
+    last = max((i for i, (q, _, _) in enumerate(fit_, 1) if q <= log(rate * i / max(1, tried))), default=0)
+    return [f for _, _, f in sorted(fit_[:last], key=lambda x: (x[1], x[2]))]
 
 
 def label_model(votes: np.ndarray, label: np.ndarray, kind: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,6 +102,23 @@ def logistic(rows: list[list[int]], n: int, y: np.ndarray, l2: float = 0.02, rou
     return w, float(b)
 
 
+def boundary(z: np.ndarray, y: np.ndarray) -> float:
+    """The place among scores z with the least sum of both classes' error rates, in the middle of its gap;
+    of equally good places the one in the widest gap."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order] >= 0.5
+    if y.all() or not y.any():
+        return 0.0
+    missed = np.cumsum(y) / y.sum()
+    wrong = (np.sum(~y) - np.cumsum(~y)) / np.sum(~y)
+    gap = np.append(np.diff(z), 0.0)
+    errors = np.where(gap > 1e-9, missed + wrong, np.inf)
+    if not np.isfinite(errors).any():
+        return 0.0
+    i = max(np.flatnonzero(errors <= errors.min() + 1e-12), key=lambda i: gap[i])
+    return float((z[i] + z[i + 1]) / 2)
+
+
 class Model:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
@@ -120,14 +138,11 @@ class Model:
         return 1 / (1 + exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(texts: list[str | None], toxic: list[int]) -> Model:
-    if not texts:
+def fit(rows: list[list[int]], toxic: list[int], lexicon: list[str]) -> Model:
+    """A model from texts given as places in ``lexicon``, with their labels."""
+    if not rows:
         return Model({}, -30.0)
     label = np.array(toxic, dtype=float)
-    sets = [{f for w in set(_WORD.findall((t or "").lower())) for f in word_features(w)} for t in texts]
-    lexicon = significant(sets, label)
-    at = {f: i for i, f in enumerate(lexicon)}
-    rows = [sorted(at[f] for f in s if f in at) for s in sets]
     pattern = np.array([f.startswith("-") or f.endswith("-") for f in lexicon], dtype=bool)
     # Dealt in turn by frequency, so that voters of a kind are of like strength.
     voter = np.zeros(len(lexicon), dtype=int)
@@ -139,16 +154,63 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
         votes[r, voter[ids]] = 1
     post, _, _ = label_model(votes, label, np.repeat([0, 1], VOTERS))
     w, b = logistic(rows, len(lexicon), post)
-    return Model({f: float(w[i]) for f, i in at.items()}, b)
+    b -= boundary(np.array([w[r].sum() + b for r in rows]), post)
+    return Model({f: float(w[i]) for i, f in enumerate(lexicon)}, b)
+
 
+def _count(batches, texts_at_once=300):
+    """(f, n, k): texts and toxic texts of some hundred rows that hold each feature."""
+    n, k, held = Counter(), Counter(), 0
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col="doc_id", text_col="text", label_col="toxic", *, sample: int = SAMPLE) -> Model:
-    """A model fitted on at most ``sample`` labelled rows that ``learn``, a condition on the id, lets through."""
-    chosen = labels.filter(learn & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__tx_id")).agg(F.max(label_col).alias("__tx_y"))
+    def rows():
+        names = list(n)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array([n[f] for f in names], pa.int64()), pa.array([k[f] for f in names], pa.int64())], names=["f", "n", "k"]
+        )
+
+    for rb in batches:
+        for text, y in zip(rb.column(1), rb.column(2)):
+            found = text_features(text.as_py())
+            n.update(found)
+            if y.as_py() == 1:
+                k.update(found)
+            held += 1
+            if held == texts_at_once or len(n) > 400_000:
+                yield rows()
+                n, k, held = Counter(), Counter(), 0
+    if n:
+        yield rows()
+
+
+def _hold(batches, lexicon):
+    at = {f: i for i, f in enumerate(lexicon)}
+    for rb in batches:
+        found = [sorted(at[f] for f in text_features(t.as_py()) if f in at) for t in rb.column(1)]
+        yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "held"])
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, learn: Column, id_col="doc_id", text_col="text", label_col="toxic", *, sample: int = SAMPLE, features: int = FEATURES
+) -> Model:
+    """A model fitted on at most ``sample`` labelled rows that ``learn``, a condition on the id, lets through.
+
+    Counting features runs on the executors; the driver gets at most ``features`` counts and, for each
+    text of the sample, its places in the lexicon.  No labels: a model that calls nothing toxic.
+    """
+    ship_package(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    chosen = labels.filter(learn & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__tx_id")).agg(F.max(label_col).cast("int").alias("__tx_y"))
     chosen = chosen.orderBy(F.xxhash64("__tx_id"), "__tx_id").limit(sample)  # the bound of the broadcast
-    got = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__tx_id"]).select("__tx_id", F.col(text_col).alias("t"), "__tx_y")
-    rows = sorted(got.collect(), key=lambda r: (r[0], r[1] or ""))
-    return fit([r[1] for r in rows], [int(r[2] == 1) for r in rows])
+    own = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__tx_id"])
+    own = scratch.keep(own.select(F.col("__tx_id").cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.col("__tx_y").alias("y")), "sample")
+    counts = scratch.keep(own.mapInArrow(_count, "f string, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "counts")
+    share = own.agg(F.avg(F.when(F.col("y") == 1, 1.0).otherwise(0.0))).first()[0]
+    top = counts.filter("k >= 3 and 2 * k >= n").orderBy(F.desc("k"), "f").limit(features).collect()
+    lexicon = significant([tuple(r) for r in top], share or 0.0, counts.count())
+    rows = own.mapInArrow(lambda it: _hold(it, lexicon), "id long, y int, held array<int>").collect()
+    rows.sort(key=lambda r: (r[0], r[2]))
+    scratch.drop(own, counts)
+    return fit([r[2] for r in rows], [int(r[1] == 1) for r in rows], lexicon)
 
 
 def _score(batches, model):
