@@ -154,7 +154,7 @@ def _predict(batches, net):
             doc = np.repeat(np.arange(len(part)), [len(g) for g in grids])
             p = net.predict(np.concatenate(grids)) if len(doc) else np.empty((0, len(net.langs)))
             mean = np.stack([np.bincount(doc, weights=p[:, k], minlength=len(part)) for k in range(len(net.langs))], axis=1)
-            mean /= np.maximum(np.bincount(doc, minlength=len(part)), 1)[:, None]
+            mean = mean / np.maximum(np.bincount(doc, minlength=len(part)), 1)[:, None]
             best = mean.argmax(axis=1)
             langs = [net.langs[b] if s else NO_LANGUAGE for b, s in zip(best, some)]
             score = [float(min(1.0, mean[k, b])) if s else 0.0 for k, (b, s) in enumerate(zip(best, some))]
