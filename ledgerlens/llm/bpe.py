@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import ship_package
 from .pretok import batches_of, pieces
 
-CACHE_PIECES = 300_000  # the bound of a worker's cache; it starts anew beyond
+CACHE_PIECES = 400_000  # the bound of a worker's cache
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -80,35 +81,61 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Places(dict):
+    """piece -> place; an unseen piece gets the next place and is noted in ``new``."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        at = self[piece] = len(self)
+        self.new.append(piece)
+        return at
+
+
 class PieceTable:
-    """Ids of pieces, merged once each.  ``encode_new`` gets the unseen pieces of a batch together."""
+    """Ids of pieces, merged once each.  ``encode_new`` gets the unseen pieces of a batch together.
+
+    Beyond ``most`` pieces, those looked up once only go, and of the others the least used half.
+    """
 
     def __init__(self, encode_new: Callable[[list[str]], list[list[int]]], most: int = CACHE_PIECES):
         self.encode_new, self.most = encode_new, most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.start, self.size = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.at = _Places()
+        self.start, self.size, self.uses = (np.zeros(1024, dtype=np.int64) for _ in range(3))
         self.flat, self.used = np.zeros(4096, dtype=np.int32), 0
 
+    def _shrink(self) -> None:
+        uses = self.uses[: len(self.at)]
+        keep = np.flatnonzero(uses > max(1, np.partition(uses, len(uses) - self.most // 2)[len(uses) - self.most // 2] - 1))
+        if len(keep) > self.most // 2:
+            keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[: self.most // 2]])
+        words = list(self.at)
+        size = self.size[keep]
+        where = np.repeat(self.start[keep] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        self.flat, self.used = self.flat[where], int(size.sum())
+        self.at = _Places((words[i], n) for n, i in enumerate(keep.tolist()))
+        self.start, self.size, self.uses = np.cumsum(size) - size, size, uses[keep] // 2
+
     def ids(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in order, ids per piece)."""
         if len(self.at) > self.most:
-            self._clear()
-        new = [p for p in dict.fromkeys(batch) if p not in self.at]
-        if new:
+            self._shrink()
+        n = len(self.at)
+        which = np.fromiter(map(self.at.__getitem__, batch), dtype=np.int64, count=len(batch))
+        if new := self.at.new:
             got = self.encode_new(new)
-            n, sizes = len(self.at), np.array([len(g) for g in got], dtype=np.int64)
-            self.at.update(zip(new, range(n, n + len(new))))
-            total = int(sizes.sum())
-            self.start, self.size = (self._room(a, n + len(new)) for a in (self.start, self.size))
+            sizes = np.array([len(g) for g in got], dtype=np.int64)
+            total, full = int(sizes.sum()), n + len(new)
+            self.start, self.size, self.uses = (self._room(a, full) for a in (self.start, self.size, self.uses))
             self.flat = self._room(self.flat, self.used + total)
-            self.start[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.size[n : n + len(new)] = sizes
-            self.flat[self.used : self.used + total] = np.fromiter((i for g in got for i in g), dtype=np.int32, count=total)
+            self.start[n:full] = self.used + np.cumsum(sizes) - sizes
+            self.size[n:full], self.uses[n:full] = sizes, 0
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), dtype=np.int32, count=total)
             self.used += total
-        which = np.fromiter(map(self.at.__getitem__, batch), dtype=np.int64, count=len(batch))
+            self.at.new = []
+        self.uses[: len(self.at)] += np.bincount(which, minlength=len(self.at))
         size = self.size[which]
         where = np.repeat(self.start[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return self.flat[where], size
@@ -167,8 +194,11 @@ def _decode(batches, path):
     _, ranks = _table(path)
     by_id = {i: b for b, i in ranks.items()}
     for rb in batches:
-        done = [None if ids is None else b"".join(map(by_id.__getitem__, ids)) for ids in rb.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*[rb.column(k) for k in range(rb.num_columns)], pa.array(done, pa.binary())], names=[*rb.schema.names, "decoded"])
+        col = rb.column(1)
+        flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+        null = col.is_null().to_numpy(zero_copy_only=False)
+        done = [None if null[k] else b"".join(map(by_id.__getitem__, flat[ends[k] : ends[k + 1]].tolist())) for k in range(rb.num_rows)]
+        yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(done, pa.binary())], names=[*rb.schema.names, "decoded"])
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -21,6 +21,7 @@ def ship_package(spark: SparkSession) -> None:
     On a cluster the package is installed on each machine or shipped with --py-files; then this
     only adds a folder that the workers skip.
     """
+    bound_batches(spark)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -28,6 +29,17 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*parts, root])
 
 
+#: Rows that go to a Python worker at once: texts are large rows, and a batch is held whole on both sides.
+BATCH_ROWS = 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -85,8 +85,24 @@ def _symbols(cp: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return sym
 
 
+def _turns(sym: np.ndarray) -> np.ndarray:
+    """Places whose symbol may change the state: a repeated letter, number, sign or inner space does not,
+    unless an apostrophe stands at most three places before it."""
+    keep = np.ones(len(sym), dtype=bool)
+    keep[1:] = (sym[1:] != sym[:-1]) | ~np.isin(np.arange(N_SYM), (LETTER, NUMBER, OTHER, S_MID))[sym[1:]]
+    opens = np.flatnonzero((sym == S_OPEN2) | (sym == S_OPEN3))
+    for k in (1, 2, 3):
+        keep[np.minimum(opens + k, len(sym) - 1)] = True
+    return np.flatnonzero(keep)
+
+
 def _scan(sym: np.ndarray, width: int = 64) -> np.ndarray:
     """Where pieces start."""
+    turns = _turns(sym)
+    return turns[_marks(sym[turns], width)]
+
+
+def _marks(sym: np.ndarray, width: int) -> np.ndarray:
     n = len(sym)
     rows = -(-n // width)
     grid = np.full(rows * width, S_RESET, dtype=np.uint8)
@@ -118,7 +134,7 @@ def pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     borders = np.cumsum(lens + 1) - 1
-    starts = np.flatnonzero(_scan(_symbols(cp, borders)))
+    starts = _scan(_symbols(cp, borders))
     ends = np.append(starts[1:], len(cp))
     real = np.ones(len(cp), dtype=bool)
     real[borders] = False
