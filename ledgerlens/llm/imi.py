@@ -147,7 +147,7 @@ def search(
     for r in entries.groupBy("cell").count().collect():  # at most one row per cell
         sizes[r[0]] = r[1]
     total = int(sizes.sum())
-    wanted = int(np.ceil(visit * total))
+    wanted = min(total, max(int(np.ceil(visit * total)), k + 1))  # k others at least, where there are as many
     n_query = one.filter("is_query").count()
 
     queries = one.filter("is_query").select(F.col("vec_id").alias("query_id"), "vec")
