@@ -37,7 +37,7 @@ def load(spark: SparkSession, folder: str, fmt: str = "csv") -> dict[str, DataFr
 
 def concat(*frames: DataFrame) -> DataFrame:
     """All rows of all frames, columns matched by name, missing ones null."""
-    out = frames[0]
+    out = frames[0].select("*")
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out

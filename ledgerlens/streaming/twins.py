@@ -41,7 +41,7 @@ def distinct_transactions(stream: DataFrame, late: str = "1 day", id_col: str =
     return _timed(stream, ts, late).dropDuplicatesWithinWatermark([id_col])
 
 
-GAPS = T.StructType.fromDDL("account_id long, n long, min_gap_hrs double, mean_gap_hrs double")
+GAPS = "account_id long, n long, min_gap_hrs double, mean_gap_hrs double"
 
 
 def running_gaps(stream: DataFrame, key: str = KEY, ts: str = TS) -> DataFrame:
@@ -63,7 +63,7 @@ def running_gaps(stream: DataFrame, key: str = KEY, ts: str = TS) -> DataFrame:
         yield pd.DataFrame({key: [k[0]], "n": [n], "min_gap_hrs": [low], "mean_gap_hrs": [total / (n - 1) if n > 1 else None]})
 
     src = stream.select(key, F.col(ts).cast("timestamp").alias(ts))
-    return src.groupBy(key).applyInPandasWithState(step, GAPS, T.StructType.fromDDL("last long, n long, low double, total double"), "update", GroupStateTimeout.NoTimeout)
+    return src.groupBy(key).applyInPandasWithState(step, GAPS, "last long, n long, low double, total double", "update", GroupStateTimeout.NoTimeout)
 
 
 def upsert(target: str, keys: list[str]):
