@@ -2,12 +2,18 @@
 
 1. Texts with the same shingle set form a class; its smallest id stands for it from here on.
 2. Banded MinHash signatures put classes into buckets.  In a bucket, pairs are made star-wise: the
-   member of lowest rank is compared with all others.  Links contract components, and later rounds only
+   first member is compared with all others.  Links contract components, and later rounds only
    compare members of different components, so a bucket of many mutual copies never costs its square.
-   After ``star_rounds`` rounds all cross-component pairs that are left are made: nothing is capped.
+   For these, shingles that occur in one component only are counted out: with c of n shingles left, x and
+   y share at most min(c_x, c_y), which bounds their similarity.  Pairs whose bound is under the threshold
+   are not made, and the member with the largest c/n, the most central one, is the next star's centre.
+   After the star rounds all cross-component pairs that the bound allows are compared, bucket by bucket,
+   blocks of rows against blocks of rows: nothing is capped, and only what passes step 3 becomes a row.
 3. Each candidate's signatures are compared in batches.  With a uniform prior, the similarity's
    posterior after m matches among n is Beta(m+1, n-m+1); the pair is pruned once
    P(similarity >= threshold) falls below the miss probability divided by the number of batches.
+   In the last round a second bound follows that misses nothing: with shingles counted by hash into 512
+   cells, two sets share at most the sum of the lesser counts.
 4. Survivors are verified exactly on the full shingle sets (100 * |A n B| >= 100t * |A u B|).
 
 Shingles are compared by 64-bit hash, classes by a 128-bit digest of the set.
@@ -28,6 +34,7 @@ from .components import components
 from .shingles import hash_family, set_digest, shingle_set, signatures
 
 BANDS, ROWS, CHECKED = 48, 6, 128
+CELLS, BLOCK = 512, 512
 
 
 def prune_table(checked: int, batch: int, threshold: float, miss: float) -> list[int]:
@@ -83,6 +90,17 @@ def _sketch(batches, id_col, text_col, width):
             lo = hi
 
 
+def _members(batches, width):
+    """(label, id, s) for each shingle s of each text."""
+    for rb in batches:
+        for k in range(rb.num_rows):
+            s = shingle_set(rb.column(2)[k].as_py(), width)
+            for lo in range(0, len(s), 65536):
+                part = pa.array(s[lo : lo + 65536].view(np.int64))
+                same = [pa.array(np.full(len(part), rb.column(c)[k].as_py(), dtype=np.int64)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*same, part], names=["label", "id", "s"])
+
+
 def _bayes(batches, least, batch, percent):
     """Keeps the candidates (a, b) that no batch end prunes."""
     for rb in batches:
@@ -127,18 +145,112 @@ def _exact(batches, percent, width):
 
 
 def _verified(scratch, pairs, reps, texts, least, batch, percent, width):
-    """Links among candidate pairs (a, b): Bayesian pruning on signatures, then exact sets."""
-    sigs = lambda k: reps.select(F.col("id").alias(k), F.col("sig").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
-    cand = pairs.join(sigs("a"), "a").join(sigs("b"), "b")
-    alive = scratch.keep(cand.mapInArrow(lambda it: _bayes(it, least, batch, percent), "a long, b long"), "alive")
-    wanted = alive.select(F.col("a").alias("id")).unionByName(alive.select(F.col("b").alias("id"))).distinct()
-    own = scratch.keep(texts.join(wanted, "id", "left_semi"), "texts")
-    text = lambda k: own.select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
+    """Links among candidate pairs (a, b): Bayesian pruning if there are signatures, then exact sets."""
+    alive = pairs
+    if reps is not None:
+        sigs = lambda k: reps.select(F.col("id").alias(k), F.col("sig").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
+        cand = pairs.join(sigs("a"), "a").join(sigs("b"), "b")
+        alive = scratch.keep(cand.mapInArrow(lambda it: _bayes(it, least, batch, percent), "a long, b long"), "alive")
+    text = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
     links = scratch.keep(alive.join(text("a"), "a").join(text("b"), "b").mapInArrow(lambda it: _exact(it, percent, width), "a long, b long"), "links")
-    scratch.drop(alive, own)
+    if reps is not None:
+        scratch.drop(alive)
     return links
 
 
+def _cells(batches, width):
+    """(id, cells): counts of each text's shingles by hash, saturating at 65535 for "any number"."""
+    for rb in batches:
+        cells = [np.minimum(np.bincount(shingle_set(t.as_py(), width) % np.uint64(CELLS), minlength=CELLS), 65535).astype(np.uint16) for t in rb.column(1)]
+        yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([c.tobytes() for c in cells], pa.binary())], names=["id", "cells"])
+
+
+def _group_pairs(g: dict[str, np.ndarray], least, batch, percent):
+    """Pairs of one bucket's two blocks (or of one with itself) that the bounds and signatures let through."""
+    left = np.flatnonzero(g["block"] == g["i"][0])
+    same = g["i"][0] == g["j"][0]
+    right = left if same else np.flatnonzero(g["block"] == g["j"][0])
+    n, c, ids = g["n"], g["c"], g["id"]
+    for lo in range(0, len(left), 64):  # 64 rows against the other block at a time
+        u = left[lo : lo + 64]
+        shared = np.minimum(c[u][:, None], c[right][None, :])
+        ok = (g["label"][u][:, None] != g["label"][right][None, :]) & (100 * shared >= percent * (n[u][:, None] + n[right][None, :] - shared))
+        if same:
+            ok &= ids[u][:, None] < ids[right][None, :]
+        x, y = np.nonzero(ok)
+        x, y = u[x], right[y]
+        matches = np.zeros(len(x), dtype=np.int64)
+        for k, need in enumerate(least):
+            part = slice(k * batch, (k + 1) * batch)
+            matches += (g["sig"][x, part] == g["sig"][y, part]).sum(axis=1)
+            stay = matches >= need
+            x, y, matches = x[stay], y[stay], matches[stay]
+        a, b = g["cells"][x], g["cells"][y]
+        both = np.where((a == 65535) & (b == 65535), 1 << 40, np.minimum(a, b)).sum(axis=1)
+        stay = 100 * both >= percent * (n[x] + n[y] - both)
+        x, y = x[stay], y[stay]
+        # A pair meets in several buckets; that of its first common band reports it.
+        first = (g["bands"][x] == g["bands"][y]).argmax(axis=1)
+        stay = g["bands"][x, first] == g["key"][0]
+        yield np.minimum(ids[x[stay]], ids[y[stay]]), np.maximum(ids[x[stay]], ids[y[stay]])
+
+
+def _pairs_by_group(batches, least, batch, percent):
+    """Runs ``_group_pairs`` over rows sorted by (key, i, j); a group is two blocks of rows at most."""
+    held: list[pa.RecordBatch] = []
+
+    def done(table: pa.Table):
+        g = {k: table.column(k).to_numpy() for k in ("key", "i", "j", "block", "id", "label", "n", "c")}
+        for k, kind in (("sig", np.uint16), ("cells", np.uint16)):
+            g[k] = np.frombuffer(b"".join(table.column(k).to_pylist()), dtype=kind).reshape(len(table), -1)
+        g["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        new = np.flatnonzero((np.diff(g["key"]) != 0) | (np.diff(g["i"]) != 0) | (np.diff(g["j"]) != 0)) + 1
+        for lo, hi in zip(np.append(0, new), np.append(new, len(table))):
+            if hi - lo > 1:
+                for a, b in _group_pairs({k: v[lo:hi] for k, v in g.items()}, least, batch, percent):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for rb in batches:
+        if not rb.num_rows:
+            continue
+        # The last group of a batch may go on in the next one.
+        mark = [rb.column(k).to_numpy() for k in ("key", "i", "j")]
+        last = np.flatnonzero((mark[0] != mark[0][-1]) | (mark[1] != mark[1][-1]) | (mark[2] != mark[2][-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut or held and any(held[-1].column(k)[-1].as_py() != m[0] for k, m in zip(("key", "i", "j"), mark)):
+            yield from done(pa.Table.from_batches([*held, rb.slice(0, cut)]))
+            held = []
+        held.append(rb.slice(cut))
+    if held:
+        yield from done(pa.Table.from_batches(held))
+
+
+def _rest(named, reps, pool, least, batch, percent, width):
+    """Candidates (a, b) across components, from all buckets that are still open."""
+    g = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
+    blocks = g.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+    rows = named.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "label", "n", "c")
+    cells = pool.join(named.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(lambda it: _cells(it, width), "id long, cells binary")
+    rows = rows.join(reps.select("id", "sig", "bands"), "id").join(cells, "id")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(lambda it: _pairs_by_group(it, least, batch, percent), "a long, b long")
+
+
+def _reaches(shared, n, m, percent):
+    """Whether sets of n and m members with at most ``shared`` in common can reach the threshold."""
+    return 100 * shared >= percent * (n + m - shared)
+
+
+def _shared(rows, reps):
+    """(id, n, c) of the members of open buckets: c counts shingles that occur in two components or more."""
+    across = rows.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("s")
+    counted = rows.join(across, "s", "left_semi").groupBy("id").agg(F.count("*").alias("c"))
+    return rows.select("id").distinct().join(reps.select("id", "n"), "id").join(counted, "id", "left").select("id", "n", F.coalesce("c", F.lit(0)).alias("c"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, width: int = 5, miss: float = 1e-4, batch: int = 16, star_rounds: int = 2
 ) -> DataFrame:
@@ -169,9 +281,11 @@ def near_duplicates(
     rows = reps.select("id", F.explode("bands").alias("key"))
     busy = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
     buckets = scratch.keep(rows.join(busy, "key"), "buckets")
-    texts = src.filter("id is not null")
+    # The texts of all that share a bucket: one pass over the documents, read by every later step.
+    pool = scratch.keep(src.join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "pool")
     least = prune_table(CHECKED, batch, percent / 100, miss)
-    verify = lambda pairs: _verified(scratch, pairs, reps.select("id", "n", "sig"), texts, least, batch, percent, width)
+    sketches = reps.select("id", "n", "sig")
+    verify = lambda pairs, prune=True: _verified(scratch, pairs, sketches if prune else None, pool, least, batch, percent, width)
 
     pairs = scratch.keep(buckets.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = verify(pairs)
@@ -180,36 +294,33 @@ def near_duplicates(
     for turn in range(2, star_rounds + 2):
         # Members by component; a bucket within one component is finished.
         named = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        groups = named.groupBy("key", "label").agg(F.min("id").alias("low"))
-        open_ = groups.groupBy("key").agg(F.count("*").alias("c"), F.min("low").alias("hub")).filter("c > 1")
-        named = scratch.keep(named.join(open_.select("key"), "key"), "open")
+        several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+        named = scratch.keep(named.join(several, "key"), "open")
         if named.isEmpty():
             break
+        rows = named.select("id", "label").distinct().join(pool, "id").select("label", "id", "text")
+        rows = scratch.keep(rows.mapInArrow(lambda it: _members(it, width), "label long, id long, s long"), "shingles")
+        shared = scratch.keep(_shared(rows, reps), "shared")
+        scratch.drop(rows)
+        named = named.join(shared, "id")
+        small = named.groupBy("key").agg(F.min("n").alias("least"))
+        named = scratch.keep(
+            named.join(small, "key").filter(_reaches(F.col("c"), F.col("n"), F.greatest("least", "c"), percent)).drop("least"), "reach"
+        )
         if turn <= star_rounds:
-            # The lowest member outside the first hub's component becomes the hub of this round.
-            first = named.groupBy("key").agg(F.min("id").alias("h"))
-            lead = first.join(labels, first.h == labels.id, "left").select("key", F.coalesce("label", "h").alias("lead"))
-            hub = (
-                named.join(lead, "key").filter("label <> lead").groupBy("key").agg(F.min(F.struct("id", "label")).alias("m"))
-                .select("key", F.col("m.id").alias("hub"), F.col("m.label").alias("hub_label"))
-            )
-            new = named.join(hub, "key").filter("label <> hub_label").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+            hub = named.groupBy("key").agg(F.max(F.struct(F.col("c") / F.col("n"), -F.col("id"), "label", "n", "c")).alias("h"))
+            hub = hub.select("key", (-F.col("h.col2")).alias("hub"), F.col("h.label").alias("hl"), F.col("h.n").alias("hn"), F.col("h.c").alias("hc"))
+            new = named.join(hub, "key").filter("label <> hl").filter(_reaches(F.least("c", "hc"), F.col("n"), F.col("hn"), percent))
+            new = new.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
         else:
-            # Every pair across components, made from the few components of each bucket.
-            g = named.groupBy("key", "label").agg(F.lit(1).alias("one")).drop("one")
-            sides = g.join(g.withColumnRenamed("label", "other"), "key").filter("label < other")
-            new = (
-                sides.join(named.withColumnRenamed("id", "x"), ["key", "label"])
-                .join(named.select("key", F.col("label").alias("other"), F.col("id").alias("y")), ["key", "other"])
-                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            )
+            new = _rest(named, reps, pool, least, batch, percent, width)
         fresh = scratch.keep(new.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        more = verify(fresh)
+        more = verify(fresh, turn <= star_rounds)
         links = labels.select(F.col("label").alias("a"), F.col("id").alias("b")).unionByName(more)
-        old, labels = labels, components(scratch, links, "a", "b")
-        scratch.drop(named, more)
+        labels = components(scratch, links, "a", "b")
+        scratch.drop(named, shared, more)
         done = done.unionByName(fresh)
-    scratch.drop(buckets, reps)
+    scratch.drop(buckets, reps, pool)
 
     out = (
         sketch.select("id", "n", "d1", "d2")
