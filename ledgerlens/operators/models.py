@@ -135,7 +135,13 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 1
     The rows grown on are at most trees * sample / 4, those of least hashed key, which bounds what the driver gets.
     """
     x = df.select(key, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x"))
-    pool = np.array([r[0] for r in x.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(max(sample, trees * sample // 4)).select("x").collect()])
+    most = max(sample, trees * sample // 4)
+    total, h = x.count(), F.xxhash64(F.col(key), F.lit(seed))
+    if total > 2 * most:  # leaves about twice the bound in all, however many partitions send their least ones
+        near = x.filter(F.pmod(h, F.lit(1 << 40)) < F.lit(int(2 * most / total * (1 << 40))))
+    else:
+        near = x
+    pool = np.array([r[0] for r in near.orderBy(h, key).limit(most).select("x").collect()])
     if not len(pool):
         return df.select(key, F.lit(0.0).alias("score"))
     rng = np.random.default_rng(seed)

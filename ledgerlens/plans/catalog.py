@@ -859,3 +859,116 @@ def regex_captions(spark, sf_dir):
 @query("""SELECT page_id, base64(encode(url)) AS url64, CASE lower(list_last(string_split(url, '.'))) WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'gif' THEN 'image/gif' WHEN 'svg' THEN 'image/svg+xml' ELSE 'application/octet-stream' END AS mime FROM pages""")
 def base64_mime(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.base64("url").alias("url64"), text.mime_type(F.col("url")).alias("mime"))
+
+
+# --- further variants ---------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {ACCOUNTS_T} SELECT branch_code, count(*) AS n, CAST(sum(is_mule) AS BIGINT) AS n_positive, sum(is_mule) / count(*) AS rate, CAST(sum(is_mule) / count(*) > 0.1 AS INT) AS high_risk FROM acct GROUP BY 1 HAVING count(*) >= 3"""
+)
+def branch_scatter(spark, sf_dir):
+    """Branch size against rate, with the overlay of risky ones: the data of a scatter plot."""
+    return profile.rate_by_group(accounts_t(spark, sf_dir), "branch_code", "is_mule", 3, "branch_code").withColumn("high_risk", (F.col("rate") > 0.1).cast("int"))
+
+
+@query(
+    f"""WITH {SCORED}, b AS (SELECT y, CAST(least(floor((score - (SELECT min(score) FROM s)) / (((SELECT max(score) FROM s) - (SELECT min(score) FROM s)) / 16)), 15) AS INT) AS bin FROM s),
+c AS (SELECT y, bin, count(*) AS n FROM b GROUP BY 1, 2)
+SELECT y, bin, n, round(n / (sum(n) OVER (PARTITION BY y) * (((SELECT max(score) FROM s) - (SELECT min(score) FROM s)) / 16)), 6) AS density FROM c"""
+)
+def score_histogram(spark, sf_dir):
+    return rounded(profile.histogram(scored(spark, sf_dir), "score", 16, "y"), "density")
+
+
+@query(
+    f"""WITH {SCORED}, f AS (SELECT *, account_id % 5 AS fold FROM s), r AS (SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY score) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2 AS rk FROM f),
+g AS (SELECT fold, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0, sum(rk) FILTER (y = 1) AS r1 FROM r GROUP BY 1), a AS (SELECT (r1 - n1 * (n1 + 1) / 2) / (n1 * n0) AS auc FROM g)
+SELECT round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS std FROM a"""
+)
+def fold_auc_summary(spark, sf_dir):
+    """Mean and population deviation of the folds' AUCs."""
+    s = scored(spark, sf_dir)
+    parts = [stats.roc_auc(s.filter(F.col("account_id") % 5 == k), "score", "y") for k in range(5)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounded(stats.fold_summary(out, "auc"), "mean", "std")
+
+
+@query("SELECT b, corr FROM (" + " UNION ALL ".join(f"SELECT '{b}' AS b, round(corr(l_extendedprice, {b}), 6) AS corr FROM lineitem" for b in ("l_quantity", "l_discount", "l_tax")) + ") ORDER BY abs(corr) DESC LIMIT 2")
+def target_correlation(spark, sf_dir):
+    """Correlations with one column, strongest first."""
+    c = profile.correlations(read(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount", "l_tax"])
+    own = c.filter("a = 'l_extendedprice' and b <> 'l_extendedprice'").select("b", X.r6(F.col("corr")).alias("corr"))
+    return own.orderBy(F.abs("corr").desc(), "b").limit(2)
+
+
+@query(
+    """WITH k AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), b AS (SELECT l_orderkey, l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
+SELECT count(*) AS n, sum(q) AS quantity FROM b JOIN k USING (l_orderkey, l_suppkey)"""
+)
+def dedup_join(spark, sf_dir):
+    """A join on two keys to a side without repeats."""
+    li = read(spark, sf_dir, "lineitem")
+    b = li.groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    return b.join(li.select("l_orderkey", "l_suppkey").dropDuplicates(), ["l_orderkey", "l_suppkey"]).agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("quantity"))
+
+
+@query(
+    """SELECT o_custkey AS account_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3"""
+)
+def top_orders(spark, sf_dir):
+    """The three largest per account; the rank limit is applied before the shuffle too."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    o = read(spark, sf_dir, "orders").withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
+    return o.select(F.col("o_custkey").alias("account_id"), "o_orderkey", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_totals(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), X.exact_sum(F.col("l_extendedprice")).alias("total"))
+
+
+@query()
+def feature_importance(spark, sf_dir):
+    _, importance = models.cross_validated(_numeric(spark, sf_dir), "account_id", "is_mule", _FEATURES, k=2, kinds=("boosted",))
+    return spark.createDataFrame(importance, "feature string, importance double")
+
+
+@query()
+def permutation_importance(spark, sf_dir):
+    """Loss of AUC of a simple score when one of its columns is shuffled."""
+    df = scored(spark, sf_dir).withColumn("noise", (F.col("account_id") % 17).cast("double"))
+    loss = models.permutation_importance(
+        df, lambda d: d.withColumn("s", F.col("score") + F.col("noise") / 1000), ["score", "noise"], "y", lambda d: stats.roc_auc(d, "s", "y").first().auc
+    )
+    return spark.createDataFrame(sorted(loss.items()), "feature string, auc_loss double")
+
+
+@query()
+def noise_sensitivity(spark, sf_dir):
+    """AUC with all positive labels, and without those of one kind (here every third positive)."""
+    df, rows = _numeric(spark, sf_dir), []
+    for name, part in (("all", df), ("without", df.filter("is_mule = 0 or account_id % 3 <> 0"))):
+        scores, _ = models.cross_validated(part, "account_id", "is_mule", _FEATURES, k=2, kinds=("forest",))
+        rows.append((name, float(stats.roc_auc(scores, "score_forest", "is_mule").first().auc)))
+    return spark.createDataFrame(rows, "labels string, auc double")
+
+
+@query()
+def stacked_scores(spark, sf_dir):
+    """Trees with the isolation forest's score as one more feature."""
+    df = _numeric(spark, sf_dir)
+    iso = models.isolation_scores(df, "account_id", _FEATURES, trees=50).withColumnRenamed("score", "isolation")
+    scores, _ = models.cross_validated(df.join(iso, "account_id"), "account_id", "is_mule", [*_FEATURES, "isolation"], k=2, kinds=("forest",))
+    return scores
+
+
+@query()
+def numbered_tables(spark, sf_dir):
+    """Tables of Markdown-like texts, numbered within their sections."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return text.numbered_tables(lines.withColumn("line", F.when(F.col("line").contains(" | "), F.concat(F.lit("| "), "line")).otherwise(F.col("line"))))
