@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship_package
-from .pretok import batches_of, pieces
+from .pretok import batches_of, distinct_pieces
 
 CACHE_PIECES = 400_000  # the bound of a worker's cache
 
@@ -95,12 +95,13 @@ class _Places(dict):
 
 
 class PieceTable:
-    """Ids of pieces, merged once each.  ``encode_new`` gets the unseen pieces of a batch together.
+    """Ids of pieces, merged once each.  ``encode_new`` gets the unseen pieces of a batch together and gives
+    the order in which it took them, all their ids, and the number of ids of each.
 
     Beyond ``most`` pieces, those looked up once only go, and of the others the least used half.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], list[list[int]]], most: int = CACHE_PIECES):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = CACHE_PIECES):
         self.encode_new, self.most = encode_new, most
         self.at = _Places()
         self.start, self.size, self.uses = (np.zeros(1024, dtype=np.int64) for _ in range(3))
@@ -118,23 +119,23 @@ class PieceTable:
         self.at = _Places((words[i], n) for n, i in enumerate(keep.tolist()))
         self.start, self.size, self.uses = np.cumsum(size) - size, size, uses[keep] // 2
 
-    def ids(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces in order, ids per piece)."""
+    def ids(self, distinct: list[str], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in order, ids per piece); ``which`` tells the distinct piece at each place."""
         if len(self.at) > self.most:
             self._shrink()
         n = len(self.at)
-        which = np.fromiter(map(self.at.__getitem__, batch), dtype=np.int64, count=len(batch))
+        places = np.fromiter(map(self.at.__getitem__, distinct), dtype=np.int64, count=len(distinct))
         if new := self.at.new:
-            got = self.encode_new(new)
-            sizes = np.array([len(g) for g in got], dtype=np.int64)
-            total, full = int(sizes.sum()), n + len(new)
+            order, flat, sizes = self.encode_new(new)
+            full = n + len(new)
             self.start, self.size, self.uses = (self._room(a, full) for a in (self.start, self.size, self.uses))
-            self.flat = self._room(self.flat, self.used + total)
-            self.start[n:full] = self.used + np.cumsum(sizes) - sizes
-            self.size[n:full], self.uses[n:full] = sizes, 0
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), dtype=np.int32, count=total)
-            self.used += total
+            self.flat = self._room(self.flat, self.used + len(flat))
+            self.start[n + order] = self.used + np.cumsum(sizes) - sizes
+            self.size[n + order], self.uses[n:full] = sizes, 0
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
             self.at.new = []
+        which = places[which]
         self.uses[: len(self.at)] += np.bincount(which, minlength=len(self.at))
         size = self.size[which]
         where = np.repeat(self.start[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -151,7 +152,13 @@ _tables: dict[str, tuple[PieceTable, dict[bytes, int]]] = {}
 def _table(path: str) -> tuple[PieceTable, dict[bytes, int]]:
     if path not in _tables:
         ranks = read_ranks(path)
-        _tables[path] = PieceTable(lambda new: [merge(p.encode("utf-8", "surrogatepass"), ranks) for p in new]), ranks
+
+        def encode_new(new: list[str]):
+            got = [merge(p.encode("utf-8", "surrogatepass"), ranks) for p in new]
+            sizes = np.array([len(g) for g in got], dtype=np.int64)
+            return np.arange(len(new)), np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(sizes.sum())), sizes
+
+        _tables[path] = PieceTable(encode_new), ranks
     return _tables[path]
 
 
@@ -164,10 +171,9 @@ def _encode(batches, path):
     for rb in batches:
         texts = rb.column(1).to_pylist()
         for lo, hi, part in batches_of(texts):
-            own, per_text, at = pieces(part)
-            ids, size = known.ids(own)
-            doc = np.repeat(np.arange(hi - lo), per_text)
-            tokens = np.bincount(doc, weights=size, minlength=hi - lo).astype(np.int64)
+            own, which, per_text, at = distinct_pieces(part)
+            ids, size = known.ids(own, which)
+            tokens = np.diff(np.append(0, np.append(0, np.cumsum(size))[np.cumsum(per_text)]))
             # Offsets: the code point at which each token's piece starts.
             offsets = np.repeat(at, size).astype(np.int32)
             yield pa.RecordBatch.from_arrays(

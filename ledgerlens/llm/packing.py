@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bpe import PieceTable
 from .common import ship_package
-from .pretok import batches_of, pieces
+from .pretok import batches_of, distinct_pieces
 
 SCHEMA = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 _tables: dict[str, PieceTable] = {}
@@ -36,10 +37,38 @@ def _table(path: str) -> PieceTable:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tables[path] = PieceTable(lambda new: [e.ids for e in t.encode_batch_fast(new, add_special_tokens=False)])
+        _tables[path] = PieceTable(_Encoder(t))
     return _tables[path]
 
 
+class _Encoder:
+    """Ids of pieces by the tokenizers library.
+
+    Pieces that are a blank and letters part again when they stand one after the other, so a hundred of
+    them are one call; the ids are dealt back by the bytes they stand for.  Other pieces go one by one.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        vocab = tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for token, i in vocab.items():
+            self.n_bytes[i] = len(token)  # one character of a token's name is one byte
+
+    def __call__(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        grouped = np.fromiter((p[0] == " " and p[1:].isalpha() for p in new), dtype=bool, count=len(new))
+        many, single = np.flatnonzero(grouped), np.flatnonzero(~grouped)
+        words = [new[k] for k in many.tolist()]
+        joined = ["".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+        encode = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(encode(joined)), dtype=np.int32)
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), dtype=np.int64, count=len(words)))
+        cuts = np.searchsorted(np.cumsum(self.n_bytes[flat]), ends) + 1
+        rest = encode([new[k] for k in single.tolist()])
+        sizes = np.append(np.diff(np.append(0, cuts)), np.array([len(x) for x in rest], dtype=np.int64))
+        return np.append(many, single), np.append(flat, np.fromiter(chain.from_iterable(rest), dtype=np.int32)), sizes.astype(np.int64)
+
+
 def cost(n: int, linear: float = 1.0, quadratic: float = 1 / 1024) -> float:
     return linear * n + quadratic * n * n
 
@@ -132,10 +161,10 @@ def _pack(batches, path, length, end_id, block_docs, linear, quadratic):
 
     for rb in batches:
         doc_ids = rb.column(0).to_pylist()
-        for lo, hi, part in batches_of(rb.column(1).to_pylist()):
-            own, per_text, _ = pieces(part)
-            ids, per_piece = known.ids(own)
-            ends = np.cumsum(np.bincount(np.repeat(np.arange(hi - lo), per_text), weights=per_piece, minlength=hi - lo).astype(np.int64))
+        for lo, hi, part in batches_of(rb.column(1).to_pylist(), 2_000_000):
+            own, which, per_text, _ = distinct_pieces(part)
+            ids, per_piece = known.ids(own, which)
+            ends = np.append(0, np.cumsum(per_piece))[np.cumsum(per_text)]
             for k in range(hi - lo):
                 held_ids.append(doc_ids[lo + k])
                 held.append(np.append(ids[ends[k - 1] if k else 0 : ends[k]], np.int32(end_id)))

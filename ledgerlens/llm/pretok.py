@@ -128,8 +128,8 @@ def _marks(sym: np.ndarray, width: int) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(pieces of all texts in order, pieces per text, start of each piece in its text in code points)."""
+def _bounds(texts: list[str]):
+    """(joined text, its code points, starts, ends, pieces per text, starts in their own texts)."""
     joined = "\0".join(texts) + "\0"
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lens = np.array([len(t) for t in texts], dtype=np.int64)
@@ -140,9 +140,54 @@ def pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     real[borders] = False
     keep = real[starts]
     starts, ends = starts[keep], ends[keep]
-    doc = np.searchsorted(borders, starts)
-    out = [joined[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
-    return out, np.bincount(doc, minlength=len(texts)), starts - (borders - lens)[doc]
+    counts = np.diff(np.append(0, np.searchsorted(starts, borders)))
+    return joined, cp, starts, ends, counts, starts - np.repeat(borders - lens, counts)
+
+
+def pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(pieces of all texts in order, pieces per text, start of each piece in its text in code points)."""
+    joined, _, starts, ends, counts, at = _bounds(texts)
+    return [joined[i:j] for i, j in zip(starts.tolist(), ends.tolist())], counts, at
+
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+_powers = [np.ones(1, dtype=np.uint64)] * 2
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, b, dtype=np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers
+
+
+def distinct_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct pieces, which of them stands at each place, pieces per text, starts in their texts).
+
+    Pieces are grouped by a polynomial hash taken from prefix sums, and every member of a group is then
+    compared with the group's first one, code point by code point; only distinct pieces become strings.
+    """
+    joined, cp, starts, ends, counts, at = _bounds(texts)
+    if not len(starts):
+        return [], np.zeros(0, dtype=np.int64), counts, at
+    power, inverse = (t[: len(cp) + 1] for t in _power_tables(len(cp) + 1))
+    v = (cp.astype(np.uint64) + np.uint64(0x51)) * np.uint64(0xD6E8FEB86659FD93)
+    v ^= v >> np.uint64(32)
+    sums = np.zeros(len(cp) + 1, dtype=np.uint64)
+    np.cumsum(v * power[:-1], out=sums[1:])
+    size = ends - starts
+    key = (sums[ends] - sums[starts]) * inverse[starts] + size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    shift = np.repeat(starts[first][which] - starts, size)
+    place = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    if (size[first][which] == size).all() and (cp[place] == cp[place + shift]).all():
+        own = [joined[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())]
+        return own, which, counts, at
+    own = [joined[i:j] for i, j in zip(starts.tolist(), ends.tolist())]  # two pieces of one hash: take all as they are
+    return own, np.arange(len(own)), counts, at
 
 
 def batches_of(texts: list[str | None], most: int = 1_000_000):

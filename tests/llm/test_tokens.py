@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import regex
 
@@ -65,6 +66,45 @@ def test_encode_decode_query(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_grouped_encoding_equals_single(spark, sf):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path(JSON))
+    t.encode_special_tokens = True
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + HARD + [" ñandú 漢字かな ᾳxyz héé αβγ", " é ́a"]
+    own = list(dict.fromkeys(pretok.pieces(texts)[0]))
+    order, flat, sizes = packing._Encoder(t)(own)
+    ends = sizes.cumsum()
+    got = {int(k): flat[e - n : e].tolist() for k, e, n in zip(order, ends, sizes)}
+    assert got == {k: t.encode(p, add_special_tokens=False).ids for k, p in enumerate(own)}
+
+
+def test_distinct_pieces_stand_for_all():
+    texts = HARD + fuzz() + ["", "a b a b a b"]
+    own, which, counts, at = pretok.distinct_pieces(texts)
+    plain, plain_counts, plain_at = pretok.pieces(texts)
+    assert [own[k] for k in which] == plain and len(set(own)) == len(own)
+    assert (counts == plain_counts).all() and (at == plain_at).all()
+    assert pretok.distinct_pieces(["", ""])[0] == []
+
+
+def test_cache_keeps_what_is_used():
+    ranks = bpe.read_ranks(P.path(RANKS))
+
+    def encode_new(new):
+        got = [bpe.merge(p.encode(), ranks) for p in new]
+        return np.arange(len(new)), np.array([i for g in got for i in g], dtype=np.int32), np.array([len(g) for g in got])
+
+    table = bpe.PieceTable(encode_new, most=50)
+    for turn in range(20):
+        words = [f" w{turn}x{k}" for k in range(30)] + [" the", " and"] * 3
+        own = list(dict.fromkeys(words))
+        flat, size = table.ids(own, np.array([own.index(w) for w in words]))
+        assert flat.tolist() == [i for w in words for i in bpe.merge(w.encode(), ranks)] and size.sum() == len(flat)
+        assert len(table.at) <= 50 + 32
+    assert " the" in table.at
+
+
 def test_assign_fills_sequences():
     rng = random.Random(2)
     for _ in range(30):
