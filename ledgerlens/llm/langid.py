@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import least_hashed, ship_package
 
 CLASSES, WIDTHS, WINDOW = 49, (2, 3, 4, 5), 256
 PAD, REST = 48, 47
@@ -123,11 +123,12 @@ class Network:
 
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, *, sample: int = SAMPLE, per_text: int = 3, seed: int = 3) -> Network | None:
     """A network fitted on at most ``sample`` labelled texts, ``per_text`` windows of each; None without labels."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    rows = labelled.filter(F.col(lang_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     # Windows are cut on the executors, so that long texts do not come to the driver.
     at = F.transform(F.sequence(F.lit(0), F.lit(per_text - 1)), lambda k: F.pmod(F.xxhash64("i", k), F.greatest(F.lit(1), F.length("t") - WINDOW + 1)) + 1)
-    cut = rows.select("l", F.xxhash64("i").alias("h"), "i", F.transform(at, lambda a: F.substring(F.col("t"), a.cast("int"), F.lit(WINDOW))).alias("w"))
-    got = cut.orderBy("h", "i", "l").limit(sample).collect()
+    chosen = least_hashed(rows.select("i", "l"), ["i", "l"], sample).distinct()  # the bound of the broadcast
+    cut = rows.join(F.broadcast(chosen), ["i", "l"]).select("l", "i", F.transform(at, lambda a: F.substring(F.col("t"), a.cast("int"), F.lit(WINDOW))).alias("w"))
+    got = sorted(cut.dropDuplicates(["i", "l"]).collect(), key=lambda r: (str(r.i), r.l, r.w))
     if not got:
         return None
     langs = sorted({r.l for r in got})
