@@ -39,13 +39,31 @@ MIXED = ("mixed", _UP + _LOW + _DIG + "+/-_")
 BINS = 3000
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+SPANS = "array<struct<start:int,kind:int,end:int,text:string>>"
+CHUNK = 256
+
+
 def _places(text: Column, pattern: str, kind: int) -> Column:
     """Structs (start, kind, end, text) of all matches: lengths of the parts between them, summed up.
 
-    The running sum is an ``aggregate`` that appends; texts with a match are few, matches per text too.
+    Running sums are taken over chunks of matches: first each chunk's length, then where chunks start,
+    then the places within each.  Appending to an array copies it, so no array is appended to more than
+    some hundred times for a text of ten thousand matches.
     """
     found, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,text:string>>").alias("out"))
+    parts = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
+
+    def chunked(all_parts: Column) -> Column:
+        n = F.ceil(F.size(all_parts) / CHUNK).cast("int")
+        return F.transform(F.slice(F.sequence(F.lit(0), n), 1, n), lambda k: F.slice(all_parts, k * CHUNK + 1, F.lit(CHUNK)))
+
+    def length(chunk: Column) -> Column:
+        return F.aggregate(chunk, F.lit(0), lambda a, x: a + F.length(x["b"]) + F.length(x["m"]))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["b"])
@@ -53,13 +71,20 @@ def _places(text: Column, pattern: str, kind: int) -> Column:
         item = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("text"))
         return F.struct(end.alias("at"), F.array_append(acc["out"], item).alias("out"))
 
-    zipped = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    def placed(chunks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        firsts = F.aggregate(
+            F.transform(chunks, length), zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"]
+        )
+        within = lambda c, at: F.aggregate(c, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), step, lambda a: a["out"])
+        return F.flatten(F.zip_with(chunks, firsts, within))
+
+    return _let(parts, lambda p: _let(chunked(p), placed))
 
 
 def _maybe(text: Column, pattern: str, value: Column) -> Column:
     """The costly expression only where the pattern occurs at all."""
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,text:string>>")
+    none = F.array().cast(SPANS)
     return F.when(text.rlike(pattern), value).otherwise(none)
 
 
@@ -78,11 +103,6 @@ def _alphabet(token: Column) -> tuple[Column, Column]:
     return name, letters
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _battery(x: Column, s: Column, squares: Column) -> Column:
     """The combined p-value.  x: (core, letters); s: one pass over the symbols' places, see ``_sums``."""
     n, k = F.length(x["core"]).cast("double"), F.length(x["letters"]).cast("double")
