@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship_package
+from .common import Scratch, least_hashed, ship_package
 
 SAMPLE = 8192  # vectors that the codebooks are fitted on, those of least hashed id
 CENTROIDS = 64
@@ -126,7 +126,7 @@ def search(
     scratch = Scratch(spark)
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("is_query"))
     src = src.filter(usable(F.col("vec")) & F.col("vec_id").isNotNull())
-    fit = [r[0] for r in src.select("vec", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).collect()]
+    fit = [r[0] for r in least_hashed(src.select("vec", "vec_id"), ["vec_id"], sample).collect()]
     if not fit:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = pd.Series([len(v) for v in fit]).value_counts()
