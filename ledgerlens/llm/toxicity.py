@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship_package
+from .common import Scratch, least_hashed, ship_package
 
 SAMPLE = 8000  # labelled texts learned from, those of least hashed id
 EDGES = (4, 5, 6)
@@ -200,7 +200,7 @@ def train(
     ship_package(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     chosen = labels.filter(learn & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__tx_id")).agg(F.max(label_col).cast("int").alias("__tx_y"))
-    chosen = chosen.orderBy(F.xxhash64("__tx_id"), "__tx_id").limit(sample)  # the bound of the broadcast
+    chosen = least_hashed(chosen, ["__tx_id"], sample)  # the bound of the broadcast
     own = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__tx_id"])
     own = scratch.keep(own.select(F.col("__tx_id").cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.col("__tx_y").alias("y")), "sample")
     counts = scratch.keep(own.mapInArrow(_count, "f string, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "counts")
