@@ -106,7 +106,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: shipped(f) for name, f in _QUERIES.items()}
 
 
-#: Plain SQL for the two operators that SQL expresses whole.
+#: Plain SQL for the operators that SQL expresses whole.  Near-duplicates: all pairs with a common shingle.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                             lambda x: x <> '') AS ws FROM documents),
+l AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS shs FROM w),
+s AS MATERIALIZED (SELECT doc_id, len(shs) AS n, unnest(shs) AS sh FROM l),
+e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT a AS id, b AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT id, min(other) AS low FROM r GROUP BY id)
+SELECT doc_id, CAST(len(shs) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(low, doc_id)) AS kept FROM l LEFT JOIN c ON doc_id = id"""
+
 OP9_SQL = """
 WITH own AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -138,4 +152,4 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_minhash_neardup": OP1_SQL, "op9_chat_format": OP9_SQL, "op10_line_dedup": OP10_SQL}
