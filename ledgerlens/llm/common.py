@@ -61,13 +61,13 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{scratch_dir(spark)}/ledgerlens-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, str] = {}  # by number
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}-{next(_SEQ)}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[len(self.paths)] = path
         _LIVE[path] = (self.spark, path)
         out._scratch_path = path  # noqa: SLF001 - a handle for drop()
         return out
@@ -80,6 +80,14 @@ class Scratch:
                 _LIVE.pop(path, None)
 
 
+    def drop_all_but(self, *names: str) -> None:
+        """Deletes every table of this object but those kept under ``names``."""
+        for path in self.paths.values():
+            if path in _LIVE and path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in names:
+                _delete(self.spark, path)
+                _LIVE.pop(path, None)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

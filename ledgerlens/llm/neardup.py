@@ -34,7 +34,7 @@ from .components import components
 from .shingles import hash_family, set_digest, shingle_set, signatures
 
 BANDS, ROWS, CHECKED = 48, 6, 128
-CELLS, BLOCK = 512, 512
+CELLS, BLOCK, SALTS = 512, 512, 16
 
 
 def prune_table(checked: int, batch: int, threshold: float, miss: float) -> list[int]:
@@ -230,7 +230,10 @@ def _rest(named, reps, pool, least, batch, percent, width):
     """Candidates (a, b) across components, from all buckets that are still open."""
     g = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
     blocks = g.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-    rows = named.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    # Salted, so that a bucket with very many members is not one task's.
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = named.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(blocks, ["key", "salt"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "label", "n", "c")
     cells = pool.join(named.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(lambda it: _cells(it, width), "id long, cells binary")
@@ -278,6 +281,9 @@ def near_duplicates(
         .drop("d1", "d2"),
         "reps",
     )
+    # What the result needs of all rows; the wide sketches go.
+    members = scratch.keep(sketch.select("id", "n", "d1", "d2"), "members")
+    scratch.drop(sketch)
     rows = reps.select("id", F.explode("bands").alias("key"))
     busy = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
     buckets = scratch.keep(rows.join(busy, "key"), "buckets")
@@ -320,11 +326,10 @@ def near_duplicates(
         labels = components(scratch, links, "a", "b")
         scratch.drop(named, shared, more)
         done = done.unionByName(fresh)
-    scratch.drop(buckets, reps, pool)
+    scratch.drop_all_but("members", "classes", "small")  # what the result still reads
 
     out = (
-        sketch.select("id", "n", "d1", "d2")
-        .join(classes, ["d1", "d2"], "left")
+        members.join(classes, ["d1", "d2"], "left")
         .join(labels.withColumnRenamed("id", "rep"), "rep", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "id").alias("component_id"))
     )
