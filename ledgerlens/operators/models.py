@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stats
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -41,20 +42,44 @@ def _fit(kind: str, train: DataFrame, label: str, seed: int):
     return RandomForestClassifier(featuresCol="features", labelCol="__y", weightCol="__w", numTrees=30, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed).fit(rows)
 
 
+def _scored(model, df: DataFrame, name: str) -> DataFrame:
+    return model.transform(df).withColumn(name, F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+
+
+def best_score(scores: DataFrame, label: str, names: list[str]) -> str:
+    """The column of the highest AUC over the labelled rows; the first of equals."""
+    known = scores.filter(F.col(label).isNotNull())
+    auc = {c: stats.roc_auc(known, c, label).first().auc or 0.0 for c in names}
+    return max(names, key=auc.get)
+
+
 def cross_validated(df: DataFrame, key: str, label: str, columns: list[str], k: int = 5, seed: int = 42, kinds: tuple[str, ...] = ("boosted", "forest")):
-    """((key, label, fold, score per kind, score_ensemble) out of fold, importances of the first fold's first model)."""
-    data = assemble(stratified_folds(df, key, label, k, seed), columns).select(key, label, "fold", "features").cache()
-    out, importance = None, None
+    """((key, label, fold, score per kind, score_ensemble, chosen, score), importances of the first fold's first model).
+
+    Labelled rows are scored out of fold.  Rows with a null label are in no fold and train no model; each of
+    their scores is the mean over the models of all folds.  ``score`` is, for all rows, the column named in
+    ``chosen``: the mean of the kinds, unless one kind alone has the better AUC out of fold.
+    """
+    known = F.col(label).isNotNull()
+    dealt = stratified_folds(df, key, label, k, seed).withColumn("fold", F.when(known, F.col("fold")))
+    data = assemble(dealt, columns).select(key, label, "fold", "features").cache()
+    out, rest, importance = None, data.filter(~known), None
     for i in range(k):
         scored = data.filter(F.col("fold") == i)
         for kind in kinds:
             model = _fit(kind, data.filter(F.col("fold") != i), label, seed + i)
             if importance is None:
                 importance = sorted(zip(columns, model.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
-            scored = model.transform(scored).withColumn(f"score_{kind}", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+            scored, rest = _scored(model, scored, f"score_{kind}"), _scored(model, rest, f"__{kind}_{i}")
         out = scored if out is None else out.unionByName(scored)
+    rest = rest.select(key, label, "fold", "features", *[(sum((F.col(f"__{x}_{i}") for i in range(k)), F.lit(0.0)) / k).alias(f"score_{x}") for x in kinds])
     mean = sum((F.col(f"score_{x}") for x in kinds), F.lit(0.0)) / len(kinds)
-    return out.withColumn("score_ensemble", mean).drop("features"), importance
+    out = out.unionByName(rest).withColumn("score_ensemble", mean).drop("features")
+    chosen = "score_ensemble"
+    if len(kinds) > 1:
+        out = out.cache()
+        chosen = best_score(out, label, ["score_ensemble", *[f"score_{x}" for x in kinds]])
+    return out.withColumns({"chosen": F.lit(chosen.removeprefix("score_")), "score": F.col(chosen)}), importance
 
 
 def permutation_importance(scored: DataFrame, score_of, columns: list[str], label: str, auc, seed: int = 1) -> dict[str, float]:

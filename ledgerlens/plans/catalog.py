@@ -844,6 +844,14 @@ def gbt_scores(spark, sf_dir):
     return scores
 
 
+@query()
+def mule_predictions(spark, sf_dir):
+    """Accounts without a label (here every fifth): means over the folds' models, and the best of the three by AUC."""
+    df = _numeric(spark, sf_dir).withColumn("is_mule", F.when(F.col("account_id") % 5 != 0, F.col("is_mule")))
+    scores, _ = models.cross_validated(df, "account_id", "is_mule", _FEATURES)
+    return scores.filter("is_mule is null").drop("is_mule", "fold")
+
+
 @query(
     """SELECT doc_id, len(regexp_extract_all(text, '(?m)^[^\\n]*[0-9]+\\.[0-9]+[^\\n]*$')) AS n_numbered, length(regexp_replace(text, '[ \\t]+', ' ', 'g')) :: BIGINT AS squeezed_chars,
   replace(upper(lang), 'EN', 'English') AS language FROM documents"""

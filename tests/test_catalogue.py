@@ -87,6 +87,26 @@ def test_folds_cover_and_models_score(spark):
     assert out.orderBy(F.desc("score")).first().account_id == 9999
 
 
+def test_unlabelled_rows_get_the_mean_over_folds_and_the_best_score(spark):
+    rows = [(i, None if i % 5 == 0 else int(i % 4 == 0), float(i % 4 == 0) + (i % 7) / 10, float(i % 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "account_id long, is_mule int, a double, b double")
+    scores, _ = models.cross_validated(df, "account_id", "is_mule", ["a", "b"], k=2)
+    got, known = {r.account_id: r for r in scores.collect()}, df.filter("is_mule is not null")
+    assert len(got) == 400
+    without = models.cross_validated(known, "account_id", "is_mule", ["a", "b"], k=2)[0].collect()
+    assert len(without) == 320 and all(got[r.account_id] == r for r in without)  # unlabelled rows change no model
+    auc = {x: stats.roc_auc(scores.filter("is_mule is not null"), f"score_{x}", "is_mule").first().auc for x in ("ensemble", "boosted", "forest")}
+    for r in got.values():
+        assert r.chosen == max(auc, key=auc.get) and r.score == r[f"score_{r.chosen}"]
+        assert (r.fold is None) == (r.account_id % 5 == 0)
+    data = models.assemble(models.stratified_folds(known, "account_id", "is_mule", 2), ["a", "b"])
+    parts = [models._scored(models._fit("forest", data.filter(F.col("fold") != i), "is_mule", 42 + i), models.assemble(df, ["a", "b"]), "p") for i in range(2)]
+    mean = {r.account_id: r.p for r in parts[0].unionByName(parts[1]).filter("is_mule is null").groupBy("account_id").agg(F.avg("p").alias("p")).collect()}
+    assert mean.keys() == {i for i in got if i % 5 == 0} and all(got[i].score_forest == pytest.approx(p) for i, p in mean.items())
+    flip = scores.withColumn("bad", -F.col("score_boosted"))
+    assert models.best_score(flip, "is_mule", ["bad", "score_boosted"]) == "score_boosted"
+
+
 def test_library_runs_without_the_training_data_part(tmp_path):
     """The entry module imports, and lists its other queries, when the llm folder and the pipeline are gone."""
     root = os.path.dirname(os.path.abspath(entry.__file__))
