@@ -76,6 +76,34 @@ def test_pagerank_sums_to_one_and_components(spark):
     assert max(got, key=got.get) == 3 and got[0] == 0
 
 
+def test_betweenness_of_the_whole_graph(spark):
+    heavy = [(0, -i, 9.0) for i in range(1, 2101)]  # more edges than were once kept, all heavier than the rest
+    light = [(0, 1, 1.0), (1, 0, 1.0), (1, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)]
+    got = {r.node: r.betweenness for r in graph.betweenness(spark.createDataFrame(heavy + light, "src long, dst long, w double")).collect()}
+    assert got.keys() == {x for e in heavy + light for x in e[:2]} and got[0] > got[1] > got[2] > 0 == got[3]
+    pairs = [(1, 2), (2, 3), (3, 4), (4, 1), (4, 5), (5, 6), (6, 7), (5, 7), (10, 11), (11, 12), (13, 13)] + [(20 + i, 21 + i) for i in range(3)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        dist, paths, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for u in near[v]:
+                if u not in dist:
+                    dist[u], paths[u] = dist[v] + 1, 0
+                    order.append(u)
+                paths[u] += paths[v] * (dist[u] == dist[v] + 1)
+        owed = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            owed[v] = sum(paths[v] / paths[u] * (1 + owed[u]) for u in near[v] if dist[u] == dist[v] + 1)
+            want[v] += owed[v] * (v != s)
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, w double")
+    assert {r.node: r.betweenness for r in graph.betweenness(df).collect()} == pytest.approx(want)
+    assert graph.betweenness(df.filter("false")).count() == 0
+
+
 def test_folds_cover_and_models_score(spark):
     rows = [(i, i % 4 == 0, float(i % 4 == 0) + (i % 7) / 10, float(i % 5)) for i in range(400)]
     df = spark.createDataFrame(rows, "account_id long, y boolean, a double, b double").withColumn("is_mule", F.col("y").cast("int"))
