@@ -7,6 +7,7 @@ losslessly as 8-bit PCM samples.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from functools import cache
@@ -138,10 +139,23 @@ def _riff(b: memoryview, at: int) -> int | None:
     return end if {b"fmt ", b"data"} <= seen and p >= end else None
 
 
+#: What follows the end mark of a part that is not the last: linearized and updated files, and embedded ones.
+_PDF_GOES_ON = re.compile(rb"\s*(?:\d+\s+\d+\s+obj|xref|startxref|endstream)\b")
+
+
 def _pdf(b: memoryview, at: int) -> int | None:
-    raw = bytes(b[at:])
-    end = raw.find(b"%%EOF")
-    return at + end + 5 if end > 0 and b"startxref" in raw[:end] else None
+    raw, end, p = bytes(b[at:]), None, 0
+    while (mark := raw.find(b"%%EOF", p)) > 0:
+        if raw.find(b"startxref", p, mark) >= 0:
+            end = mark + 5
+        p = mark + 5
+        if not _PDF_GOES_ON.match(raw, p):
+            break
+    if end is None:
+        return None
+    while raw[end : end + 1] in (b"\r", b"\n"):
+        end += 1
+    return at + end
 
 
 def _zip(b: memoryview, at: int) -> int | None:

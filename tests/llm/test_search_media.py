@@ -111,6 +111,16 @@ def test_formats(kind):
     assert all(k != kind or n < len(data) for _, n, k in media.find_media(data[: len(data) // 2]))
 
 
+def test_pdf_goes_on_to_its_last_end_mark():
+    one = SAMPLES["application/pdf"] + b"\r\n"
+    update = one + b"2 0 obj\n<< >>\nendobj\nxref\n0 0\nstartxref\n60\n%%EOF\n"
+    holder = b"%PDF-1.7\n1 0 obj\nstream\n" + one + b"endstream\nendobj\nstartxref\n9\n%%EOF\n"
+    for data in (one, update, holder):
+        assert media.find_media(data) == [(0, len(data), "application/pdf")]
+        assert media.find_media(data + png() + data) == [(0, len(data), "application/pdf"), (len(data), len(png()), "image/png"), (len(data) + len(png()), len(data), "application/pdf")]
+        assert media.find_media(data + data) == [(0, len(data), "application/pdf"), (len(data), len(data), "application/pdf")]
+
+
 def test_sniff_corrects_and_carves(spark):
     rows = [(1, SAMPLES["image/png"], "image/jpeg"), (2, SAMPLES["image/gif"], "image/gif"), (3, b"RIFF BM GIF89a plain", "text/plain"), (4, None, None), (5, b"", "x"), (6, b"ab" + png() + gif(), None)]
     got = {r.k: r for r in media.sniff(spark.createDataFrame(rows, "k long, payload binary, declared string"), "k", "payload", "declared").collect()}
