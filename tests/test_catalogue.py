@@ -76,6 +76,13 @@ def test_pagerank_sums_to_one_and_components(spark):
     assert max(got, key=got.get) == 3 and got[0] == 0
 
 
+def test_labels_are_never_left_unsettled(spark):
+    line = spark.createDataFrame([(i, i + 1, 1.0) for i in range(9)], "src long, dst long, w double")
+    with pytest.raises(RuntimeError):
+        graph.label_propagation(line, max_rounds=1)
+    assert {r.label for r in graph.label_propagation(line).collect()} == {0}
+
+
 def test_betweenness_of_the_whole_graph(spark):
     heavy = [(0, -i, 9.0) for i in range(1, 2101)]  # more edges than were once kept, all heavier than the rest
     light = [(0, 1, 1.0), (1, 0, 1.0), (1, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)]
