@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from . import features, profile
+from . import features, profile, stats
 
 KEY, TS, AMT = "account_id", "transaction_timestamp", "amount"
 
@@ -14,10 +14,11 @@ KEY, TS, AMT = "account_id", "transaction_timestamp", "amount"
 def by_class(per_account: DataFrame, labels: DataFrame, measures: list[str], label: str = "is_mule") -> DataFrame:
     """(label, n_accounts, mean and median of each measure)"""
     j = per_account.join(labels.select(KEY, label), KEY)
-    aggs = [F.count(F.lit(1)).alias("n_accounts")]
+    out = j.groupBy(label).agg(F.count(F.lit(1)).alias("n_accounts"), *[F.avg(m).alias(f"mean_{m}") for m in measures])
     for m in measures:
-        aggs += [F.avg(m).alias(f"mean_{m}"), F.percentile(m, F.lit(0.5)).alias(f"median_{m}")]
-    return j.groupBy(label).agg(*aggs)
+        q = stats.quantiles(j, m, {f"median_{m}": 0.5}, [label]).withColumnRenamed(label, "__label")
+        out = out.join(q, out[label].eqNullSafe(q["__label"]), "left").drop("__label")
+    return out
 
 
 def dormancy(txn: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import stats
 
 
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
@@ -21,11 +22,18 @@ def crosstab(df: DataFrame, label: str, category: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(label)))
 
 
+QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+
+
 def class_summary(df: DataFrame, label: str, value: str) -> DataFrame:
+    """(label, n, mean, std, min, max, p25, median, p75, p95).
+
+    Two or three classes hold all rows, so moments are partial sums and quantiles come from ranges of values.
+    """
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.95)))
-    g = df.groupBy(label).agg(F.count(v).alias("n"), X.exact_mean(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("q"))
-    return g.select(label, "n", "mean", "std", "min", "max", *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("p25", "median", "p75", "p95"))])
+    g = df.groupBy(label).agg(F.count(v).alias("n"), X.exact_mean(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = stats.quantiles(df, value, QUARTILES, [label]).withColumnRenamed(label, "__label")
+    return g.join(q, g[label].eqNullSafe(q["__label"]), "left").drop("__label")
 
 
 def rate_by_group(df: DataFrame, group: str | Column, label: str, min_support: int = 0, name: str = "grp") -> DataFrame:
@@ -68,25 +76,26 @@ def histogram(df: DataFrame, value: str, bins: int, label: str | None = None) ->
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, and the furthest values within 1.5 interquartile ranges of them."""
-    v = F.col(value)
-    q = df.filter(v.isNotNull()).groupBy(group).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(group, *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("q1", "median", "q3"))])
+    v = F.col("v")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("__c"))
+    q = stats.quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group], counts)
     r = 1.5 * (F.col("q3") - F.col("q1"))
-    j = df.join(q, group)
+    j = counts.join(q, group)
     return j.groupBy(group, "q1", "median", "q3").agg(
         F.min(F.when(v >= F.col("q1") - r, v)).alias("low_whisker"), F.max(F.when(v <= F.col("q3") + r, v)).alias("high_whisker"),
-        F.count_if((v < F.col("q1") - r) | (v > F.col("q3") + r)).alias("n_outliers"),
+        F.coalesce(F.sum(F.when((v < F.col("q1") - r) | (v > F.col("q3") + r), F.col("__c"))), F.lit(0)).alias("n_outliers"),
     )
 
 
 def empirical_cdf(df: DataFrame, value: str, group: str) -> DataFrame:
     """(group, value, cdf): share of a group's values at most this one, per distinct value.
 
-    Counts per value are aggregated first, so the window runs over distinct values only.
+    Counts per value come first, and running sums go range by range, so no group is one task's work.
     """
-    n = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    up = Window.partitionBy(group).orderBy(value)
-    return n.select(group, value, (F.sum("n").over(up) / F.sum("n").over(Window.partitionBy(group))).alias("cdf"))
+    n = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy(group).agg(F.sum("n").alias("__t")).withColumnRenamed(group, "__g")
+    upto = stats.running(n, "v", {"__c": "n"}, [group])
+    return upto.join(total, upto[group].eqNullSafe(total["__g"])).select(group, F.col("v").alias(value), (F.col("__c") / F.col("__t")).alias("cdf"))
 
 
 def period_volume(df: DataFrame, ts: str, unit: str, label: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Tests and ranking metrics.  Statistics are exact; only p-values are computed on the driver.
 
 Rank statistics start from counts per distinct value, so windows never run over raw rows.  Their running
-sums need one order over all distinct values; ``running`` splits it by range, so that no task holds them all.
+sums need one order over all distinct values; ``running`` splits it by ranges whose bounds are read once, so that
+no task holds them all and every plan deals alike.
 """
 
 from __future__ import annotations
@@ -12,19 +13,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, str], parts: int = 64) -> DataFrame:
-    """Running totals ``sums`` = {new: source} over a global order, without one single window partition.
+def ranges(df: DataFrame, column: str, parts: int = 64) -> Column:
+    """The number, from 0, of the range of values that a row's ``column`` is in; about equally many rows in each.
 
-    Rows are dealt by ranges of the first order column; each range sums for itself and adds the total of
-    the ranges before it (a table of ``parts`` rows at most).  Order columns: plain or desc().
+    The bounds are approximate quantiles, read once (``parts`` values at most) and written into the
+    expression, so every plan that uses it deals rows alike, however often it is evaluated.
     """
-    dealt = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
-    totals = dealt.groupBy("__p").agg(*[F.sum(src).alias(f"__t_{new}") for new, src in sums.items()])
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("__p", *[F.coalesce(F.sum(f"__t_{new}").over(before), F.lit(0)).alias(f"__o_{new}") for new in sums])
-    up = Window.partitionBy("__p").orderBy(*order)
-    out = dealt.withColumns({new: F.sum(src).over(up) for new, src in sums.items()}).join(F.broadcast(offs), "__p")
-    return out.withColumns({new: F.col(new) + F.col(f"__o_{new}") for new in sums}).drop("__p", *[f"__o_{new}" for new in sums])
+    steps = [i / parts for i in range(1, parts)]
+    found = df.agg(F.percentile_approx(column, steps, 10_000)).first()[0] or []
+    bounds = sorted({b for b in found if b == b})  # NaN is above all bounds
+
+    def place(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(column) <= F.lit(bounds[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    return place(0, len(bounds))
+
+
+def running(df: DataFrame, by: str, sums: dict[str, str], within: list[str] | None = None, descending: bool = False, parts: int = 64) -> DataFrame:
+    """Running totals ``sums`` = {new: source} in the order of ``by``, for each group of ``within``.
+
+    ``by`` is not null and has one row per value and group.  Rows are dealt by ranges of it; each range
+    sums for itself and adds the total of the ranges before it (``parts`` rows a group at most), so no
+    group's order is one task's work.
+    """
+    keys = within or []
+    at = ranges(df, by, parts)
+    dealt = df.withColumn("__p", -at if descending else at)
+    totals = dealt.groupBy(*keys, "__p").agg(*[F.sum(src).alias(f"__t_{new}") for new, src in sums.items()])
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(*keys, "__p", *[F.coalesce(F.sum(f"__t_{new}").over(before), F.lit(0)).alias(f"__o_{new}") for new in sums])
+    offs = offs.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, "__p"]})
+    up = Window.partitionBy(*keys, "__p").orderBy(F.col(by).desc() if descending else F.col(by))
+    same = F.col("__p") == F.col("__k___p")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    out = dealt.withColumns({new: F.sum(src).over(up) for new, src in sums.items()}).join(offs if keys else F.broadcast(offs), same)
+    return out.withColumns({new: F.col(new) + F.col(f"__o_{new}") for new in sums}).drop("__p", "__k___p", *[f"__k_{k}" for k in keys], *[f"__o_{new}" for new in sums])
+
+
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """(within..., a column per name of ``probs``): exact, linearly interpolated quantiles of each group.
+
+    Starts from counts per distinct value and running sums by range, so that a group with most of the rows
+    is spread over all tasks.  Nulls do not count; a group of nulls alone gives no row.
+    """
+    if counts is None:
+        counts = df.filter(F.col(value).isNotNull()).groupBy(*within, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("__c"))
+    cum = running(counts, "v", {"__upto": "__c"}, within)
+    sizes = counts.groupBy(*within).agg(F.sum("__c").alias("__n")).withColumnsRenamed({k: f"__w_{k}" for k in within})
+    same = F.lit(True)
+    for k in within:
+        same &= F.col(k).eqNullSafe(F.col(f"__w_{k}"))
+    rows = cum.join(sizes, same)
+    place = {k: F.lit(p) * (F.col("__n") - 1) for k, p in probs.items()}
+    least = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("v")))  # noqa: E731 - the value at a rank from 0
+    g = rows.groupBy(*within).agg(F.first("__n").alias("__n"), *[least(f(at)).alias(f"__{x}_{k}") for k, at in place.items() for x, f in (("lo", F.floor), ("hi", F.ceil))])
+    part = {k: at - F.floor(at) for k, at in place.items()}
+    mixed = {k: F.when(part[k] == 0, F.col(f"__lo_{k}")).otherwise((1 - part[k]) * F.col(f"__lo_{k}") + part[k] * F.col(f"__hi_{k}")) for k in probs}
+    return g.select(*within, *[c.cast("double").alias(k) for k, c in mixed.items()])
 
 
 def class_counts(df: DataFrame, value: str, label: str) -> DataFrame:
@@ -38,7 +87,7 @@ def mann_whitney(df: DataFrame, value: str, label: str) -> DataFrame:
 
     ``effect`` is U / (n1 n0), the chance that a positive outranks a negative; rank-biserial is 2 effect - 1.
     """
-    c = running(class_counts(df, value, label), [F.col("v")], {"below": "n0"})
+    c = running(class_counts(df, value, label), "v", {"below": "n0", "upto": "n1"})  # both counts, so that the totals read the same exchange
     n = F.col("n1") + F.col("n0")
     g = c.agg(
         F.sum("n1").alias("n1"), F.sum("n0").alias("n0"),
@@ -63,7 +112,7 @@ def ks(df: DataFrame, value: str, label: str) -> DataFrame:
     """(n1, n0, ks): largest distance of the classes' distribution functions."""
     counts = class_counts(df, value, label)
     t = F.broadcast(counts.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0")))
-    c = running(counts, [F.col("v")], {"c1": "n1", "c0": "n0"}).crossJoin(t)
+    c = running(counts, "v", {"c1": "n1", "c0": "n0"}).crossJoin(t)
     return c.agg(F.first("t1").alias("n1"), F.first("t0").alias("n0"), F.max(F.abs(F.col("c1") / F.col("t1") - F.col("c0") / F.col("t0"))).alias("ks"))
 
 
@@ -75,25 +124,58 @@ def ks_p(n1: int, n0: int, d: float) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
 
 
+def _contingency(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _margins(cells: DataFrame) -> DataFrame:
+    """The occupied cells with their row's and column's totals and the table's size."""
+    rows, cols = cells.groupBy("a").agg(F.sum("n").alias("ra")), cells.groupBy("b").agg(F.sum("n").alias("cb"))
+    size = F.broadcast(rows.agg(F.sum("ra").alias("t"), F.count(F.lit(1)).alias("na")).crossJoin(cols.agg(F.count(F.lit(1)).alias("nb"))))  # one row
+    return cells.join(rows, "a").join(cols, "b").crossJoin(size)
+
+
 def chi_square(df: DataFrame, a: str, b: str, total: int | None = None) -> DataFrame:
     """(chi2, dof, n, cramers_v) of a contingency table without nulls; Yates' correction for 2 x 2.
 
+    From occupied cells alone: chi2 = t (sum of n^2 / (row total * column total) - 1).  A 2 x 2 table's four
+    cells all lie equally far from their expected counts, so |n - e| of one cell gives the correction.
     ``total``: divide V by this instead of the table's total.
     """
-    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    rows, cols = cells.groupBy("a").agg(F.sum("n").alias("ra")), cells.groupBy("b").agg(F.sum("n").alias("cb"))
-    size = F.broadcast(cells.agg(F.sum("n").alias("t"), F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb")))
-    grid = rows.crossJoin(cols).join(cells, ["a", "b"], "left").fillna(0, ["n"]).crossJoin(size)  # distinct values by distinct values
-    e = F.col("ra") * F.col("cb") / F.col("t")
-    off = F.abs(F.col("n") - e)
-    corrected = F.when((F.col("na") == 2) & (F.col("nb") == 2), off - F.least(F.lit(0.5), off)).otherwise(off)
-    g = grid.agg(F.sum(corrected * corrected / e).alias("chi2"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("t").alias("n"))
+    n, e, d = F.col("n"), F.col("ra").cast("double") * F.col("cb") / F.col("t"), lambda c: F.col(c).cast("double")
+    off = F.max(F.abs(n - e))
+    g = _margins(_contingency(df, a, b)).agg(
+        F.sum((n - e) * (n - e) / e).alias("seen"), F.sum(e).alias("covered"), off.alias("off"), F.first("t").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"),
+        F.first(d("ra") * (d("t") - d("ra")) / d("t") * d("cb") * (d("t") - d("cb"))).alias("spread"),
+    )
+    # An empty cell adds its expected count; all expected counts sum to the table's size.
+    plain = F.col("seen") + (F.col("n") - F.col("covered"))
+    corrected = F.col("off") - F.least(F.lit(0.5), F.col("off"))
+    # 2 x 2: sum of off^2 / e over the four cells is off^2 t^3 / (r1 r2 c1 c2).
+    yates = F.try_divide(corrected * corrected * d("n") * d("n"), F.col("spread"))
+    chi2 = F.when((F.col("na") == 2) & (F.col("nb") == 2), yates).otherwise(F.greatest(plain, F.lit(0.0)))
+    g = g.select(chi2.alias("chi2"), "n", "na", "nb")
     least = F.least(F.col("na"), F.col("nb")) - 1
     base = F.lit(total) if total else F.col("n")
     v = F.when(least > 0, F.sqrt(F.col("chi2") / (base * least)))
     return g.select("chi2", ((F.col("na") - 1) * (F.col("nb") - 1)).alias("dof"), "n", v.alias("cramers_v"))
 
 
+def expected_counts(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, n, expected) for every row value with every column value, empty cells too.
+
+    The table is as large as its result: row values times column values, of which the smaller list is sent
+    to every task by Spark's own size check.
+    """
+    cells = _contingency(df, a, b)
+    rows, cols = cells.groupBy("a").agg(F.sum("n").alias("ra")), cells.groupBy("b").agg(F.sum("n").alias("cb"))
+    size = F.broadcast(cells.agg(F.sum("n").alias("t")))  # one row
+    lists = cols.agg(F.collect_list(F.struct("b", "cb")).alias("l"))  # a category list, as the table's header
+    grid = rows.crossJoin(lists).select("a", "ra", F.explode("l").alias("c")).select("a", "ra", F.col("c.b").alias("b"), F.col("c.cb").alias("cb"))
+    out = grid.join(cells, ["a", "b"], "left").crossJoin(size)
+    return out.select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), (F.col("ra").cast("double") * F.col("cb") / F.col("t")).alias("expected"))
+
+
 def chi_square_p(chi2: float, dof: int) -> float:
     """Upper tail of chi-squared: the regularised upper incomplete gamma function."""
     a, x = dof / 2, chi2 / 2
@@ -139,15 +221,23 @@ def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr): calling positive what scores at least ``threshold``."""
     counts = class_counts(df, score, label)
     t = F.broadcast(counts.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0")))
-    c = running(counts, [F.col("v").desc()], {"tp": "n1", "fp": "n0"}).crossJoin(t)
+    c = running(counts, "v", {"tp": "n1", "fp": "n0"}, descending=True).crossJoin(t)
     return c.select(F.col("v").alias("threshold"), "tp", "fp", F.try_divide(F.col("tp"), F.col("t1")).alias("tpr"), F.try_divide(F.col("fp"), F.col("t0")).alias("fpr"))
 
 
+def pr_curve(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(threshold, tp, fp, precision, recall): calling positive what scores at least ``threshold``."""
+    counts = class_counts(df, score, label)
+    t = F.broadcast(counts.agg(F.sum("n1").alias("t1")))  # one row
+    c = running(counts, "v", {"tp": "n1", "fp": "n0"}, descending=True).crossJoin(t)
+    return c.select(F.col("v").alias("threshold"), "tp", "fp", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.try_divide(F.col("tp"), F.col("t1")).alias("recall"))
+
+
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """(n1, ap): sum of precision weighted by the recall it adds."""
     counts = class_counts(df, score, label)
     t = F.broadcast(counts.agg(F.sum("n1").alias("t1")))
-    c = running(counts, [F.col("v").desc()], {"tp": "n1", "fp": "n0"}).crossJoin(t)
+    c = running(counts, "v", {"tp": "n1", "fp": "n0"}, descending=True).crossJoin(t)
     return c.agg(F.first("t1").alias("n1"), F.sum(F.col("n1") / F.col("t1") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("ap"))
 
 
