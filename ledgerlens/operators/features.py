@@ -1,7 +1,7 @@
 """Per-account behavioural features.
 
 Everything that one pass over transactions can give is one ``groupBy``; what needs a finer key first
-(entropies, days, gaps) is aggregated on that key and joined on the account.  All stages hash on
+(entropies, days, gaps, distinct counts, quantiles) is aggregated on that key and joined on the account.  All stages hash on
 account_id, so a groupBy's shuffle also serves the join that follows it.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import stats
 
 # Channels with a rate of their own, and high-risk merchant codes.
 CHANNELS = ["UPC", "UPD", "IPM", "NTD", "FTD", "ATW", "CHQ", "END", "P2A", "MCR"]
@@ -21,22 +22,21 @@ RISK_MCC = [6011, 5933, 6051, 6012, 4814]
 KEY, TS, AMT = "account_id", "transaction_timestamp", "amount"
 
 
-def basic_stats(txn: DataFrame, mcc: bool = True) -> DataFrame:
-    """Counts, moments and exact quantiles of amounts; partners; active span.  One aggregation."""
+# One pass over transactions gives every feature that is a plain aggregate.  A group of features is a dict of
+# aggregates and a step that derives the rest from them, so that any set of groups shares one groupBy.
+
+
+def _basic() -> dict[str, Column]:
     a = F.col(AMT)
-    q = F.percentile(a, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.95)]))
-    aggs = [
-        F.count(a).alias("txn_count"), X.exact_sum(a).alias("total_amount"), X.exact_mean(a).alias("mean_amount"), q.alias("q"),
-        F.stddev_samp(a).alias("std_amount"), F.max(a).alias("max_amount"), F.min(a).alias("min_amount"),
-        F.count_distinct("counterparty_id").alias("n_unique_counterparties"), F.min(TS).alias("first_txn"), F.max(TS).alias("last_txn"),
-    ]
-    if mcc:
-        aggs.append(F.count_distinct("mcc_code").alias("n_unique_mcc"))
-    g = txn.groupBy(KEY).agg(*aggs)
-    for i, name in enumerate(("p25_amount", "median_amount", "p75_amount", "p95_amount")):
-        g = g.withColumn(name, F.get("q", F.lit(i)))
+    return {
+        "txn_count": F.count("transaction_id"), "total_amount": X.exact_sum(a), "mean_amount": X.exact_mean(a), "std_amount": F.stddev_samp(a),
+        "max_amount": F.max(a), "min_amount": F.min(a), "first_txn": F.min(TS), "last_txn": F.max(TS),
+    }
+
+
+def _derive_basic(df: DataFrame) -> DataFrame:
     c = F.col
-    return g.drop("q").withColumns(
+    return df.withColumns(
         {
             "amount_range": c("max_amount") - c("min_amount"),
             "iqr_amount": c("p75_amount") - c("p25_amount"),
@@ -51,18 +51,49 @@ def basic_stats(txn: DataFrame, mcc: bool = True) -> DataFrame:
     )
 
 
-def flow(txn: DataFrame) -> DataFrame:
-    """Credit and debit sides by conditional aggregates.  A missing side has count and total 0, mean and max null."""
-    a = F.col(AMT)
-    aggs = []
+AMOUNT_QUANTILES = {"p25_amount": 0.25, "median_amount": 0.5, "p75_amount": 0.75, "p95_amount": 0.95}
+
+
+def distinct_count(txn: DataFrame, column: str, name: str) -> DataFrame:
+    """(account, name): distinct non-null values, by pairs first, so that no row is expanded and a hot account is spread."""
+    pairs = txn.filter(F.col(column).isNotNull()).select(KEY, column).distinct()
+    return pairs.groupBy(KEY).agg(F.count(F.lit(1)).alias(name))
+
+
+def basic_stats(txn: DataFrame, mcc: bool = True) -> DataFrame:
+    """Counts, moments and exact quantiles of amounts; partners; active span.
+
+    ``txn_count`` counts transaction ids.  Quantiles go by ranges of amounts and distinct counts by pairs,
+    so an account with most of the rows is no single task's.
+    """
+    return _derive_basic(_with_spread(txn, txn.groupBy(KEY).agg(*_named(_basic())), mcc))
+
+
+def _named(aggs: dict[str, Column]) -> list[Column]:
+    return [c.alias(k) for k, c in aggs.items()]
+
+
+def _with_spread(txn: DataFrame, g: DataFrame, mcc: bool) -> DataFrame:
+    """``g`` with what needs a finer key: distinct counts and quantiles."""
+    for column, name in [("counterparty_id", "n_unique_counterparties"), *([("mcc_code", "n_unique_mcc")] if mcc else [])]:
+        g = g.join(distinct_count(txn, column, name), KEY, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return g.join(stats.quantiles(txn, AMT, AMOUNT_QUANTILES, [KEY]), KEY, "left")
+
+
+def _flow() -> dict[str, Column]:
+    a, aggs = F.col(AMT), {}
     for side, code in (("credit", "C"), ("debit", "D")):
         own = F.when(F.col("txn_type") == code, a)
-        aggs += [
-            F.count(own).alias(f"{side}_count"), F.coalesce(X.exact_sum(own), F.lit(0.0)).alias(f"{side}_total"),
-            X.exact_mean(own).alias(f"{side}_mean"), F.max(own).alias(f"{side}_max"),
-        ]
+        aggs |= {
+            f"{side}_count": F.count(own), f"{side}_total": F.coalesce(X.exact_sum(own), F.lit(0.0)),
+            f"{side}_mean": X.exact_mean(own), f"{side}_max": F.max(own),
+        }
+    return aggs
+
+
+def _derive_flow(df: DataFrame) -> DataFrame:
     c = F.col
-    return txn.groupBy(KEY).agg(*aggs).withColumns(
+    return df.withColumns(
         {
             "passthrough_ratio": X.guarded_ratio(c("debit_total"), c("credit_total"), 1.0),
             "net_flow": (X.money(c("credit_total")) - X.money(c("debit_total"))).cast("double"),
@@ -71,6 +102,11 @@ def flow(txn: DataFrame) -> DataFrame:
     )
 
 
+def flow(txn: DataFrame) -> DataFrame:
+    """Credit and debit sides by conditional aggregates.  A missing side has count and total 0, mean and max null."""
+    return _derive_flow(txn.groupBy(KEY).agg(*_named(_flow())))
+
+
 def category_shares(txn: DataFrame, category: str) -> DataFrame:
     """(account, category, n, share): long form instead of a wide pivot.  Null categories are left out."""
     counts = txn.filter(F.col(category).isNotNull()).groupBy(KEY, category).agg(F.count(F.lit(1)).alias("n"))
@@ -91,19 +127,26 @@ def entropy(txn: DataFrame, category: str | Column, name: str, n_name: str | Non
     return counts.groupBy(KEY).agg(*out)
 
 
+def _rates(category: str, values: list, prefix: str, of_known: bool) -> dict[str, Column]:
+    base = F.count(category) if of_known else F.count(F.lit(1))
+    return {f"{prefix}{v}_rate": F.coalesce(F.try_divide(F.sum(X.flag(F.col(category) == v)).cast("double"), base), F.lit(0.0)) for v in values}
+
+
 def category_rates(txn: DataFrame, category: str, values: list, prefix: str, of_known: bool) -> DataFrame:
     """Share of each listed category per account, 0 where it never occurs.  ``of_known``: null rows do not count."""
-    base = F.count(category) if of_known else F.count(F.lit(1))
-    aggs = [F.coalesce(F.try_divide(F.sum(X.flag(F.col(category) == v)).cast("double"), base), F.lit(0.0)).alias(f"{prefix}{v}_rate") for v in values]
-    return txn.groupBy(KEY).agg(*aggs)
+    return txn.groupBy(KEY).agg(*_named(_rates(category, values, prefix, of_known)))
 
 
-def temporal(txn: DataFrame) -> DataFrame:
+def _temporal() -> dict[str, Column]:
     hour, dom = F.hour(TS), F.dayofmonth(TS)
-    return txn.groupBy(KEY).agg(
-        X.share((hour >= 0) & (hour < 6)).alias("night_rate"), X.share(F.weekday(TS) >= 5).alias("weekend_rate"),
-        X.share((dom <= 5) | (dom >= 25)).alias("salary_window_rate"),
-    )
+    return {
+        "night_rate": X.share((hour >= 0) & (hour < 6)), "weekend_rate": X.share(F.weekday(TS) >= 5),
+        "salary_window_rate": X.share((dom <= 5) | (dom >= 25)),
+    }
+
+
+def temporal(txn: DataFrame) -> DataFrame:
+    return txn.groupBy(KEY).agg(*_named(_temporal()))
 
 
 def gaps(txn: DataFrame) -> DataFrame:
@@ -115,13 +158,17 @@ def gaps(txn: DataFrame) -> DataFrame:
     return g.select(KEY, F.get("q", F.lit(1)).alias("med_gap_hrs"), "min_gap_hrs", "std_gap_hrs", F.get("q", F.lit(0)).alias("p10_gap_hrs"))
 
 
+def _structuring(scale: float = 1.0) -> dict[str, Column]:
+    a = F.col(AMT)
+    return {
+        "near_50k_rate": X.share(X.in_band(a, 45000 * scale, 50000 * scale)), "near_10k_rate": X.share(X.in_band(a, 9000 * scale, 10000 * scale)),
+        **{f"round_{k}k_rate": X.share(X.multiple_of(a, k * 1000)) for k in (1, 5, 10, 50)}, "negative_rate": X.share(a < 0),
+    }
+
+
 def structuring(txn: DataFrame, scale: float = 1.0) -> DataFrame:
     """Rates of amounts just under reporting limits, of round amounts and of reversals."""
-    a = F.col(AMT)
-    return txn.groupBy(KEY).agg(
-        X.share(X.in_band(a, 45000 * scale, 50000 * scale)).alias("near_50k_rate"), X.share(X.in_band(a, 9000 * scale, 10000 * scale)).alias("near_10k_rate"),
-        *[X.share(X.multiple_of(a, k * 1000)).alias(f"round_{k}k_rate") for k in (1, 5, 10, 50)], X.share(a < 0).alias("negative_rate"),
-    )
+    return txn.groupBy(KEY).agg(*_named(_structuring(scale)))
 
 
 def bursts(txn: DataFrame) -> DataFrame:
@@ -138,17 +185,17 @@ def bursts(txn: DataFrame) -> DataFrame:
 
 
 def degrees(txn: DataFrame) -> DataFrame:
-    """Distinct counterparties in all, on the credit side (in) and on the debit side (out)."""
-    cp = F.col("counterparty_id")
-    side = lambda t: F.count_distinct(F.when(F.col("txn_type") == t, cp))
-    return txn.groupBy(KEY).agg(F.count_distinct(cp).alias("n_counterparties"), side("C").alias("in_degree"), side("D").alias("out_degree"))
+    """Distinct counterparties in all, on the credit side (in) and on the debit side (out); pairs first."""
+    side = lambda t: F.coalesce(F.bool_or(F.col("txn_type") == t), F.lit(False))
+    pairs = txn.groupBy(KEY, "counterparty_id").agg(side("C").alias("c"), side("D").alias("d"))
+    known = F.col("counterparty_id").isNotNull()
+    return pairs.groupBy(KEY).agg(F.count_if(known).alias("n_counterparties"), F.count_if(known & F.col("c")).alias("in_degree"), F.count_if(known & F.col("d")).alias("out_degree"))
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): codes from 0 in the order of the values' text, nulls as MISSING.  Fitted on all rows."""
     seen = df.select(F.coalesce(F.col(column).cast("string"), F.lit("MISSING")).alias("value")).distinct()
-    # One row per distinct value is left, so a single window partition is small.
-    return seen.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
+    return stats.running(seen.withColumn("n", F.lit(1)), "value", {"k": "n"}).select("value", (F.col("k") - 1).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, *columns: str) -> DataFrame:
@@ -221,13 +268,16 @@ def ratios(df: DataFrame) -> DataFrame:
 LEAKING = ("was_frozen", "was_unfrozen", "frozen_duration", "account_status_enc")
 
 
-def build(txn: DataFrame, accounts: DataFrame, customers: DataFrame, products: DataFrame, linkage: DataFrame, ref_date: str = "2025-06-30", leakage_free: bool = False) -> DataFrame:
-    """The 122 features for every account with a transaction.  ``leakage_free`` leaves out what a freeze gives away."""
-    groups = [
-        basic_stats(txn).drop("first_txn", "last_txn"), flow(txn), entropy(txn, "channel", "channel_entropy", "n_channels_used"), category_rates(txn, "channel", CHANNELS, "ch_", True),
-        temporal(txn), entropy(txn, F.hour(TS), "hour_entropy"), gaps(txn), structuring(txn), bursts(txn), category_rates(txn, "mcc_code", RISK_MCC, "mcc_", False), entropy(txn, "mcc_code", "mcc_entropy"),
-    ]
-    out = reduce(lambda a, b: a.join(b, KEY, "left"), groups)
+def build(txn: DataFrame, accounts: DataFrame, customers: DataFrame, products: DataFrame, linkage: DataFrame, ref_date: str = "2025-06-30", leakage_free: bool = False, channels: list = CHANNELS, mccs: list = RISK_MCC) -> DataFrame:
+    """The 122 features for every account with a transaction.  ``leakage_free`` leaves out what a freeze gives away.
+
+    All plain aggregates share one groupBy on the account; entropies, days, gaps, distinct counts and
+    quantiles use a finer key first.  ``channels`` and ``mccs``: the categories with a rate of their own.
+    """
+    plain = _basic() | _flow() | _temporal() | _structuring() | _rates("channel", channels, "ch_", True) | _rates("mcc_code", mccs, "mcc_", False)
+    one = _derive_flow(_derive_basic(_with_spread(txn, txn.groupBy(KEY).agg(*_named(plain)), True))).drop("first_txn", "last_txn")
+    finer = [entropy(txn, "channel", "channel_entropy", "n_channels_used"), entropy(txn, F.hour(TS), "hour_entropy"), entropy(txn, "mcc_code", "mcc_entropy"), gaps(txn), bursts(txn)]
+    out = reduce(lambda a, b: a.join(b, KEY, "left"), finer, one)
     acct = encode(account_attributes(accounts, ref_date), *ENCODED_ACCOUNT)
     own = [
         KEY, *BALANCES, "num_chequebooks", "acct_age_days", "acct_age_months", "was_frozen", "was_unfrozen", "had_mobile_update", "days_since_mobile_update", "days_since_kyc",

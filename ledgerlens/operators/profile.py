@@ -28,7 +28,7 @@ QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 def class_summary(df: DataFrame, label: str, value: str) -> DataFrame:
     """(label, n, mean, std, min, max, p25, median, p75, p95).
 
-    Two or three classes hold all rows, so moments are partial sums and quantiles come from ranges of values.
+    Two or three classes hold all rows: moments are partial sums, and large classes' quantiles come from ranges of values.
     """
     v = F.col(value)
     g = df.groupBy(label).agg(F.count(v).alias("n"), X.exact_mean(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
@@ -78,7 +78,7 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, and the furthest values within 1.5 interquartile ranges of them."""
     v = F.col("v")
     counts = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("__c"))
-    q = stats.quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group], counts)
+    q = stats.quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group])
     r = 1.5 * (F.col("q3") - F.col("q1"))
     j = counts.join(q, group)
     return j.groupBy(group, "q1", "median", "q3").agg(
@@ -93,9 +93,8 @@ def empirical_cdf(df: DataFrame, value: str, group: str) -> DataFrame:
     Counts per value come first, and running sums go range by range, so no group is one task's work.
     """
     n = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    total = n.groupBy(group).agg(F.sum("n").alias("__t")).withColumnRenamed(group, "__g")
-    upto = stats.running(n, "v", {"__c": "n"}, [group])
-    return upto.join(total, upto[group].eqNullSafe(total["__g"])).select(group, F.col("v").alias(value), (F.col("__c") / F.col("__t")).alias("cdf"))
+    upto = stats.running(n, "v", {"__c": "n"}, [group], whole={"__t": "n"})
+    return upto.select(group, F.col("v").alias(value), (F.col("__c") / F.col("__t")).alias("cdf"))
 
 
 def period_volume(df: DataFrame, ts: str, unit: str, label: str) -> DataFrame:

@@ -11,16 +11,25 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+SAMPLE = 4096  # texts that range bounds are chosen from
 
-def ranges(df: DataFrame, column: str, parts: int = 64) -> Column:
+
+def ranges(df: DataFrame, column: str, parts: int | None = None) -> Column:
     """The number, from 0, of the range of values that a row's ``column`` is in; about equally many rows in each.
 
-    The bounds are approximate quantiles, read once (``parts`` values at most) and written into the
-    expression, so every plan that uses it deals rows alike, however often it is evaluated.
+    The bounds are approximate quantiles, for texts those of the ``SAMPLE`` values of least hash.  They are
+    read once (``parts`` values at most; default: one for each shuffle partition, 64 at most) and written into
+    the expression, so every plan that uses it deals rows alike, however often it is evaluated.
     """
-    steps = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(column, steps, 10_000)).first()[0] or []
+    parts = parts or max(2, min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if isinstance(df.schema[column].dataType, StringType):
+        least = df.select(column).filter(F.col(column).isNotNull()).orderBy(F.xxhash64(column), column).limit(SAMPLE)
+        some = sorted(r[0] for r in least.collect())
+        found = [some[i * len(some) // parts] for i in range(1, parts)] if some else []
+    else:
+        found = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
     bounds = sorted({b for b in found if b == b})  # NaN is above all bounds
 
     def place(lo: int, hi: int) -> Column:
@@ -32,20 +41,26 @@ def ranges(df: DataFrame, column: str, parts: int = 64) -> Column:
     return place(0, len(bounds))
 
 
-def running(df: DataFrame, by: str, sums: dict[str, str], within: list[str] | None = None, descending: bool = False, parts: int = 64) -> DataFrame:
+def running(
+    df: DataFrame, by: str, sums: dict[str, str], within: list[str] | None = None, descending: bool = False, parts: int | None = None, whole: dict[str, str] | None = None, at: Column | None = None
+) -> DataFrame:
     """Running totals ``sums`` = {new: source} in the order of ``by``, for each group of ``within``.
 
     ``by`` is not null and has one row per value and group.  Rows are dealt by ranges of it; each range
     sums for itself and adds the total of the ranges before it (``parts`` rows a group at most), so no
-    group's order is one task's work.
+    group's order is one task's work.  ``whole`` = {new: source} adds the group's totals.  ``at``: ready
+    ranges instead of those of ``df``'s own values.
     """
-    keys = within or []
-    at = ranges(df, by, parts)
+    keys, whole = within or [], whole or {}
+    at = ranges(df, by, parts) if at is None else at
     dealt = df.withColumn("__p", -at if descending else at)
-    totals = dealt.groupBy(*keys, "__p").agg(*[F.sum(src).alias(f"__t_{new}") for new, src in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(*keys, "__p", *[F.coalesce(F.sum(f"__t_{new}").over(before), F.lit(0)).alias(f"__o_{new}") for new in sums])
-    offs = offs.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, "__p"]})
+    totals = dealt.groupBy(*keys, "__p").agg(*[F.sum(src).alias(f"__t_{src}") for src in dict.fromkeys([*sums.values(), *whole.values()])])
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(
+        *[F.col(k).alias(f"__k_{k}") for k in [*keys, "__p"]], *[F.coalesce(F.sum(f"__t_{src}").over(before), F.lit(0)).alias(f"__o_{new}") for new, src in sums.items()],
+        *[F.sum(f"__t_{src}").over(group).alias(new) for new, src in whole.items()],
+    )
     up = Window.partitionBy(*keys, "__p").orderBy(F.col(by).desc() if descending else F.col(by))
     same = F.col("__p") == F.col("__k___p")
     for k in keys:
@@ -54,24 +69,38 @@ def running(df: DataFrame, by: str, sums: dict[str, str], within: list[str] | No
     return out.withColumns({new: F.col(new) + F.col(f"__o_{new}") for new in sums}).drop("__p", "__k___p", *[f"__k_{k}" for k in keys], *[f"__o_{new}" for new in sums])
 
 
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[str], counts: DataFrame | None = None) -> DataFrame:
+HOT = 1_000_000  # rows of a group from which its quantiles are spread over all tasks
+
+
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[str], hot: int = HOT) -> DataFrame:
     """(within..., a column per name of ``probs``): exact, linearly interpolated quantiles of each group.
 
-    Starts from counts per distinct value and running sums by range, so that a group with most of the rows
-    is spread over all tasks.  Nulls do not count; a group of nulls alone gives no row.
+    A group of ``hot`` rows or fewer is sorted in one buffer of that size at most; larger ones, of which there
+    are few (the table's rows / ``hot``), go through counts per distinct value and running sums by range, so
+    that a group with most of the rows is no single task's.  Both ways are exact.  Nulls do not count; a group
+    of nulls alone gives no row.
     """
-    if counts is None:
-        counts = df.filter(F.col(value).isNotNull()).groupBy(*within, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("__c"))
-    cum = running(counts, "v", {"__upto": "__c"}, within)
-    sizes = counts.groupBy(*within).agg(F.sum("__c").alias("__n")).withColumnsRenamed({k: f"__w_{k}" for k in within})
-    same = F.lit(True)
-    for k in within:
-        same &= F.col(k).eqNullSafe(F.col(f"__w_{k}"))
-    rows = cum.join(sizes, same)
+    rows = df.select(*within, F.col(value).alias("v")).filter(F.col("v").isNotNull())
+    large = rows.groupBy(*[F.col(k).alias(f"__w_{k}") for k in within]).count().filter(F.col("count") > hot).drop("count")
+    small, parts = rows, []
+    if not large.isEmpty():
+        same = F.lit(True)
+        for k in within:
+            same &= F.col(k).eqNullSafe(F.col(f"__w_{k}"))
+        parts.append(_spread_quantiles(rows.join(large, same, "left_semi"), probs, within))
+        small = rows.join(large, same, "left_anti")
+    q = small.groupBy(*within).agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("q"))
+    out = q.select(*within, *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(probs)])
+    return out.unionByName(parts[0]) if parts else out
+
+
+def _spread_quantiles(rows: DataFrame, probs: dict[str, float], within: list[str]) -> DataFrame:
+    counts = rows.groupBy(*within, "v").agg(F.count(F.lit(1)).alias("__c"))
+    cum = running(counts, "v", {"__upto": "__c"}, within, whole={"__n": "__c"}, at=ranges(rows, "v"))
     place = {k: F.lit(p) * (F.col("__n") - 1) for k, p in probs.items()}
     least = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("v")))  # noqa: E731 - the value at a rank from 0
-    g = rows.groupBy(*within).agg(F.first("__n").alias("__n"), *[least(f(at)).alias(f"__{x}_{k}") for k, at in place.items() for x, f in (("lo", F.floor), ("hi", F.ceil))])
-    part = {k: at - F.floor(at) for k, at in place.items()}
+    g = cum.groupBy(*within).agg(F.first("__n").alias("__n"), *[least(f(x)).alias(f"__{side}_{k}") for k, x in place.items() for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    part = {k: x - F.floor(x) for k, x in place.items()}
     mixed = {k: F.when(part[k] == 0, F.col(f"__lo_{k}")).otherwise((1 - part[k]) * F.col(f"__lo_{k}") + part[k] * F.col(f"__hi_{k}")) for k in probs}
     return g.select(*within, *[c.cast("double").alias(k) for k, c in mixed.items()])
 
@@ -110,10 +139,9 @@ def mann_whitney_p(n1: int, n0: int, u: float, tie_term: float) -> float:
 
 def ks(df: DataFrame, value: str, label: str) -> DataFrame:
     """(n1, n0, ks): largest distance of the classes' distribution functions."""
-    counts = class_counts(df, value, label)
-    t = F.broadcast(counts.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0")))
-    c = running(counts, "v", {"c1": "n1", "c0": "n0"}).crossJoin(t)
-    return c.agg(F.first("t1").alias("n1"), F.first("t0").alias("n0"), F.max(F.abs(F.col("c1") / F.col("t1") - F.col("c0") / F.col("t0"))).alias("ks"))
+    c = running(class_counts(df, value, label), "v", {"c1": "n1", "c0": "n0"}, whole={"t1": "n1", "t0": "n0"})
+    d = F.abs(F.try_divide(F.col("c1"), F.col("t1")) - F.try_divide(F.col("c0"), F.col("t0")))
+    return c.agg(F.first("t1").alias("n1"), F.first("t0").alias("n0"), F.max(d).alias("ks"))
 
 
 def ks_p(n1: int, n0: int, d: float) -> float:
@@ -219,26 +247,20 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr): calling positive what scores at least ``threshold``."""
-    counts = class_counts(df, score, label)
-    t = F.broadcast(counts.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0")))
-    c = running(counts, "v", {"tp": "n1", "fp": "n0"}, descending=True).crossJoin(t)
+    c = running(class_counts(df, score, label), "v", {"tp": "n1", "fp": "n0"}, descending=True, whole={"t1": "n1", "t0": "n0"})
     return c.select(F.col("v").alias("threshold"), "tp", "fp", F.try_divide(F.col("tp"), F.col("t1")).alias("tpr"), F.try_divide(F.col("fp"), F.col("t0")).alias("fpr"))
 
 
 def pr_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """(threshold, tp, fp, precision, recall): calling positive what scores at least ``threshold``."""
-    counts = class_counts(df, score, label)
-    t = F.broadcast(counts.agg(F.sum("n1").alias("t1")))  # one row
-    c = running(counts, "v", {"tp": "n1", "fp": "n0"}, descending=True).crossJoin(t)
+    c = running(class_counts(df, score, label), "v", {"tp": "n1", "fp": "n0"}, descending=True, whole={"t1": "n1"})
     return c.select(F.col("v").alias("threshold"), "tp", "fp", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.try_divide(F.col("tp"), F.col("t1")).alias("recall"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """(n1, ap): sum of precision weighted by the recall it adds."""
-    counts = class_counts(df, score, label)
-    t = F.broadcast(counts.agg(F.sum("n1").alias("t1")))
-    c = running(counts, "v", {"tp": "n1", "fp": "n0"}, descending=True).crossJoin(t)
-    return c.agg(F.first("t1").alias("n1"), F.sum(F.col("n1") / F.col("t1") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("ap"))
+    c = running(class_counts(df, score, label), "v", {"tp": "n1", "fp": "n0"}, descending=True, whole={"t1": "n1"})
+    return c.agg(F.first("t1").alias("n1"), F.sum(F.try_divide(F.col("n1"), F.col("t1")) * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))).alias("ap"))
 
 
 def threshold_counts(df: DataFrame, score: str, thresholds: list[float]) -> DataFrame:

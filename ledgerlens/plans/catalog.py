@@ -50,7 +50,7 @@ def days(a: str, b: str) -> str:
 # --- features -----------------------------------------------------------------------------------
 
 BASIC = f"""g AS (
-  SELECT account_id, count(amount) AS txn_count, {_SUM} AS total_amount, {_SUM} / count(amount) AS mean_amount,
+  SELECT account_id, count(transaction_id) AS txn_count, {_SUM} AS total_amount, {_SUM} / count(amount) AS mean_amount,
     stddev_samp(amount) AS s, max(amount) AS max_amount, min(amount) AS min_amount,
     quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.5) AS q2, quantile_cont(amount, 0.75) AS q3, quantile_cont(amount, 0.95) AS q4,
     count(DISTINCT counterparty_id) AS n_unique_counterparties, count(DISTINCT mcc_code) AS n_unique_mcc,
@@ -226,14 +226,14 @@ def customer_scores(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TXN_T}, {ACCOUNTS_T}, g AS (SELECT account_id, count(amount) AS txn_count, {_SUM} AS total_amount, max(amount) AS max_amount FROM txn GROUP BY 1)
+    f"""WITH {TXN_T}, {ACCOUNTS_T}, g AS (SELECT account_id, count(transaction_id) AS txn_count, {_SUM} AS total_amount, max(amount) AS max_amount FROM txn GROUP BY 1)
 SELECT account_id, round(total_amount / CASE WHEN avg_balance IS NOT NULL THEN greatest(avg_balance, 1) END, 6) AS txn_to_balance_ratio,
   round(max_amount / CASE WHEN avg_balance IS NOT NULL THEN greatest(avg_balance, 1) END, 6) AS max_txn_to_balance,
   round(txn_count / CASE WHEN account_opening_date IS NOT NULL THEN greatest({days(f"TIMESTAMP '{REF}'", 'account_opening_date')}, 1) END, 6) AS acct_age_txn_ratio FROM g LEFT JOIN acct USING (account_id)"""
 )
 def derived_ratios(spark, sf_dir):
     a = features.account_attributes(accounts_t(spark, sf_dir), REF)
-    g = txn_t(spark, sf_dir).groupBy("account_id").agg(F.count("amount").alias("txn_count"), X.exact_sum(F.col("amount")).alias("total_amount"), F.max("amount").alias("max_amount"))
+    g = txn_t(spark, sf_dir).groupBy("account_id").agg(F.count("transaction_id").alias("txn_count"), X.exact_sum(F.col("amount")).alias("total_amount"), F.max("amount").alias("max_amount"))
     out = features.ratios(g.join(a.select("account_id", "avg_balance", "acct_age_days"), "account_id", "left"))
     names = ("txn_to_balance_ratio", "max_txn_to_balance", "acct_age_txn_ratio")
     return rounded(out.select("account_id", *names), *names)

@@ -21,6 +21,7 @@ def txn_t(spark: SparkSession, sf_dir: str, mcc: bool = False) -> DataFrame:
         part = read(spark, sf_dir, "part")
         df = df.join(part.select("p_partkey", "p_size"), df.l_partkey == part.p_partkey)
     return df.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("transaction_id"),
         F.col("o_custkey").alias("account_id"),
         F.col("l_shipdate").alias("transaction_timestamp"),
         F.col("l_extendedprice").alias("amount"),
@@ -32,7 +33,7 @@ def txn_t(spark: SparkSession, sf_dir: str, mcc: bool = False) -> DataFrame:
 
 
 TXN_T = """txn AS (
-  SELECT o_custkey AS account_id, l_shipdate AS transaction_timestamp, l_extendedprice AS amount,
+  SELECT l_orderkey * 8 + l_linenumber AS transaction_id, o_custkey AS account_id, l_shipdate AS transaction_timestamp, l_extendedprice AS amount,
          CASE WHEN l_linestatus = 'O' THEN 'C' ELSE 'D' END AS txn_type, l_returnflag || l_linestatus AS channel,
          p_size AS mcc_code, l_suppkey AS counterparty_id
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
