@@ -5,12 +5,13 @@ from __future__ import annotations
 import atexit
 import itertools
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 _SEQ = itertools.count()
 _LIVE: dict[str, tuple[SparkSession, str]] = {}
 
@@ -40,17 +41,6 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive the loss of executors.
 
@@ -60,7 +50,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.base = f"{scratch_dir(spark)}/ledgerlens-{uuid.uuid4().hex}"
+        self.base = f"{shared_dir(spark)}/ledgerlens-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}  # by number
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
