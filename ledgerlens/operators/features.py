@@ -199,8 +199,9 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def encode(df: DataFrame, *columns: str) -> DataFrame:
+    base = df  # codes are fitted on the input, so that the plan grows by one branch a column
     for c in columns:
-        codes = label_codes(df, c).withColumnsRenamed({"value": f"__{c}", "code": f"{c}_enc"})
+        codes = label_codes(base, c).withColumnsRenamed({"value": f"__{c}", "code": f"{c}_enc"})
         df = df.join(codes, F.coalesce(F.col(c).cast("string"), F.lit("MISSING")) == F.col(f"__{c}"), "left").drop(f"__{c}")
     return df
 
