@@ -100,17 +100,16 @@ def fold(col: Column, n: int) -> Column:
 
 
 def least_hashed(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """``n`` rows of ``df`` at most, those of least hashed key.
+    """The ``n`` distinct ``keys`` of ``df`` that have the least hash, or all where there are fewer.
 
-    A first cut by the hash leaves about 2n rows in all, so that the final ordering gets no more than
-    that from all partitions together, however many there are.
+    A first cut by the hash leaves about 2n distinct keys, so that ordering gets no more than that.  Its
+    share comes from a sketch of the number of distinct keys, so repeated rows do not move it.
     """
-    total = df.count()
-    share = 1.0 if total <= 2 * n else 2 * n / total
-    cut = df.withColumn("__h", F.xxhash64(*keys))
-    if share < 1:
-        cut = cut.filter(F.pmod(F.col("__h"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
-    return cut.orderBy("__h", *keys).limit(n).drop("__h")
+    cut = df.select(*keys).withColumn("__h", F.xxhash64(*keys))
+    about = cut.agg(F.approx_count_distinct("__h", 0.02)).first()[0]
+    if about > 2 * n:
+        cut = cut.filter(F.pmod(F.col("__h"), F.lit(1 << 40)) < F.lit(int(2 * n / about * (1 << 40))))
+    return cut.distinct().orderBy("__h", *keys).limit(n).drop("__h")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,10 +3,12 @@
 1. On a bounded sample of labelled texts, words and word edges (prefixes and suffixes of 4 to 6 letters)
    that toxic texts hold more often than chance are found by a binomial tail test, with Benjamini and
    Hochberg's false-discovery control over all that were tried.
-2. They are dealt into lexicon voters (words) and pattern voters (edges); the given label is one more,
-   fallible, voter.  A generative model fits each voter's rates of voting on toxic and on clean texts by
-   EM.  Voters that agree beyond what the label explains share their weight: a voter's evidence is
-   divided by one plus its positive conditional correlations with the others of its kind.
+2. Each of them is a voter of its own, a lexicon voter (word) or a pattern voter (edge), that votes toxic
+   where it occurs; the given label is one more, fallible, voter.  A generative model with the true label
+   latent is fitted by EM: every voter has rates of voting on toxic and on clean texts, given the vote of the
+   one other voter that it depends on most.  These dependencies form a forest, the one with the most
+   conditional mutual information, so that a word and its own edges are not counted as several witnesses.
+   EM starts from how many voters speak, not from the label; like-minded ones share a vote.
 3. A linear classifier (logistic regression on the presence of words and edges) is trained on the
    posterior labels; its bias is then set where the two classes part best.  A word that occurs often
    counts once, so a text's length does not move its score.
@@ -16,7 +18,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from math import exp, lgamma, log
+from functools import cache
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,8 @@ from .common import Scratch, least_hashed, ship_package
 
 SAMPLE = 8000  # labelled texts learned from, those of least hashed id
 EDGES = (4, 5, 6)
-FEATURES = 20_000  # candidates for the lexicon that the driver gets at most, the most frequent ones
-VOTERS = 8  # of each kind
+RATE = 0.05  # of false discoveries among voters
+PRECISION = 0.9  # a voter is right on so many of the labelled texts that it speaks on, at least
 _WORD = re.compile(r"\w+")
 
 
@@ -40,48 +43,142 @@ def word_features(word: str) -> list[str]:
     return out
 
 
-def _log_tail(n: int, k: int, p: float) -> float:
-    """log P(Binomial(n, p) >= k)."""
-    lf = lambda i: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)
-    top = lf(k)
-    return top + log(sum(exp(lf(i) - top) for i in range(k, min(n, k + 200) + 1)))
+@cache
+def _log_factorials(n: int) -> np.ndarray:
+    return np.append(0.0, np.cumsum(np.log(np.arange(1, n + 1))))
+
+
+def log_tail(n: int, k: int, p: float) -> float:
+    """log P(Binomial(n, p) >= k), all terms of the sum."""
+    f = _log_factorials(1 << max(4, int(n).bit_length()))
+    i = np.arange(k, n + 1)
+    terms = f[n] - f[i] - f[n - i] + i * log(p) + (n - i) * log(1 - p)
+    top = terms.max()
+    return float(top + np.log(np.exp(terms - top).sum()))
 
 
 def text_features(text: str | None) -> set[str]:
     return {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}
 
 
-def significant(counts: list[tuple[str, int, int]], share: float, tried: int, rate: float = 0.05, precision: float = 0.9) -> list[str]:
-    """Of (feature, texts, toxic texts), those that toxic texts hold beyond chance and nearly only they."""
-    p = min(max(share, 1e-6), 1 - 1e-6)
-    fit_ = sorted((_log_tail(n, k, p), -k, f) for f, n, k in counts if k >= 3 and k >= precision * n)
-    last = max((i for i, (q, _, _) in enumerate(fit_, 1) if q <= log(rate * i / max(1, tried))), default=0)
-    return [f for _, _, f in sorted(fit_[:last], key=lambda x: (x[1], x[2]))]
-
-
-def label_model(votes: np.ndarray, label: np.ndarray, kind: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, rates on toxic, rates on clean) of texts x voters 0/1 votes, the label being the last voter."""
-    v = np.column_stack([votes, label]).astype(float)
-    kinds = np.append(kind, -1)
-    post, weight = label.astype(float), np.ones(v.shape[1])
-    for _ in range(rounds):
-        on = (post @ v + 1) / (post.sum() + 2)
-        off = ((1 - post) @ v + 1) / ((1 - post).sum() + 2)
-        # Correlation given the label: what is left of each vote once its expected rate is taken out.
-        res = v - np.outer(post, on) - np.outer(1 - post, off)
-        sd = np.sqrt((res * res).mean(axis=0)) + 1e-9
-        corr = (res.T @ res) / len(v) / np.outer(sd, sd)
-        same = kinds[:, None] == kinds[None, :]
-        np.fill_diagonal(same, False)
-        weight = 1 / (1 + (np.clip(corr, 0, 1) * same).sum(axis=1))
+def significant(tested: list[tuple[str, int, int, float]], tried: int, rate: float = RATE) -> list[str]:
+    """Of (feature, texts, toxic texts, log p), those that Benjamini and Hochberg's rule accepts among ``tried`` tests."""
+    ordered = sorted((q, -k, f) for f, _, k, q in tested)
+    last = max((i for i, (q, _, _) in enumerate(ordered, 1) if q <= log(rate * i / max(1, tried))), default=0)
+    return [f for _, _, f in sorted(ordered[:last], key=lambda x: (x[1], x[2]))]
+
+
+class Votes:
+    """A sparse table of votes: ``doc`` and ``voter`` name the votes for toxic."""
+
+    def __init__(self, rows: list[list[int]], voters: int):
+        self.n, self.voters = len(rows), voters
+        self.doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.voter = np.fromiter((i for r in rows for i in r), dtype=np.int64, count=len(self.doc))
+        self.first = np.append(0, np.cumsum([len(r) for r in rows]))
+        by = np.argsort(self.voter, kind="stable")
+        self.docs_of = np.split(self.doc[by], np.cumsum(np.bincount(self.voter, minlength=voters))[:-1]) if voters else []
+        self.key = self.doc * max(1, voters) + self.voter  # sorted, as rows are
+
+    def together(self, j: int, weight: np.ndarray) -> np.ndarray:
+        """Weight of the texts on which voter j and each voter both vote."""
+        docs = self.docs_of[j]
+        sizes = self.first[docs + 1] - self.first[docs]
+        at = np.repeat(self.first[docs] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum()) if len(docs) else np.empty(0, np.int64)
+        return np.bincount(self.voter[at], weights=np.repeat(weight[docs], sizes), minlength=self.voters)
+
+
+def shares(v: Votes) -> np.ndarray:
+    """What a voter's vote counts at first: one, shared with the voters that speak with it, by Jaccard similarity."""
+    n, all_, out = np.bincount(v.voter, minlength=v.voters), np.ones(v.n), np.ones(v.voters)
+    for j in range(v.voters):
+        both = v.together(j, all_)
+        out[j] = 1 / max(1.0, float((both / np.maximum(n[j] + n - both, 1)).sum()))
+    return out
+
+
+def dependencies(v: Votes, post: np.ndarray) -> np.ndarray:
+    """Each voter's parent (-1: none) in the tree of most mutual information given the latent label.
+
+    Prim's algorithm, with one voter's row of pair counts at a time.  An edge whose information does not pay
+    for its two further rates (Bayesian information criterion) is left out.
+    """
+    parent, best, link = np.full(v.voters, -1), np.full(v.voters, -np.inf), np.full(v.voters, -1)
+    left = np.ones(v.voters, dtype=bool)
+    sides = [(post, post.sum() + 1.0), (1 - post, (1 - post).sum() + 1.0)]
+    alone = [np.bincount(v.voter, weights=w[v.doc], minlength=v.voters) for w, _ in sides]
+
+    def information(j: int) -> np.ndarray:
+        out = np.zeros(v.voters)
+        for (w, total), one in zip(sides, alone):
+            both, a, b = v.together(j, w), one[j] + 0.5, one + 0.5
+            both = np.minimum(both + 0.25, np.minimum(a, b))
+            for cell, x, y in ((both, a, b), (a - both, a, total - b), (b - both, total - a, b), (total - a - b + both, total - a, total - b)):
+                out += np.where(cell > 1e-12, cell * np.log(np.maximum(cell, 1e-12) * total / np.maximum(x * y, 1e-12)), 0.0)
+        return out
+
+    now = 0
+    for _ in range(v.voters):
+        left[now] = False
+        gain = information(now)
+        better = left & (gain > best)
+        best[better], link[better] = gain[better], now
+        if not left.any():
+            break
+        now = int(np.where(left, best, -np.inf).argmax())
+        parent[now] = link[now] if best[now] > log(v.n + 2.0) else -1
+    return parent
+
+
+def label_model(rows: list[list[int]], voters: int, label: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior, rates on toxic, rates on clean, parents): EM over the votes and the given label.
+
+    ``rows`` lists each text's voters.  The rates returned are those without regard to parents; inside,
+    each voter's rates are conditional on its parent's vote and the latent label.
+    """
+    v = Votes(rows, voters)
+    if not v.n:
+        return np.empty(0), np.empty(0), np.empty(0), np.empty(0, dtype=int)
+    said = np.bincount(v.doc, weights=shares(v)[v.voter], minlength=v.n)
+    post = np.where(said > 0, 1 - 0.3**said, 0.02)
+    y = label.astype(float)
+    kids = parent = None
+    for turn in range(rounds):
+        if turn in (0, 6, 12):  # the structure, from the first posterior and again from settled ones
+            parent = dependencies(v, post)
+            kids = [np.flatnonzero(parent == j) for j in range(voters)]
+            sizes = np.array([len(k) for k in kids], dtype=np.int64)
+            flat = np.concatenate(kids) if voters else np.empty(0, np.int64)
+            start = np.append(0, np.cumsum(sizes)[:-1])
+            # (doc, voter) pairs whose parent votes, whether they vote or not.
+            count = sizes[v.voter]
+            under_doc = np.repeat(v.doc, count)
+            under = flat[np.repeat(start[v.voter] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())] if count.sum() else np.empty(0, np.int64)
+            both = np.isin(under_doc * max(1, voters) + under, v.key)
+            alone = ~np.isin(v.key, (under_doc * max(1, voters) + under)[both])
+        # M: P(vote | parent's vote, label) with a weak prior towards silence.
+        rates, total = {}, {}
+        for c, w in ((1, post), (0, 1 - post)):
+            with_parent = np.bincount(under, weights=w[under_doc], minlength=voters)
+            yes1 = np.bincount(under[both], weights=w[under_doc[both]], minlength=voters)
+            yes0 = np.bincount(v.voter[alone], weights=w[v.doc[alone]], minlength=voters)
+            rates[c] = ((yes0 + 0.1) / (w.sum() - with_parent + 1.0), (yes1 + 0.5) / (with_parent + 1.0))
+            total[c] = (yes0 + yes1 + 0.1) / (w.sum() + 1.0)
+        rates = {c: [np.clip(r, 1e-6, 1 - 1e-6) for r in pair] for c, pair in rates.items()}
+        hit = [((w * y).sum() + a) / (w.sum() + a + b) for w, a, b in ((post, 9, 1), (1 - post, 1, 19))]
         prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
-        yes, no = np.log(on / off), np.log((1 - on) / (1 - off))
-        logit = np.log(prior / (1 - prior)) + v @ (weight * yes) + (1 - v) @ (weight * no)
+        # E: evidence of silence without a silent parent's change, then what votes and parents' votes change.
+        yes = [np.log(rates[1][a] / rates[0][a]) for a in (0, 1)]
+        no = [np.log((1 - rates[1][a]) / (1 - rates[0][a])) for a in (0, 1)]
+        logit = np.full(v.n, np.log(prior / (1 - prior)) + no[0].sum())
+        logit += np.bincount(v.doc[alone], weights=(yes[0] - no[0])[v.voter[alone]], minlength=v.n)
+        logit += np.bincount(under_doc, weights=np.where(both, yes[1][under], no[1][under]) - no[0][under], minlength=v.n)
+        logit += y * np.log(hit[0] / hit[1]) + (1 - y) * np.log((1 - hit[0]) / (1 - hit[1]))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
+        moved, post = np.abs(new - post).max(), new
+        if moved < 1e-6 and turn > 12:
             break
-        post = new
-    return post, on, off
+    return post, total[1], total[0], parent
 
 
 def logistic(rows: list[list[int]], n: int, y: np.ndarray, l2: float = 0.02, rounds: int = 400, rate: float = 0.2) -> tuple[np.ndarray, float]:
@@ -142,17 +239,7 @@ def fit(rows: list[list[int]], toxic: list[int], lexicon: list[str]) -> Model:
     """A model from texts given as places in ``lexicon``, with their labels."""
     if not rows:
         return Model({}, -30.0)
-    label = np.array(toxic, dtype=float)
-    pattern = np.array([f.startswith("-") or f.endswith("-") for f in lexicon], dtype=bool)
-    # Dealt in turn by frequency, so that voters of a kind are of like strength.
-    voter = np.zeros(len(lexicon), dtype=int)
-    for k in (0, 1):
-        own = np.flatnonzero(pattern == k)
-        voter[own] = k * VOTERS + np.arange(len(own)) % VOTERS
-    votes = np.zeros((len(rows), 2 * VOTERS))
-    for r, ids in enumerate(rows):
-        votes[r, voter[ids]] = 1
-    post, _, _ = label_model(votes, label, np.repeat([0, 1], VOTERS))
+    post, _, _, _ = label_model(rows, len(lexicon), np.array(toxic, dtype=float))
     w, b = logistic(rows, len(lexicon), post)
     b -= boundary(np.array([w[r].sum() + b for r in rows]), post)
     return Model({f: float(w[i]) for i, f in enumerate(lexicon)}, b)
@@ -189,24 +276,36 @@ def _hold(batches, lexicon):
         yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "held"])
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, learn: Column, id_col="doc_id", text_col="text", label_col="toxic", *, sample: int = SAMPLE, features: int = FEATURES
-) -> Model:
+def _test(batches, share, rate):
+    """(f, n, k, q): features that most of their texts being toxic speaks for, with log p at most log ``rate``."""
+    p = min(max(share, 1e-6), 1 - 1e-6)
+    for rb in batches:
+        n, k = (rb.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+        worth = np.flatnonzero((k >= 3) & (k >= PRECISION * n))
+        q = np.array([log_tail(int(n[i]), int(k[i]), p) for i in worth])
+        keep = q <= log(rate) if len(worth) else np.empty(0, bool)
+        yield pa.RecordBatch.from_arrays([*[rb.column(c).take(pa.array(worth[keep])) for c in (0, 1, 2)], pa.array(q[keep], pa.float64())], names=["f", "n", "k", "q"])
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col="doc_id", text_col="text", label_col="toxic", *, sample: int = SAMPLE, rate: float = RATE) -> Model:
     """A model fitted on at most ``sample`` labelled rows that ``learn``, a condition on the id, lets through.
 
-    Counting features runs on the executors; the driver gets at most ``features`` counts and, for each
-    text of the sample, its places in the lexicon.  No labels: a model that calls nothing toxic.
+    Whole texts are read, and counting and testing features runs on the executors; the driver gets the
+    features whose own p-value is at most ``rate`` (no other can be accepted) and, for each text of the sample,
+    its places in the lexicon.  An id labelled twice counts as toxic if one of its labels does.  No labels:
+    a model that calls nothing toxic.
     """
     ship_package(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     chosen = labels.filter(learn & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__tx_id")).agg(F.max(label_col).cast("int").alias("__tx_y"))
-    chosen = least_hashed(chosen, ["__tx_id"], sample)  # the bound of the broadcast
-    own = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__tx_id"])
-    own = scratch.keep(own.select(F.col("__tx_id").cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.col("__tx_y").alias("y")), "sample")
+    chosen = least_hashed(chosen, ["__tx_id", "__tx_y"], sample)  # the bound of the broadcast
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    own = src.join(F.broadcast(chosen), src["id"] == chosen["__tx_id"])
+    own = scratch.keep(own.select(F.col("id").cast("long").alias("id"), "t", F.col("__tx_y").alias("y")), "sample")
     counts = scratch.keep(own.mapInArrow(_count, "f string, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "counts")
-    share = own.agg(F.avg(F.when(F.col("y") == 1, 1.0).otherwise(0.0))).first()[0]
-    top = counts.filter("k >= 3 and 2 * k >= n").orderBy(F.desc("k"), "f").limit(features).collect()
-    lexicon = significant([tuple(r) for r in top], share or 0.0, counts.count())
+    share = own.agg(F.avg(F.when(F.col("y") == 1, 1.0).otherwise(0.0))).first()[0] or 0.0
+    tested = counts.filter("k >= 3 and 2 * k >= n").mapInArrow(lambda it: _test(it, share, rate), "f string, n long, k long, q double").collect()
+    lexicon = significant([tuple(r) for r in tested], counts.count(), rate)
     rows = own.mapInArrow(lambda it: _hold(it, lexicon), "id long, y int, held array<int>").collect()
     rows.sort(key=lambda r: (r[0], r[2]))
     scratch.drop(own, counts)
