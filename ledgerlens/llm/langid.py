@@ -1,10 +1,11 @@
 """Language identification by a byte convolutional network in numpy.
 
-Bytes are mapped to classes (the commonest ones of the training text, letters A-Z folded, one class for
-the rest, one for padding).  Filters of widths 2 to 5 run over windows of fixed length; each filter's
-rectified maximum over the window feeds a softmax.  At prediction, convolutions are sums of table rows:
-a filter bank's response to a pair or a triple of classes is looked up, which is the same linear map.
-A text is cut into consecutive windows over all its bytes; its distribution is the mean over windows.
+Every byte value of the training texts is a class of its own (letters A-Z folded); values that they never
+hold share one, which no training could tell apart, and padding has one.  Filters of widths 2 to 5 run over
+windows of fixed length; each filter's rectified maximum over the window feeds a softmax.  At prediction,
+convolutions are sums of table rows: a filter bank's response to a pair of classes is looked up, which is
+the same linear map.  A text is cut into consecutive windows over all its bytes; its distribution is the
+mean over windows.
 """
 
 from __future__ import annotations
@@ -16,21 +17,22 @@ from pyspark.sql import functions as F
 
 from .common import least_hashed, ship_package
 
-CLASSES, WIDTHS, WINDOW = 49, (2, 3, 4, 5), 256
-PAD, REST = 48, 47
+WIDTHS, WINDOW = (2, 3, 4, 5), 256
+PAD, UNSEEN = 255, 254  # at most 230 byte values are left once A-Z are folded
+LEARNED = 60_000  # windows that training goes over, at least twice all there are
 SAMPLE = 2400  # labelled texts that the network is fitted on, those of least hashed id
 NO_LANGUAGE = "und"
 
 
 def byte_classes(texts: list[bytes]) -> np.ndarray:
+    """The class of each byte value: seen ones are numbered by frequency."""
     fold = np.arange(256)
     fold[65:91] += 32
     n = np.zeros(256, dtype=np.int64)
     for t in texts:
         n += np.bincount(fold[np.frombuffer(t, dtype=np.uint8)], minlength=256)
-    table = np.full(256, REST, dtype=np.uint8)
-    common = [b for b in np.argsort(-n, kind="stable")[:REST] if n[b]]
-    for k, b in enumerate(common):
+    table = np.full(256, UNSEEN, dtype=np.uint8)
+    for k, b in enumerate(b for b in np.argsort(-n, kind="stable") if n[b]):
         table[b] = k
     return table[fold]
 
@@ -48,14 +50,20 @@ class Network:
     def __init__(self, langs: list[str], table: np.ndarray, filters: int = 16, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.langs, self.table, self.filters = langs, table, filters
-        self.w = {k: rng.normal(0, 0.3, (k, CLASSES, filters)).astype(np.float32) for k in WIDTHS}
+        # The two special classes come right after the seen ones inside.
+        seen = len(set(table.tolist()) - {UNSEEN})
+        self.classes = seen + 2
+        self.inner = np.arange(256, dtype=np.intp)
+        self.inner[UNSEEN], self.inner[PAD] = seen, seen + 1
+        self.w = {k: rng.normal(0, 0.3, (k, self.classes, filters)).astype(np.float32) for k in WIDTHS}
         self.b = {k: np.zeros(filters, dtype=np.float32) for k in WIDTHS}
         self.v = rng.normal(0, 0.1, (filters * len(WIDTHS), len(langs))).astype(np.float32)
         self.c = np.zeros(len(langs), dtype=np.float32)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 6) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int | None = None, batch: int = 32, rate: float = 0.01, seed: int = 6) -> None:
         """Adam on the softmax loss; the gradient of a maximum goes to its argument alone."""
         rng, n, f = np.random.default_rng(seed), len(x), self.filters
+        x, epochs = self.inner[x], epochs or max(2, min(40, LEARNED // n))
         names = [("w", k) for k in WIDTHS] + [("b", k) for k in WIDTHS] + [("v", None), ("c", None)]
         get = lambda s, k: getattr(self, s) if k is None else getattr(self, s)[k]
         m1, m2 = ({p: np.zeros_like(get(*p)) for p in names} for _ in range(2))
@@ -96,46 +104,49 @@ class Network:
                     get(*q)[...] -= rate * (m1[q] / (1 - 0.9**step)) / (np.sqrt(m2[q] / (1 - 0.999**step)) + 1e-8)
 
     def prepare(self) -> None:
-        """Response tables: pairs (for width 2 and the ends of 4 and 5) and triples (for 3 and 5)."""
-        pair = lambda a, b: (a[:, None, :] + b[None, :, :]).reshape(-1, self.filters)
-        w = self.w
-        self.t2, self.t4, self.t4end, self.t5end = pair(*w[2]), pair(w[4][0], w[4][1]), pair(w[4][2], w[4][3]), pair(w[5][3], w[5][4])
-        triple = lambda a, b, c: (pair(a, b)[:, None, :] + c[None, :, :]).reshape(-1, self.filters)
-        self.t3, self.t5 = triple(*w[3]), triple(w[5][0], w[5][1], w[5][2])
+        """Response tables of pairs of classes: two for widths 4 and 5, one for 2 and 3."""
+        pair = lambda k, i: (self.w[k][i][:, None, :] + self.w[k][i + 1][None, :, :]).reshape(-1, self.filters)
+        self.pairs = {(k, i): pair(k, i) for k, i in ((2, 0), (3, 0), (4, 0), (4, 2), (5, 0), (5, 2))}
 
     def predict(self, x: np.ndarray, chunk: int = 64) -> np.ndarray:
         """Language probabilities of each window."""
-        out = np.empty((len(x), len(self.langs)), dtype=np.float64)
+        out, t = np.empty((len(x), len(self.langs)), dtype=np.float64), self.pairs
         for lo in range(0, len(x), chunk):
-            c = x[lo : lo + chunk].astype(np.intp)
-            p2 = c[:, :-1] * CLASSES + c[:, 1:]
-            p3 = p2[:, :-1] * CLASSES + c[:, 2:]
-            z = {
-                2: self.t2[p2], 3: self.t3[p3],
-                4: self.t4[p2[:, :-2]] + self.t4end[p2[:, 2:]], 5: self.t5[p3[:, :-2]] + self.t5end[p2[:, 3:]],
-            }
-            h = np.concatenate([np.maximum(z[k].max(axis=1) + self.b[k], 0) for k in WIDTHS], axis=1)
-            logits = h @ self.v + self.c
+            c = self.inner[x[lo : lo + chunk]]
+            p = c[:, :-1] * self.classes + c[:, 1:]
+            h = []
+            for k in WIDTHS:
+                span = c.shape[1] - k + 1
+                z = t[k, 0][p[:, :span]]
+                if k >= 4:
+                    z += t[k, 2][p[:, 2 : 2 + span]]
+                if k % 2:
+                    z += self.w[k][k - 1][c[:, k - 1 :]]
+                h.append(np.maximum(z.max(axis=1) + self.b[k], 0))
+            logits = np.concatenate(h, axis=1) @ self.v + self.c
             e = np.exp(logits - logits.max(axis=1, keepdims=True))
             out[lo : lo + chunk] = e / e.sum(axis=1, keepdims=True)
         return out
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, *, sample: int = SAMPLE, per_text: int = 3, seed: int = 3) -> Network | None:
-    """A network fitted on at most ``sample`` labelled texts, ``per_text`` windows of each; None without labels."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    # Windows are cut on the executors, so that long texts do not come to the driver.
-    at = F.transform(F.sequence(F.lit(0), F.lit(per_text - 1)), lambda k: F.pmod(F.xxhash64("i", k), F.greatest(F.lit(1), F.length("t") - WINDOW + 1)) + 1)
-    chosen = least_hashed(rows.select("i", "l"), ["i", "l"], sample).distinct()  # the bound of the broadcast
-    cut = rows.join(F.broadcast(chosen), ["i", "l"]).select("l", "i", F.transform(at, lambda a: F.substring(F.col("t"), a.cast("int"), F.lit(WINDOW))).alias("w"))
-    got = sorted(cut.dropDuplicates(["i", "l"]).collect(), key=lambda r: (str(r.i), r.l, r.w))
+def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, *, sample: int = SAMPLE) -> Network | None:
+    """A network fitted on every window of at most ``sample`` labelled texts, read whole; None without labels.
+
+    The driver gets these texts, so ``sample`` times their length is what it has to hold.  An id with
+    several texts of one language gives the least of them.
+    """
+    rows = labelled.filter(F.col(lang_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("l"))
+    chosen = least_hashed(rows, ["i", "l"], sample)  # the bound of the broadcast
+    got = rows.join(F.broadcast(chosen), ["i", "l"]).groupBy("i", "l").agg(F.min("t").alias("t")).collect()
+    got.sort(key=lambda r: (str(r.i), r.l))
     if not got:
         return None
     langs = sorted({r.l for r in got})
-    data = [(w.encode("utf-8", "surrogatepass")[:WINDOW], langs.index(r.l)) for r in got for w in r.w]
-    table = byte_classes([d for d, _ in data])
+    data = [r.t.encode("utf-8", "surrogatepass") for r in got]
+    table = byte_classes(data)
+    grids = [windows(d, table) for d in data]
     net = Network(langs, table)
-    net.fit(np.concatenate([windows(d, table)[:1] for d, _ in data]), np.array([y for _, y in data]))
+    net.fit(np.concatenate(grids), np.repeat([langs.index(r.l) for r in got], [len(g) for g in grids]))
     net.prepare()
     return net
 
@@ -168,7 +179,8 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
 
     Null texts and texts without a letter are ``und`` with score 0, as are all when there is no label to
     learn from.  Every byte of a text is read.  Repeated rows give repeated rows.  Other columns are not
-    read.  At most ``sample`` labelled texts are learned from; prediction covers all rows.
+    read.  At most ``sample`` labelled texts are learned from, each whole; prediction covers all rows.  Of
+    equally likely languages the first in alphabetical order is given.
     """
     ship_package(docs.sparkSession)
     net = train(docs.filter(learn), id_col, text_col, lang_col, sample=sample)
@@ -176,6 +188,6 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if net is None:
         return src.select(F.col("id").alias(id_col), F.lit(NO_LANGUAGE).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size, about 15 MB
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # of bounded size: some 20 MB with all 230 classes
     out = src.mapInArrow(lambda it: _predict(it, shared.value), f"id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
