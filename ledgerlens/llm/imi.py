@@ -4,8 +4,10 @@ Both halves of a vector are quantised by their own codebook; an index cell is a
 query, centroid pairs are visited in order of their summed half scores, by a heap over the two sorted
 lists, until the visited cells hold the wanted share of all entries; those entries are scored exactly.
 
-Equal vectors are one entry, holding its smallest ids only as far as any answer can need them.  Entries are
-dealt into shards of bounded size and queries into blocks, and a task scores one block against one shard.
+Equal vectors are one entry, holding its smallest ids only as far as any answer can need them.  Neighbouring
+cells are grouped into units of bounded size, and a cell too large for one is dealt into several.  An entry
+goes to its one unit; a query goes to the units that hold a cell it visits, with the list of those cells,
+and is multiplied with the entries of these cells only.  A task holds one unit's entries and streams queries.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from .common import Scratch, least_hashed, ship_package
 
 SAMPLE = 8192  # vectors that the codebooks are fitted on, those of least hashed id
 CENTROIDS = 64
+SHARD = 8192  # entries of a unit
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -72,36 +74,119 @@ def _cells(batches, c1, c2, dim):
         yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(cell, pa.int32())], names=[*rb.schema.names, "cell"])
 
 
-def _probes(batches, c1, c2, dim, sizes, wanted):
+class Units:
+    """How cells are dealt: ``group`` of each cell, and each group's first unit and number of units."""
+
+    def __init__(self, sizes: np.ndarray, shard: int):
+        # Neighbouring cells fill a group up to ``shard`` entries; a larger cell has a group of its own.
+        self.group, held, g = np.zeros(len(sizes), dtype=np.int64), 0, 0
+        for cell, n in enumerate(sizes.tolist()):
+            if held and held + n > shard:
+                g, held = g + 1, 0
+            self.group[cell], held = g, held + n
+        total = np.bincount(self.group, weights=sizes, minlength=g + 1)
+        self.count = np.maximum(1, np.ceil(total / shard)).astype(np.int64)
+        self.first = np.append(0, np.cumsum(self.count)[:-1])
+
+
+_DEALT = "u long, kind int, id long, ids array<long>, vec array<double>, cells array<int>"
+
+
+def _rows(u, kind, ids, lists, vecs, cells):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(u, pa.int64()), pa.array(np.full(len(u), kind, dtype=np.int32)), pa.array(ids, pa.int64()), lists, vecs, pa.array(cells, pa.list_(pa.int32()))],
+        names=["u", "kind", "id", "ids", "vec", "cells"],
+    )
+
+
+def _dealt_entries(batches, units: Units):
+    for rb in batches:
+        vec, ids, cell = (rb.column(rb.schema.get_field_index(k)) for k in ("vec", "ids", "cell"))
+        c, low = cell.to_numpy(), np.array([x[0] for x in ids.to_pylist()], dtype=np.int64)
+        g = units.group[c]
+        mixed = (low.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        u = units.first[g] + (mixed % units.count[g].astype(np.uint64)).astype(np.int64)
+        yield _rows(u, 0, low, ids, vec, [[x] for x in c.tolist()])
+
+
+def _dealt_queries(batches, c1, c2, dim, sizes, wanted, units: Units):
     half = dim // 2
     for rb in batches:
-        x = _matrix(rb.column(1), dim)
+        x, me = _matrix(rb.column(1), dim), rb.column(0).to_numpy()
         one, two = x[:, :half] @ c1.T, x[:, half:] @ c2.T
-        bits = []
-        for r in range(len(x)):
-            seen = np.zeros(len(sizes), dtype=bool)
-            seen[traverse(one[r], two[r], sizes, wanted)] = True
-            bits.append(np.packbits(seen).tobytes())
-        yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(bits, pa.binary())], names=["query_id", "vec", "cells"])
-
-
-def _score(queries: pd.DataFrame, entries: pd.DataFrame, k: int, n_cells: int) -> pd.DataFrame:
-    """The k best rows of a shard for each query of a block."""
-    out: list[tuple[int, int, float]] = []
-    if len(queries) and len(entries):
-        q, e = np.stack(queries["vec"]).astype(np.float64), np.stack(entries["vec"]).astype(np.float64)
-        seen = np.unpackbits(np.frombuffer(b"".join(queries["cells"]), dtype=np.uint8).reshape(len(q), -1), axis=1)[:, :n_cells].astype(bool)
-        scores = np.where(seen[:, entries["cell"].to_numpy()], q @ e.T, -np.inf)
-        ids, most = entries["ids"].to_list(), min(k + 1, len(e))
-        cut = np.partition(scores, len(e) - most, axis=1)[:, len(e) - most]
-        for r, me in enumerate(queries["query_id"].to_list()):
+        for lo in range(0, len(x), 64):  # a query has a row for each unit that it visits
+            u, at, cells = [], [], []
+            for r in range(lo, min(lo + 64, len(x))):
+                seen = np.sort(np.array(traverse(one[r], two[r], sizes, wanted), dtype=np.int64))
+                g = units.group[seen]
+                for part in np.split(seen, np.flatnonzero(np.diff(g)) + 1) if len(seen) else []:
+                    k = units.group[part[0]]
+                    for v in range(units.first[k], units.first[k] + units.count[k]):
+                        u.append(v)
+                        at.append(r)
+                        cells.append(part.tolist())
+            yield _rows(u, 1, me[at], pa.nulls(len(u), pa.list_(pa.int64())), rb.column(1).take(pa.array(at, pa.int64())), cells)
+
+
+class _Unit:
+    """One unit's entries, by cell."""
+
+    def __init__(self, batches: list[pa.RecordBatch], dim: int):
+        t = pa.Table.from_batches(batches).combine_chunks()
+        cell = t.column("cells").combine_chunks().flatten().to_numpy()
+        order = np.argsort(cell, kind="stable")
+        self.x = _matrix(t.column("vec").combine_chunks(), dim)[order]
+        ids = t.column("ids").to_pylist()
+        self.ids = [ids[i] for i in order]
+        cells, start = np.unique(cell[order], return_index=True)
+        self.spans = {int(c): (int(a), int(b)) for c, a, b in zip(cells, start, np.append(start[1:], len(cell)))}
+
+    def best(self, q: np.ndarray, me: np.ndarray, cells: list[list[int]], k: int):
+        """(query, id, score) of each query's k best among the entries of its cells."""
+        visitors: dict[int, list[int]] = {}
+        for r, own in enumerate(cells):
+            for c in own:
+                if c in self.spans:
+                    visitors.setdefault(c, []).append(r)
+        scores = np.full((len(q), len(self.x)), -np.inf)
+        for c, rows in visitors.items():
+            lo, hi = self.spans[c]
+            scores[np.array(rows), lo:hi] = q[rows] @ self.x[lo:hi].T
+        most = min(k + 1, len(self.x))
+        cut = np.partition(scores, len(self.x) - most, axis=1)[:, len(self.x) - most]
+        out = []
+        for r, i in enumerate(me.tolist()):
             hit = np.flatnonzero((scores[r] >= cut[r] - 1e-9) & (scores[r] > -np.inf))
             # Always summed alike, so that equal pairs score equally wherever they are met.
-            exact = np.einsum("ij,j->i", e[hit], q[r])
-            rows = [(me, i, s) for h, s in zip(hit.tolist(), exact.tolist()) for i in ids[h] if i != me]
+            exact = np.einsum("ij,j->i", self.x[hit], q[r])
+            rows = [(i, v, s) for h, s in zip(hit.tolist(), exact.tolist()) for v in self.ids[h] if v != i]
             rows.sort(key=lambda row: (-row[2], row[1]))
             out += rows[:k]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return out
+
+
+def _score(batches, dim, k):
+    """Rows sorted by (u, kind): a unit's entries are held, the queries that follow them are streamed."""
+    held, mark, unit = [], None, None
+    for rb in batches:
+        if not rb.num_rows:
+            continue
+        u, kind = rb.column("u").to_numpy(), rb.column("kind").to_numpy()
+        new = np.flatnonzero((np.diff(u) != 0) | (np.diff(kind) != 0)) + 1
+        for lo, hi in zip(np.append(0, new).tolist(), np.append(new, len(u)).tolist()):
+            part = rb.slice(lo, hi - lo)
+            if u[lo] != mark:
+                held, mark, unit = [], u[lo], None
+            if kind[lo] == 0:
+                held.append(part)
+                continue
+            if unit is None and held:
+                unit, held = _Unit(held, dim), []
+            for a in range(0, part.num_rows if unit else 0, 256):
+                some = part.slice(a, 256)
+                rows = unit.best(_matrix(some.column("vec"), dim), some.column("id").to_numpy(), some.column("cells").to_pylist(), k)
+                cols = list(zip(*rows)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
 
 def usable(vec: Column) -> Column:
@@ -111,33 +196,34 @@ def usable(vec: Column) -> Column:
 
 def search(
     vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", *,
-    k: int = 20, visit: float = 0.6, centroids: int = CENTROIDS, sample: int = SAMPLE, shard: int = 4096, block: int = 512,
+    k: int = 20, visit: float = 0.6, centroids: int = CENTROIDS, sample: int = SAMPLE, shard: int = SHARD,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each query row.
 
     ``is_query`` is a condition on ``id_col``.  ``visit``: share of the index's entries in the visited
-    cells; 1.0 is exact.  Null ids, null, zero or empty vectors and those with null or non-finite
-    components take no part, nor do vectors whose length is not the most common one of the sample.  Rows
-    of one id are one row, with the least of its vectors.  Ties go to the smaller id.  Only the two
-    columns are read.  No usable vectors: no rows.
+    cells; 1.0 is exact.  ``shard``: entries that a task holds at once.  Null ids, null, zero or empty
+    vectors and those with null or non-finite components take no part, nor do vectors whose length is not
+    the most common one (the shortest of equally common ones), with which no product is defined.  Rows of
+    one id are one row, with the least of its vectors.  Ties go to the smaller id.  Only the two columns
+    are read.  No usable vectors: no rows.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     scratch = Scratch(spark)
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("is_query"))
     src = src.filter(usable(F.col("vec")) & F.col("vec_id").isNotNull())
-    fit = [r[0] for r in least_hashed(src.select("vec", "vec_id"), ["vec_id"], sample).collect()]
-    if not fit:
+    common = src.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = pd.Series([len(v) for v in fit]).value_counts()
-    dim = int(lengths[lengths == lengths.max()].index.min())
-    x = np.array([v for v in fit if len(v) == dim], dtype=np.float64)
+    dim = common.d
     half = dim // 2
+    one = src.filter(F.size("vec") == dim).groupBy("vec_id").agg(F.min("vec").alias("vec"), F.max("is_query").alias("is_query"))
+    one = scratch.keep(one, "vectors")
+    some = one.join(F.broadcast(least_hashed(one, ["vec_id"], sample)), "vec_id", "left_semi").select("vec")  # a bounded sample
+    x = np.array(sorted(r[0] for r in some.collect()), dtype=np.float64)
     c1, c2 = kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids)
     n_cells = len(c1) * len(c2)
 
-    one = src.filter(F.size("vec") == dim).groupBy("vec_id").agg(F.min("vec").alias("vec"), F.max("is_query").alias("is_query"))
-    one = scratch.keep(one, "vectors")
     least = Window.partitionBy("vec").orderBy("vec_id")
     # The rank filter runs before the shuffle too, so a vector in a third of all rows sends few of them.
     entries = one.select("vec_id", "vec").withColumn("k", F.row_number().over(least)).filter(F.col("k") <= k + 1)
@@ -148,17 +234,11 @@ def search(
         sizes[r[0]] = r[1]
     total = int(sizes.sum())
     wanted = min(total, max(int(np.ceil(visit * total)), k + 1))  # k others at least, where there are as many
-    n_query = one.filter("is_query").count()
-
-    queries = one.filter("is_query").select(F.col("vec_id").alias("query_id"), "vec")
-    queries = queries.mapInArrow(lambda it: _probes(it, c1, c2, dim, sizes, wanted), "query_id long, vec array<double>, cells binary")
-    queries = scratch.keep(queries, "queries")
-    n_shard, n_block = max(1, -(-total // shard)), max(1, -(-n_query // block))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = queries.withColumn("b", dealt("query_id", n_block)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_shard - 1))))
-    right = entries.withColumn("s", dealt(F.get("ids", F.lit(0)), n_shard)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_block - 1))))
-    found = (
-        left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(lambda a, b: _score(a, b, k, n_cells), "query_id long, vec_id long, score double")
-    )
+    units = Units(sizes, shard)
+
+    left = entries.mapInArrow(lambda it: _dealt_entries(it, units), _DEALT)
+    right = one.filter("is_query").select("vec_id", "vec").mapInArrow(lambda it: _dealt_queries(it, c1, c2, dim, sizes, wanted, units), _DEALT)
+    met = left.unionByName(right).repartition("u").sortWithinPartitions("u", "kind")
+    found = met.mapInArrow(lambda it: _score(it, dim, k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

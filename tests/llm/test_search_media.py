@@ -59,12 +59,42 @@ def test_full_visit_is_exact_with_copies_and_odd_vectors(spark):
     rows += [(200 + i, rows[3][1]) for i in range(60)]
     rows += [(400, None), (401, []), (402, [0.0] * 6), (403, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (404, [float("nan")] * 6), (405, [float("inf")] + [0.0] * 5), (406, [1.0, 2.0]), (None, [1.0] * 6), (5, rows[5][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"cell": F.lit(1), "ids": F.lit("x")})
-    got = found(imi.search(df, F.col("vec_id") % 5 == 0, visit=1.0, centroids=4, shard=40, block=16))
+    got = found(imi.search(df, F.col("vec_id") % 5 == 0, visit=1.0, centroids=4, shard=40))
     want = brute(rows, lambda i: i % 5 == 0)
     assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
     assert all(abs(a - b) < 1e-12 for q in got for (a, _), (b, _) in zip(got[q], want[q]))
 
 
+def test_units_hold_whole_cells_and_split_large_ones():
+    sizes = np.array([5, 0, 3, 40, 2, 9, 1])
+    units = imi.Units(sizes, 10)
+    total = np.bincount(units.group, weights=sizes)
+    assert all(t <= 10 or np.sum((units.group == g) & (sizes > 0)) == 1 for g, t in enumerate(total))
+    assert units.count.tolist() == [1, 4, 1, 1] and units.count[units.group[3]] == 4
+    assert (np.diff(units.group) >= 0).all() and units.first.tolist() == (np.cumsum(units.count) - units.count).tolist()
+
+
+def test_only_visited_cells_are_multiplied_and_sent(spark):
+    """Clustered vectors: a small share of the entries finds nearly all neighbours, and a query meets few units."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 8)) * 8
+    x = np.concatenate([c + rng.normal(size=(50, 8)) for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = found(imi.search(df, F.col("vec_id") % 20 == 0, visit=0.1, centroids=16, shard=100))
+    assert recall(got, brute([(i, v.tolist()) for i, v in enumerate(x)], lambda i: i % 20 == 0)) > 0.9
+    c1, c2 = imi.kmeans(x[:, :4], 16), imi.kmeans(x[:, 4:], 16)
+    cell = imi.nearest(x[:, :4], c1) * len(c2) + imi.nearest(x[:, 4:], c2)
+    sizes = np.bincount(cell, minlength=len(c1) * len(c2))
+    units = imi.Units(sizes, 100)
+    import pyarrow as pa
+
+    rb = pa.RecordBatch.from_arrays([pa.array(range(0, 2000, 20), pa.int64()), pa.array(x[::20].tolist(), pa.list_(pa.float64()))], names=["vec_id", "vec"])
+    sent = pa.Table.from_batches(imi._dealt_queries([rb], c1, c2, 8, sizes, 200, units))
+    cells = sent.column("cells").to_pylist()
+    assert len(cells) < 100 * units.count.sum() / 2  # rows sent: far fewer than queries times units
+    assert sum(int(sizes[c].sum()) for c in cells) < 100 * 2000 * 0.25  # products: visited entries only
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = found(imi.search(df, F.col("vec_id") % 20 == 0))
