@@ -112,5 +112,30 @@ def least_hashed(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return cut.distinct().orderBy("__h", *keys).limit(n).drop("__h")
 
 
+HOT_SHARE = 1000  # a key with more than one in so many of the rows is dealt into several tasks
+
+
+def hot_keys(scratch: Scratch, counts: DataFrame, keys: list[str], n: str = "c") -> DataFrame:
+    """(keys..., salts) of the hot keys of ``counts``, a table with a row count ``n`` per key: HOT_SHARE rows at most.
+
+    ``salts``: how many tasks such a key's rows are dealt into, so that each holds about a HOT_SHARE-th of all.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    hot = counts.filter(F.col(n) * HOT_SHARE > F.lit(total))
+    return scratch.keep(hot.select(*keys, F.ceil(F.col(n) * HOT_SHARE / F.lit(max(1, total))).cast("int").alias("salts")), "hot")
+
+
+def salted(rows: DataFrame, hot: DataFrame, keys: list[str], by: Column) -> DataFrame:
+    """``rows`` with ``salt``: 0, and for hot keys a number that ``by`` hashes to."""
+    out = rows.join(F.broadcast(hot), keys, "left")  # HOT_SHARE rows at most
+    return out.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+
+
+def spread(small: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``small``, a table with one row per key, repeated for every salt of a hot key."""
+    out = small.join(F.broadcast(hot), keys, "left")
+    return out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,6 +1,7 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
-1. Texts with the same shingle set form a class; its smallest id stands for it from here on.
+1. Texts with the same shingle set form a class, numbered in the order of its smallest id; the number stands
+   for it from here on, so that an id with several texts is in several classes.
 2. Banded MinHash signatures put classes into buckets.  In a bucket, pairs are made star-wise: the
    first member is compared with all others.  Links contract components, and later rounds only
    compare members of different components, so a bucket of many mutual copies never costs its square.
@@ -14,7 +15,12 @@
    P(similarity >= threshold) falls below the miss probability divided by the number of batches.
    In the last round a second bound follows that misses nothing: with shingles counted by hash into 512
    cells, two sets share at most the sum of the lesser counts.
-4. Survivors are verified exactly on the full shingle sets (100 * |A n B| >= 100t * |A u B|).
+4. Survivors are verified exactly on the full shingle sets (100 * |A n B| >= 100t * |A u B|).  A star's centre
+   is sent to each task that holds some of its pairs once, and is followed there by the other ends, streamed.
+
+Keys that hold more than a thousandth of the rows (buckets, shingles, star centres) are dealt into several
+tasks wherever rows meet by key.  The pairs left for step 3's last round cost, for a bucket of m members that
+are still in several components, m * m / 512 rows of about 1.7 KB.
 
 Shingles are compared by 64-bit hash, classes by a 128-bit digest of the set.
 """
@@ -29,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship_package
+from .common import Scratch, hot_keys, salted, ship_package, spread
 from .components import components
 from .shingles import hash_family, set_digest, shingle_set, signatures
 
 BANDS, ROWS, CHECKED = 48, 6, 128
-CELLS, BLOCK, SALTS = 512, 512, 16
+CELLS, BLOCK, STAR = 512, 512, 512
 
 
 def prune_table(checked: int, batch: int, threshold: float, miss: float) -> list[int]:
@@ -53,10 +59,10 @@ def prune_table(checked: int, batch: int, threshold: float, miss: float) -> list
     return out
 
 
-def _sketch(batches, id_col, text_col, width):
+def _sketch(batches, width):
     a, b = hash_family(BANDS * ROWS)
     for rb in batches:
-        ids, texts = rb.column(0), rb.column(1)
+        ids, hashes, texts = rb.column(0), rb.column(1), rb.column(2)
         lo = 0
         while lo < len(ids):  # at most about 2 MB of text, or one document, at a time
             hi, size, sets = lo, 0, []
@@ -79,13 +85,14 @@ def _sketch(batches, id_col, text_col, width):
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(lo, hi - lo),
+                    hashes.slice(lo, hi - lo),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
                     pa.array([short[k].tobytes() for k in range(len(sets))], pa.binary()),
                     pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "d1", "d2", "sig", "bands"],
+                names=["id", "h", "n", "d1", "d2", "sig", "bands"],
             )
             lo = hi
 
@@ -121,27 +128,23 @@ def _bayes(batches, least, batch, percent):
 
 
 def _exact(batches, percent, width):
-    kept: OrderedDict[int, np.ndarray] = OrderedDict()
-
-    def of(key, text):
-        if key not in kept:
-            kept[key] = shingle_set(text, width)
-            while len(kept) > 64 or len(kept) > 2 and sum(map(len, kept.values())) > 2_000_000:
-                kept.popitem(last=False)
-        kept.move_to_end(key)
-        return kept[key]
-
+    """Links (a, b) among rows sorted by (hub, salt, member): a hub's own row (member null) comes first."""
+    mark, centre = None, None
     for rb in batches:
-        a, b, ta, tb = (rb.column(k) for k in ("a", "b", "ta", "tb"))
+        hub, member, text = rb.column("hub").to_pylist(), rb.column("member").to_pylist(), rb.column("text")
+        salt = rb.column("salt").to_pylist()
         yes = []
         for k in range(rb.num_rows):
-            ia, ib = a[k].as_py(), b[k].as_py()
-            s, t = of(ia, None if ia in kept else ta[k].as_py()), shingle_set(tb[k].as_py(), width)
-            both = len(s) + len(t) - len(np.union1d(s, t))
-            if 100 * both >= percent * (len(s) + len(t) - both):
-                yes.append(k)
-        take = pa.array(yes, pa.int64())
-        yield pa.RecordBatch.from_arrays([a.take(take), b.take(take)], names=["a", "b"])
+            if member[k] is None:
+                mark, centre = (hub[k], salt[k]), shingle_set(text[k].as_py(), width)
+                continue
+            if mark != (hub[k], salt[k]):
+                raise ValueError("a pair without its centre")
+            t = shingle_set(text[k].as_py(), width)
+            both = len(centre) + len(t) - len(np.union1d(centre, t))
+            if 100 * both >= percent * (len(centre) + len(t) - both):
+                yes.append((min(hub[k], member[k]), max(hub[k], member[k])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in yes], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def _verified(scratch, pairs, reps, texts, least, batch, percent, width):
@@ -150,11 +153,22 @@ def _verified(scratch, pairs, reps, texts, least, batch, percent, width):
     if reps is not None:
         sigs = lambda k: reps.select(F.col("id").alias(k), F.col("sig").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
         cand = pairs.join(sigs("a"), "a").join(sigs("b"), "b")
-        alive = scratch.keep(cand.mapInArrow(lambda it: _bayes(it, least, batch, percent), "a long, b long"), "alive")
-    text = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
-    links = scratch.keep(alive.join(text("a"), "a").join(text("b"), "b").mapInArrow(lambda it: _exact(it, percent, width), "a long, b long"), "links")
-    if reps is not None:
-        scratch.drop(alive)
+        alive = cand.mapInArrow(lambda it: _bayes(it, least, batch, percent), "a long, b long")
+    alive = scratch.keep(alive, "alive")
+    # The end with more pairs is the centre; its text goes once to each of its stretches of STAR pairs.
+    ends = alive.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("c"))
+    own = lambda k: ends.select(F.col("id").alias(k), F.col("c").alias(f"c{k}"))
+    first = F.col("ca") >= F.col("cb")
+    stars = alive.join(own("a"), "a").join(own("b"), "b").select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"), F.greatest("ca", "cb").alias("c")
+    )
+    stars = scratch.keep(stars.withColumn("salt", F.pmod(F.xxhash64("member"), F.ceil(F.col("c") / STAR)).cast("int")).drop("c"), "stars")
+    text = texts.select(F.col("id"), "text")
+    centres = stars.select("hub", "salt").distinct().join(text, F.col("hub") == F.col("id")).select("hub", "salt", F.lit(None).cast("long").alias("member"), "text")
+    members = stars.join(text, F.col("member") == F.col("id")).select("hub", "salt", "member", "text")
+    met = centres.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
+    links = scratch.keep(met.mapInArrow(lambda it: _exact(it, percent, width), "a long, b long"), "links")
+    scratch.drop(alive, stars)
     return links
 
 
@@ -226,13 +240,11 @@ def _pairs_by_group(batches, least, batch, percent):
         yield from done(pa.Table.from_batches(held))
 
 
-def _rest(named, reps, pool, least, batch, percent, width):
+def _rest(named, reps, pool, hot, least, batch, percent, width):
     """Candidates (a, b) across components, from all buckets that are still open."""
     g = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
-    blocks = g.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-    # Salted, so that a bucket with very many members is not one task's.
-    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = named.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(blocks, ["key", "salt"])
+    blocks = spread(g.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), hot, ["key"])
+    rows = named.join(blocks, ["key", "salt"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "label", "n", "c")
@@ -247,48 +259,54 @@ def _reaches(shared, n, m, percent):
     return 100 * shared >= percent * (n + m - shared)
 
 
-def _shared(rows, reps):
+def _shared(scratch, rows, reps):
     """(id, n, c) of the members of open buckets: c counts shingles that occur in two components or more."""
-    across = rows.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("s")
-    counted = rows.join(across, "s", "left_semi").groupBy("id").agg(F.count("*").alias("c"))
-    return rows.select("id").distinct().join(reps.select("id", "n"), "id").join(counted, "id", "left").select("id", "n", F.coalesce("c", F.lit(0)).alias("c"))
+    seen = scratch.keep(rows.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")), "seen")
+    hot = hot_keys(scratch, seen, ["s"])
+    across = spread(seen.filter("x < y").select("s"), hot, ["s"])
+    counted = salted(rows, hot, ["s"], F.col("id")).join(across, ["s", "salt"], "left_semi").groupBy("id").agg(F.count("*").alias("c"))
+    out = rows.select("id").distinct().join(reps.select("id", "n"), "id").join(counted, "id", "left").select("id", "n", F.coalesce("c", F.lit(0)).alias("c"))
+    out = scratch.keep(out, "shared")
+    scratch.drop(seen, hot)
+    return out
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, width: int = 5, miss: float = 1e-4, batch: int = 16, star_rounds: int = 2
 ) -> DataFrame:
-    """One row per input row: (id_col, n_shingles, component_id, kept).
-
-    Null, empty and blank texts have no shingles and link with nothing.  Rows with the same id count as
-    one document: repeated rows give one row each, all with the smallest-id rule.  Rows with a null id
-    come back with a null component and kept = true.  Empty input: empty output.  Other columns of
-    ``docs`` are not read, so their names cannot clash.
+    """One row per input row: (id_col, n_shingles, component_id, kept, text_hash, representative).
+
+    Every row is a document of its own, linked by its own text: an id with several texts may be in several
+    components.  ``component_id`` is the smallest id of a row that is reachable.  ``kept``: that this is the
+    row's own id.  ``representative``: that the row has the id and text which stand for its component; repeated
+    rows of that id and text all say so.  ``text_hash`` is xxhash64 of the text, to tell rows of one id apart.
+    Null, empty and blank texts have no shingles and link with nothing.  Rows with a null id link nobody and
+    come back with the component of an equal text, if any, kept = true and representative = true.  Empty
+    input: empty output.  Other columns of ``docs`` are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = scratch.keep(
-        src.mapInArrow(lambda it: _sketch(it, "id", "text", width), "id long, n long, d1 long, d2 long, sig binary, bands array<long>"), "sketch"
-    )
-    classes = scratch.keep(
-        sketch.filter("d1 is not null and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes"
-    )
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    sketch = scratch.keep(src.mapInArrow(lambda it: _sketch(it, width), "id long, h long, n long, d1 long, d2 long, sig binary, bands array<long>"), "sketch")
+    # Classes are numbered in the order of their smallest row; the number is what all later steps call id.
+    least_row = sketch.filter("d1 is not null and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "h")).alias("low"))
+    least_row = least_row.select("d1", "d2", F.col("low.id").alias("low"), F.col("low.h").alias("h")).orderBy("low", "h", "d1", "d2")
+    classes = scratch.keep(least_row.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    known = classes.select(F.col("low").alias("id"), "h", "d1", "d2", "rep")
     reps = scratch.keep(
-        sketch.select("id", "n", "sig", "bands", "d1", "d2")
-        .join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi")
-        .dropDuplicates(["id", "d1"])
-        .drop("d1", "d2"),
-        "reps",
+        sketch.join(known, ["id", "h", "d1", "d2"]).select(F.col("rep").alias("id"), "n", "sig", "bands").dropDuplicates(["id"]), "reps"
     )
     # What the result needs of all rows; the wide sketches go.
-    members = scratch.keep(sketch.select("id", "n", "d1", "d2"), "members")
+    members = scratch.keep(sketch.select("id", "h", "n", "d1", "d2"), "members")
     scratch.drop(sketch)
     rows = reps.select("id", F.explode("bands").alias("key"))
-    busy = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    buckets = scratch.keep(rows.join(busy, "key"), "buckets")
-    # The texts of all that share a bucket: one pass over the documents, read by every later step.
-    pool = scratch.keep(src.join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "pool")
+    busy = scratch.keep(rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).filter("c > 1"), "busy")
+    hot = hot_keys(scratch, busy, ["key"])
+    buckets = scratch.keep(salted(rows, hot, ["key"], F.col("id")).join(spread(busy.drop("c"), hot, ["key"]), ["key", "salt"]), "buckets")
+    # The texts of all classes that share a bucket: one pass over the documents, read by every later step.
+    named_rows = classes.join(buckets.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select(F.col("low").alias("id"), "h", "rep")
+    pool = scratch.keep(src.join(named_rows, ["id", "h"]).select(F.col("rep").alias("id"), "text").dropDuplicates(["id"]), "pool")
     least = prune_table(CHECKED, batch, percent / 100, miss)
     sketches = reps.select("id", "n", "sig")
     verify = lambda pairs, prune=True: _verified(scratch, pairs, sketches if prune else None, pool, least, batch, percent, width)
@@ -299,38 +317,43 @@ def near_duplicates(
     done = pairs
     for turn in range(2, star_rounds + 2):
         # Members by component; a bucket within one component is finished.
-        named = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+        named = scratch.keep(buckets.join(labels, "id", "left").select("key", "salt", "id", F.coalesce("label", "id").alias("label")), "named")
         several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-        named = scratch.keep(named.join(several, "key"), "open")
-        if named.isEmpty():
+        open_ = scratch.keep(named.join(spread(several, hot, ["key"]), ["key", "salt"]), "open")
+        scratch.drop(named)
+        if open_.isEmpty():
             break
-        rows = named.select("id", "label").distinct().join(pool, "id").select("label", "id", "text")
+        rows = open_.select("id", "label").distinct().join(pool, "id").select("label", "id", "text")
         rows = scratch.keep(rows.mapInArrow(lambda it: _members(it, width), "label long, id long, s long"), "shingles")
-        shared = scratch.keep(_shared(rows, reps), "shared")
+        shared = _shared(scratch, rows, reps)
         scratch.drop(rows)
-        named = named.join(shared, "id")
+        named = scratch.keep(open_.join(shared, "id"), "counted")
         small = named.groupBy("key").agg(F.min("n").alias("least"))
-        named = scratch.keep(
-            named.join(small, "key").filter(_reaches(F.col("c"), F.col("n"), F.greatest("least", "c"), percent)).drop("least"), "reach"
-        )
+        fits = _reaches(F.col("c"), F.col("n"), F.greatest("least", "c"), percent)
+        reach = scratch.keep(named.join(spread(small, hot, ["key"]), ["key", "salt"]).filter(fits).drop("least"), "reach")
         if turn <= star_rounds:
-            hub = named.groupBy("key").agg(F.max(F.struct(F.col("c") / F.col("n"), -F.col("id"), "label", "n", "c")).alias("h"))
-            hub = hub.select("key", (-F.col("h.col2")).alias("hub"), F.col("h.label").alias("hl"), F.col("h.n").alias("hn"), F.col("h.c").alias("hc"))
-            new = named.join(hub, "key").filter("label <> hl").filter(_reaches(F.least("c", "hc"), F.col("n"), F.col("hn"), percent))
+            centre = reach.groupBy("key").agg(F.max(F.struct(F.col("c") / F.col("n"), -F.col("id"), "label", "n", "c")).alias("h"))
+            centre = centre.select("key", (-F.col("h.col2")).alias("hub"), F.col("h.label").alias("hl"), F.col("h.n").alias("hn"), F.col("h.c").alias("hc"))
+            met = reach.join(spread(centre, hot, ["key"]), ["key", "salt"])
+            new = met.filter("label <> hl").filter(_reaches(F.least("c", "hc"), F.col("n"), F.col("hn"), percent))
             new = new.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
         else:
-            new = _rest(named, reps, pool, least, batch, percent, width)
+            new = _rest(reach, reps, pool, hot, least, batch, percent, width)
         fresh = scratch.keep(new.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         more = verify(fresh, turn <= star_rounds)
         links = labels.select(F.col("label").alias("a"), F.col("id").alias("b")).unionByName(more)
         labels = components(scratch, links, "a", "b")
-        scratch.drop(named, shared, more)
+        scratch.drop(open_, named, reach, shared, more)
         done = done.unionByName(fresh)
     scratch.drop_all_but("members", "classes", "small")  # what the result still reads
 
-    out = (
-        members.join(classes, ["d1", "d2"], "left")
-        .join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "id").alias("component_id"))
-    )
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    # A component's class is its label's; numbers grow with the smallest id, so that is its smallest id too.
+    tops = classes.select(F.col("rep").alias("label"), F.col("low").alias("top"), F.col("h").alias("top_h"))
+    own = classes.select("d1", "d2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    own = own.join(tops, "label").select("d1", "d2", "rep", "label", "top", "top_h")
+    out = members.join(own, ["d1", "d2"], "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("top", "id").alias("component_id"), F.col("h").alias("text_hash"),
+        F.coalesce((F.col("rep") == F.col("label")) & (F.col("id") == F.col("top")) & (F.col("h") == F.col("top_h")), F.lit(True)).alias("representative"),
+    )
+    kept = F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))
+    return out.select(id_col, "n_shingles", "component_id", kept.alias("kept"), "text_hash", "representative")

@@ -12,7 +12,7 @@ from .common import fold, ship_package, table
 
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def vocabulary(name: str) -> str:
