@@ -112,6 +112,13 @@ def least_hashed(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return cut.distinct().orderBy("__h", *keys).limit(n).drop("__h")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 HOT_SHARE = 1000  # a key with more than one in so many of the rows is dealt into several tasks
 
 

@@ -6,7 +6,7 @@ from test_secrets import brute as brute_secrets
 
 import corpus_pipeline
 from ledgerlens.llm import toxicity
-from ledgerlens.llm.common import fold
+from ledgerlens.llm.common import Scratch, fold
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -18,7 +18,7 @@ def test_pipeline_matches_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got, kept = docs, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        got = stage(spark, got, sf_dir).localCheckpoint()
+        got = Scratch(spark).keep(stage(spark, got, sf_dir), name)
         assert got.columns == docs.columns
         kept[name] = {r.doc_id: r.text for r in got.collect()}
         assert all(r.n_chars == len(r.text) for r in got.collect())
@@ -54,4 +54,15 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
         got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
-        assert sorted(r.doc_id for r in got) == ([1, 2, 3, 3] if name == "full" else [])
+        assert sorted(r.doc_id for r in got) == ([1, 2, 3] if name == "full" else [])
+
+
+def test_near_dedup_stage_keeps_every_text_once(spark):
+    """An id with two texts loses only the one that stands elsewhere; repeated rows and clashing column names."""
+    a, b = " ".join("a%d" % k for k in range(12)), " ".join("b%d" % k for k in range(14))
+    rows = [(3, a, "x"), (7, a, "x"), (7, b, "y"), (7, b, "y"), (9, b + " more", "z"), (5, "", "e"), (5, "", "e"), (None, a, "n"), (None, a, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string")
+    got = corpus_pipeline.dedup_documents(spark, docs, "")
+    assert got.columns == docs.columns
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted((tuple(r) for r in got.collect()), key=key) == [(None, a, "n"), (None, a, "n"), (3, a, "x"), (5, "", "e"), (5, "", "e"), (7, b, "y")]
