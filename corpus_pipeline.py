@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import linededup, neardup, packing, secrets, toxicity
-from ledgerlens.llm.common import Scratch, fold, ship_package, table
+from ledgerlens.llm.common import Scratch, fold, fresh, ship_package, table
 from ledgerlens.llm.queries import vocabulary
 
 
@@ -24,26 +24,42 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go; labels are learned from the same folds as in op6."""
     ship_package(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
-    return toxicity.score(docs, model, out_col="__toxic").filter("__toxic < 0.5").drop("__toxic")
+    toxic = fresh(docs, "toxic")
+    return toxicity.score(docs, model, out_col=toxic).filter(F.col(toxic) < 0.5).drop(toxic)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows leave the texts; no document goes."""
+    """Later occurrences of repeated three-line windows leave the texts; no document goes.
+
+    A document that is left empty stays as one without text, so that what becomes of each id can be told
+    from the table; packing gives it its end mark only.
+    """
     out = linededup.remove_repeated_windows(docs).select(*docs.columns)
     return _sized(out)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id."""
+    """One row of each group of near duplicates stays: that of the smallest id.
+
+    Rows are told apart by id and text, so an id with two texts loses only the text that stands elsewhere.
+    Of rows with one id and text, one stays.  Rows without words or without an id stay as they are.
+    """
     ship_package(spark)
-    gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = Scratch(spark).keep(neardup.near_duplicates(docs).filter("doc_id is not null and n_shingles > 0").select("doc_id", "text_hash", "representative"), "found")
+    key = fresh(docs, "text_hash")
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    names = lambda df: df.select(F.col("doc_id"), F.col("text_hash").alias(key))
+    stay = rows.join(names(found.filter("not representative")).distinct(), ["doc_id", key], "left_anti")
+    again = names(found.filter("representative").groupBy("doc_id", "text_hash").count().filter("count > 1"))
+    single, repeated = stay.join(again, ["doc_id", key], "left_anti"), stay.join(again, ["doc_id", key], "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["doc_id", key])).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each secret in a text is replaced by a mark; no document goes."""
-    found = secrets.find_secrets(docs, out_col="__spans")
-    return _sized(secrets.redact(found, spans_col="__spans").select(*docs.columns))
+    spans = fresh(docs, "spans")
+    found = secrets.find_secrets(docs, out_col=spans)
+    return _sized(secrets.redact(found, spans_col=spans).select(*docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
