@@ -23,7 +23,8 @@ from .common import Scratch, least_hashed, ship_package
 
 SAMPLE = 8192  # vectors that the codebooks are fitted on, those of least hashed id
 CENTROIDS = 64
-SHARD = 8192  # entries of a unit
+UNIT_BYTES = 64 << 20  # of the entries that a task holds, at most
+LEAST_UNIT = 1024  # entries below which a unit is not worth a task
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -196,12 +197,13 @@ def usable(vec: Column) -> Column:
 
 def search(
     vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", *,
-    k: int = 20, visit: float = 0.6, centroids: int = CENTROIDS, sample: int = SAMPLE, shard: int = SHARD,
+    k: int = 20, visit: float = 0.6, centroids: int = CENTROIDS, sample: int = SAMPLE, shard: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each query row.
 
     ``is_query`` is a condition on ``id_col``.  ``visit``: share of the index's entries in the visited
-    cells; 1.0 is exact.  ``shard``: entries that a task holds at once.  Null ids, null, zero or empty
+    cells; 1.0 is exact.  ``shard``: entries of a unit; by default there are about two units for each core,
+    so that a query's rows do not grow with the table, but none of more than UNIT_BYTES.  Null ids, null, zero or empty
     vectors and those with null or non-finite components take no part, nor do vectors whose length is not
     the most common one (the shortest of equally common ones), with which no product is defined.  Rows of
     one id are one row, with the least of its vectors.  Ties go to the smaller id.  Only the two columns
@@ -234,6 +236,9 @@ def search(
         sizes[r[0]] = r[1]
     total = int(sizes.sum())
     wanted = min(total, max(int(np.ceil(visit * total)), k + 1))  # k others at least, where there are as many
+    if shard is None:
+        even = -(-total // (2 * spark.sparkContext.defaultParallelism))
+        shard = max(1, min(max(even, LEAST_UNIT), UNIT_BYTES // (8 * max(1, dim))))
     units = Units(sizes, shard)
 
     left = entries.mapInArrow(lambda it: _dealt_entries(it, units), _DEALT)
