@@ -2,6 +2,9 @@
 
 ``sniff`` corrects declared types and carves media embedded anywhere in a payload.  ``to_wav`` stores bytes
 losslessly as 8-bit PCM samples.
+
+Validators never copy the rest of a payload.  What they look for far ahead (end marks, the next zero byte or
+marker) is found once per payload and kept, so a payload full of signatures costs in proportion to its length.
 """
 
 from __future__ import annotations
@@ -10,7 +13,8 @@ import hashlib
 import re
 import struct
 import zlib
-from functools import cache
+from bisect import bisect_left
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +23,23 @@ from pyspark.sql import functions as F
 
 from .common import ship_package
 
-#: The magic bytes that begin each format.
+#: The magic bytes of each format, and how many bytes of the file stand before them.
 MAGIC = {
-    b"\x89PNG\r\n\x1a\n": "image/png",
-    b"\xff\xd8\xff": "image/jpeg",
-    b"GIF87a": "image/gif",
-    b"GIF89a": "image/gif",
-    b"BM": "image/bmp",
-    b"RIFF": "riff",
-    b"%PDF-": "application/pdf",
-    b"PK\x03\x04": "application/zip",
-    b"\x1f\x8b\x08": "application/gzip",
+    b"\x89PNG\r\n\x1a\n": ("image/png", 0),
+    b"\xff\xd8\xff": ("image/jpeg", 0),
+    b"GIF87a": ("image/gif", 0),
+    b"GIF89a": ("image/gif", 0),
+    b"BM": ("image/bmp", 0),
+    b"RIFF": ("riff", 0),
+    b"%PDF-": ("application/pdf", 0),
+    b"PK\x03\x04": ("application/zip", 0),
+    b"\x1f\x8b\x08": ("application/gzip", 0),
+    b"ftyp": ("video/mp4", 4),
 }
+#: RIFF forms with the chunks that must be there, and boxes that may follow one another in MP4.
+RIFF = {b"WAVE": ("audio/wav", {b"fmt ", b"data"}), b"AVI ": ("video/x-msvideo", {b"LIST"}), b"WEBP": ("image/webp", set())}
+WEBP = {b"VP8 ", b"VP8L", b"VP8X"}
+BOXES = {b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"moof", b"mfra", b"udta", b"uuid", b"styp", b"sidx", b"meta", b"pdin"}
 UNKNOWN = "application/octet-stream"
 
 
@@ -39,20 +48,77 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for magic, kind in MAGIC.items():
-        a.add_word(magic.decode("latin-1"), (len(magic), kind))
+    for magic, (kind, lead) in MAGIC.items():
+        a.add_word(magic.decode("latin-1"), (len(magic) + lead, kind))
     a.make_automaton()
     return a
 
 
-def _png(b: memoryview, at: int) -> int | None:
-    p = at + 8
-    first = True
-    while p + 12 <= len(b):
-        n, tag = struct.unpack_from(">I4s", b, p)
-        if p + 12 + n > len(b) or first and (tag != b"IHDR" or n != 13):
+#: A JPEG marker in entropy-coded data: not a stuffed byte, a restart or a fill byte.
+_JPEG_MARK = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.DOTALL)
+#: What follows the end mark of a part that is not the last: linearized and updated files, and embedded ones.
+_PDF_GOES_ON = re.compile(rb"\s{0,64}(?:\d{1,10}\s{1,8}\d{1,10}\s{1,8}obj|xref|startxref|endstream)\b")
+
+
+class Payload:
+    """Bytes with what is looked up ahead: next places, PDF end marks and ZIP end records."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.view, self.n = raw, memoryview(raw), len(raw)
+        self.ahead: dict[object, tuple[int, int]] = {}
+        self.dead: set[int] = set()  # where a walk over GIF blocks came to nothing
+
+    def next(self, what, p: int) -> int:
+        """The first place of ``what`` (bytes or a pattern) from p on, -1 if none; kept while it lies ahead."""
+        since, at = self.ahead.get(what, (0, -2))
+        if at == -2 or p < since or 0 <= at < p:
+            if isinstance(what, bytes):
+                at = self.raw.find(what, p)
+            else:
+                m = what.search(self.raw, p)
+                at = m.start() if m else -1
+            self.ahead[what] = (p, at)
+        return at
+
+    @cached_property
+    def pdf_ends(self):
+        """(places of %%EOF, last startxref before each, the last good end from each one on or -1)."""
+        eofs = [m.start() for m in re.finditer(rb"%%EOF", self.raw)]
+        refs = [m.start() for m in re.finditer(rb"startxref", self.raw)]
+        before = [refs[i - 1] if (i := bisect_left(refs, e)) else -1 for e in eofs]
+        best, after = [-1] * len(eofs), [False] * len(eofs)
+        for k in range(len(eofs) - 1, -1, -1):
+            after[k] = k + 1 < len(eofs) and bool(_PDF_GOES_ON.match(self.raw, eofs[k] + 5))
+            good = before[k] > (eofs[k - 1] if k else -1)
+            best[k] = best[k + 1] if after[k] and best[k + 1] >= 0 else eofs[k] + 5 if good else -1
+        return eofs, before, best, after
+
+    @cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """Start of an archive -> its end, by the end records: their sizes tell where the archive begins."""
+        out: dict[int, int] = {}
+        for m in re.finditer(rb"PK\x05\x06", self.raw):
+            p = m.start()
+            if p + 22 > self.n:
+                continue
+            size, start, note = struct.unpack_from("<IIH", self.raw, p + 12)
+            end, at = p + 22 + note, p - size - start
+            big = p - 76  # a 64-bit end record and its locator stand before the plain one
+            if 0xFFFFFFFF in (size, start) and big >= 0 and self.raw[big : big + 4] == b"PK\x06\x06" and self.raw[p - 20 : p - 16] == b"PK\x06\x07":
+                size, start = struct.unpack_from("<QQ", self.raw, big + 40)
+                at = big - size - start
+            if at >= 0 and end <= self.n:
+                out.setdefault(at, end)
+        return out
+
+
+def _png(f: Payload, at: int) -> int | None:
+    p, first = at + 8, True
+    while p + 12 <= f.n:
+        n, tag = struct.unpack_from(">I4s", f.raw, p)
+        if p + 12 + n > f.n or first and (tag != b"IHDR" or n != 13) or not tag.isalpha():
             return None
-        if zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
+        if zlib.crc32(f.view[p + 4 : p + 8 + n]) != struct.unpack_from(">I", f.raw, p + 8 + n)[0]:
             return None
         p, first = p + 12 + n, False
         if tag == b"IEND":
@@ -60,143 +126,173 @@ def _png(b: memoryview, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: memoryview, at: int) -> int | None:
-    p = at + 2
-    while p + 4 <= len(b):
+def _jpeg(f: Payload, at: int) -> int | None:
+    b, p, scanned = f.raw, at + 2, False
+    while p + 4 <= f.n or scanned and p + 2 <= f.n:
         if b[p] != 0xFF:
             return None
         m = b[p + 1]
         if m == 0xFF:
             p += 1
             continue
+        if m == 0xD9 and scanned:
+            return p + 2
+        # Markers without a length cannot stand here: another start, an end before any scan, restarts.
+        if m < 0xC0 or 0xD0 <= m <= 0xD9 or p + 4 > f.n:
+            return None
         n = struct.unpack_from(">H", b, p + 2)[0]
-        if m < 0xC0 or n < 2 or p + 2 + n > len(b):
+        if n < 2 or p + 2 + n > f.n:
             return None
         p += 2 + n
         if m == 0xDA:  # entropy-coded data up to the next real marker
-            raw = b.obj
-            while True:
-                p = raw.find(b"\xff", p)
-                if p < 0 or p + 1 >= len(raw):
-                    return None
-                if raw[p + 1] == 0xD9:
-                    return p + 2
-                if raw[p + 1] == 0 or 0xD0 <= raw[p + 1] <= 0xD7:
-                    p += 2
-                    continue
-                break
-    return None
-
-
-def _blocks(b: memoryview, p: int) -> int | None:
-    while p < len(b):
-        n = b[p]
-        p += 1 + n
-        if n == 0:
-            return p
+            p, scanned = f.next(_JPEG_MARK, p), True
+            if p < 0:
+                return None
     return None
 
 
-def _gif(b: memoryview, at: int) -> int | None:
-    if at + 13 > len(b):
+def _gif(f: Payload, at: int) -> int | None:
+    if at + 13 > f.n:
         return None
-    flags = b[at + 10]
+    b, flags = f.raw, f.raw[at + 10]
     p = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-    while p is not None and p < len(b):
+    passed = []
+    while p < f.n and p not in f.dead:
+        passed.append(p)
         if b[p] == 0x3B:
             return p + 1
         if b[p] == 0x21:
-            p = _blocks(b, p + 2)
-        elif b[p] == 0x2C and p + 10 < len(b):
-            f = b[p + 9]
-            p = _blocks(b, p + 11 + (3 << ((f & 7) + 1) if f & 0x80 else 0))
+            p += 2
+        elif b[p] == 0x2C and p + 10 < f.n:
+            local = b[p + 9]
+            p += 11 + (3 << ((local & 7) + 1) if local & 0x80 else 0)
         else:
-            return None
+            break
+        while p < f.n and b[p] and -p not in f.dead:  # sub-blocks
+            passed.append(-p)
+            p += 1 + b[p]
+        if p >= f.n or b[p]:
+            break
+        p += 1
+    f.dead.update(passed)
     return None
 
 
-def _bmp(b: memoryview, at: int) -> int | None:
-    if at + 26 > len(b):
+def _bmp(f: Payload, at: int) -> int | None:
+    if at + 26 > f.n:
         return None
-    size, spare, data, head = struct.unpack_from("<IIII", b, at + 2)
-    ok = spare == 0 and head in (12, 40, 52, 56, 108, 124) and 14 + head <= data <= size and at + size <= len(b)
+    size, spare, data, head = struct.unpack_from("<IIII", f.raw, at + 2)
+    ok = spare == 0 and head in (12, 40, 52, 56, 108, 124) and 14 + head <= data <= size and at + size <= f.n
     return at + size if ok else None
 
 
-def _riff(b: memoryview, at: int) -> int | None:
-    if at + 12 > len(b) or bytes(b[at + 8 : at + 12]) != b"WAVE":
+def _riff(f: Payload, at: int) -> int | None:
+    form = f.raw[at + 8 : at + 12]
+    if form not in RIFF:
         return None
-    end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
+    end = at + 8 + struct.unpack_from("<I", f.raw, at + 4)[0]
     p, seen = at + 12, set()
-    if end > len(b):
+    if end > f.n:
         return None
     while p + 8 <= end:
-        tag, n = struct.unpack_from("<4sI", b, p)
+        tag, n = struct.unpack_from("<4sI", f.raw, p)
         if p + 8 + n > end or tag == b"fmt " and n < 16:
             return None
         seen.add(tag)
         p += 8 + n + (n & 1)
-    return end if {b"fmt ", b"data"} <= seen and p >= end else None
-
-
-#: What follows the end mark of a part that is not the last: linearized and updated files, and embedded ones.
-_PDF_GOES_ON = re.compile(rb"\s*(?:\d+\s+\d+\s+obj|xref|startxref|endstream)\b")
+    return end if RIFF[form][1] <= seen and (form != b"WEBP" or WEBP & seen) and p >= end else None
 
 
-def _pdf(b: memoryview, at: int) -> int | None:
-    raw, end, p = bytes(b[at:]), None, 0
-    while (mark := raw.find(b"%%EOF", p)) > 0:
-        if raw.find(b"startxref", p, mark) >= 0:
-            end = mark + 5
-        p = mark + 5
-        if not _PDF_GOES_ON.match(raw, p):
-            break
-    if end is None:
+def _pdf(f: Payload, at: int) -> int | None:
+    """Up to the last end mark of the file: past those of linearized and updated files' parts, with its line ends."""
+    eofs, before, best, after = f.pdf_ends
+    k = bisect_left(eofs, at)
+    if k == len(eofs):
         return None
-    while raw[end : end + 1] in (b"\r", b"\n"):
+    end = best[k + 1] if after[k] and best[k + 1] >= 0 else eofs[k] + 5 if before[k] > at else None
+    while end is not None and f.raw[end : end + 1] in (b"\r", b"\n"):
         end += 1
-    return at + end
+    return end
 
 
-def _zip(b: memoryview, at: int) -> int | None:
-    raw = bytes(b[at:])
-    p = raw.find(b"PK\x05\x06")
-    while p >= 0 and p + 22 <= len(raw):
-        size, start, note = struct.unpack_from("<IIH", raw, p + 12)
-        if start + size == p and p + 22 + note <= len(raw):
-            return at + p + 22 + note
-        p = raw.find(b"PK\x05\x06", p + 4)
-    return None
+def _zip(f: Payload, at: int) -> int | None:
+    return f.zip_ends.get(at)
 
 
-def _gzip(b: memoryview, at: int) -> int | None:
-    d = zlib.decompressobj(31)
-    left = bytes(b[at:])
+def _gzip(f: Payload, at: int) -> int | None:
+    """The header by hand, for a name without an end would be sought through the whole payload; then zlib."""
+    if at + 18 > f.n or f.raw[at + 3] & 0xE0:
+        return None
+    flags, p = f.raw[at + 3], at + 10
+    if flags & 4:
+        p += 2 + struct.unpack_from("<H", f.raw, p)[0]
+    for bit in (8, 16):  # name, comment
+        if flags & bit:
+            p = f.next(b"\0", p) + 1
+            if p == 0:
+                return None
+    if p + (2 if flags & 2 else 0) + 8 > f.n:
+        return None
+    d, q, step = zlib.decompressobj(31), at, 512
+    q = p if p - at > 65536 else at  # a long name is not fed again: raw data then
+    if q == p:
+        d, q = zlib.decompressobj(-15), p + (2 if flags & 2 else 0)
+    raw_mode, crc, size = q != at, 0, 0
     try:
-        while left and not d.eof:
-            d.decompress(left, 1 << 16)
-            left = d.unconsumed_tail
+        while q < f.n and not d.eof:
+            left = f.view[q : q + step]
+            q += len(left)
+            while len(left) and not d.eof:
+                out = d.decompress(left, 1 << 16)
+                if raw_mode:
+                    crc, size = zlib.crc32(out, crc), size + len(out)
+                left = d.unconsumed_tail
+            step = 65536
     except zlib.error:
         return None
-    return len(b) - len(d.unused_data) if d.eof else None
+    if not d.eof:
+        return None
+    end = q - len(d.unused_data)
+    if raw_mode:
+        if end + 8 > f.n or struct.unpack_from("<II", f.raw, end) != (crc, size & 0xFFFFFFFF):
+            return None
+        end += 8
+    return end
+
+
+def _mp4(f: Payload, at: int) -> int | None:
+    p, seen = at, set()
+    while p + 8 <= f.n:
+        n, tag = struct.unpack_from(">I4s", f.raw, p)
+        if tag not in BOXES or tag == b"ftyp" and p != at:
+            break
+        if n == 1 and p + 16 <= f.n:
+            n = struct.unpack_from(">Q", f.raw, p + 8)[0]
+        elif n == 0:
+            n = f.n - p
+        if n < 8 or p + n > f.n:
+            return None
+        p += n
+        seen.add(tag)
+    return p if b"moov" in seen and p > at else None
 
 
 VALID = {
     "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "riff": _riff,
-    "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip,
+    "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "video/mp4": _mp4,
 }
 
 
 def find_media(data: bytes) -> list[tuple[int, int, str]]:
     """(start, length, type) of all confirmed media, in order; what lies inside another one is part of it."""
-    view, out, end = memoryview(data), [], 0
+    found, out, end = Payload(data), [], 0
     for last, (n, kind) in automaton().iter(data.decode("latin-1")):
         at = last - n + 1
         if at < end:
             continue
-        stop = VALID[kind](view, at)
+        stop = VALID[kind](found, at)
         if stop is not None:
-            out.append((at, stop - at, "audio/wav" if kind == "riff" else kind))
+            out.append((at, stop - at, RIFF[data[at + 8 : at + 12]][0] if kind == "riff" else kind))
             end = stop
     return out
 

@@ -126,9 +126,20 @@ def archive():
     return out.getvalue()
 
 
+def riff(form, *chunks):
+    body = form + b"".join(t + struct.pack("<I", len(d)) + d + b"\0" * (len(d) & 1) for t, d in chunks)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def box(tag, data):
+    return struct.pack(">I", 8 + len(data)) + tag + data
+
+
 SAMPLES = {
     "image/png": png(), "image/gif": gif(), "image/bmp": bmp(), "image/jpeg": jpeg(), "audio/wav": media.to_wav(b"abcd" * 16), "application/zip": archive(),
     "application/gzip": gzip.compress(b"x" * 500), "application/pdf": b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF",
+    "image/webp": riff(b"WEBP", (b"VP8L", b"\x2f" * 9)), "video/x-msvideo": riff(b"AVI ", (b"LIST", b"hdrl" + b"a" * 8), (b"idx1", b"q" * 6)),
+    "video/mp4": box(b"ftyp", b"isom" * 3) + box(b"moov", b"m" * 40) + box(b"mdat", b"d" * 100),
 }
 
 
@@ -151,6 +162,78 @@ def test_pdf_goes_on_to_its_last_end_mark():
         assert media.find_media(data + data) == [(0, len(data), "application/pdf"), (len(data), len(data), "application/pdf")]
 
 
+def test_linearized_pdf_is_whole():
+    """Two end marks: that of the first page's section, with objects after it, and the file's own."""
+    data = b"%PDF-1.5\n1 0 obj\n<< /Linearized 1 >>\nendobj\nxref\n0 1\ntrailer\nstartxref\n0\n%%EOF\n7 0 obj\n<< >>\nendobj\nxref\n0 1\nstartxref\n116\n%%EOF\n"
+    assert media.find_media(data) == [(0, len(data), "application/pdf")]
+    assert media.find_media(b"%PDF-1.5 no end") == media.find_media(b"%PDF-1.5 %%EOF") == []
+
+
+def test_zip64():
+    plain = archive()
+    end = plain.index(b"PK\x05\x06")
+    size, start = struct.unpack_from("<II", plain, end + 12)
+    n = struct.unpack_from("<H", plain, end + 10)[0]
+    record = b"PK\x06\x06" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, n, n, size, start)
+    data = plain[:end] + record + b"PK\x06\x07" + struct.pack("<IQI", 0, end, 1) + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    assert media.find_media(b"xx" + data + b"yy") == [(2, len(data), "application/zip")]
+
+
+@pytest.mark.parametrize("magic", [*media.MAGIC, b"RIFF\0\0\0\0WAVE", b"%PDF-%%EOF", b"%PDF-startxref%%EOF 1 0 obj ", b"PK\x03\x04PK\x05\x06", b"GIF89a\0\0\0\0\0\0\0!\xff\x05", b"\xff\xd8\xff\xda\0\2", b"\x1f\x8b\x08\x08abcdefgh"])
+def test_payloads_full_of_signatures_are_linear(magic):
+    import time
+
+    def seconds(n):
+        data = magic * (n // len(magic))
+        since = time.process_time()
+        media.find_media(data)
+        return time.process_time() - since
+
+    small, large = seconds(500_000), seconds(4_000_000)
+    assert large < 40 * max(small, 0.02), (magic, small, large)  # eight times the bytes; the square would be 64
+
+
+def test_carving_by_brute_force():
+    """Every offset is tried by each validator, without the automaton."""
+    rng = random.Random(4)
+    parts = list(SAMPLES.values()) + [b"BM", b"GIF89a", b"%PDF-", b"PK\x03\x04", b"\xff\xd8\xff", b"plain text", b"RIFF", b"\0" * 9, b"ftyp", b"%%EOF", b"startxref"]
+    for _ in range(60):
+        data = b"".join(rng.choice(parts) for _ in range(rng.randrange(1, 8)))
+        want, end = [], 0
+        for at in range(len(data)):
+            if at < end:
+                continue
+            for magic, (kind, lead) in media.MAGIC.items():
+                if data[at + lead : at + lead + len(magic)] == magic:
+                    stop = media.VALID[kind](media.Payload(data), at)  # nothing kept from earlier walks
+                    if stop is not None:
+                        want.append((at, stop - at, media.RIFF[data[at + 8 : at + 12]][0] if kind == "riff" else kind))
+                        end = stop
+                        break
+        assert media.find_media(data) == want
+
+
+def test_feature_by_brute_force(spark):
+    rng = random.Random(6)
+    texts = [(i, "".join(rng.choice("ab é😀\n") for _ in range(rng.randrange(0, 300)))) for i in range(30)] + [(50, "GIF89a" + "x" * 70), (51, None)]
+    got = {r.doc_id: r.feature for r in media.read_texts(media.store_texts(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    for i, t in texts:
+        raw = (t or "").encode()
+        raw += b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(raw, raw[1:]))
+        assert got[i] == f"audio/wav;rate=8000;n={len(raw)};sum={sum(raw)};crossings={crossings};media=0"
+
+
+def test_declared_types_are_corrected_one_by_one(spark):
+    kinds = list(SAMPLES)
+    rows = [(i * 20 + j, SAMPLES[a], b) for i, a in enumerate(kinds) for j, b in enumerate([*kinds, None, "text/plain"])]
+    got = media.sniff(spark.createDataFrame(rows, "k long, payload binary, declared string"), "k", "payload", "declared").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        real = kinds[r.k // 20]
+        assert (r.detected, r.corrected) == (real, r.declared != real)
+
+
 def test_sniff_corrects_and_carves(spark):
     rows = [(1, SAMPLES["image/png"], "image/jpeg"), (2, SAMPLES["image/gif"], "image/gif"), (3, b"RIFF BM GIF89a plain", "text/plain"), (4, None, None), (5, b"", "x"), (6, b"ab" + png() + gif(), None)]
     got = {r.k: r for r in media.sniff(spark.createDataFrame(rows, "k long, payload binary, declared string"), "k", "payload", "declared").collect()}
