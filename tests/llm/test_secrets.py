@@ -1,5 +1,7 @@
+import math
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import secrets
@@ -48,6 +50,76 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert len(hit - set(range(60))) <= 4
 
 
+def battery(core, letters):
+    """The three tests in plain Python, with exact normal tails."""
+    n, k = len(core), len(letters)
+    at = [letters.index(c) for c in core]
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi, df = sum(at.count(i) ** 2 for i in range(k)) * k / n - n, k - 1
+    p_chi = tail(((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = [x > (k - 1) / 2 for x in at]
+    up, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mu = 2 * up * (n - up) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    p_runs = 2 * tail(abs(runs - mu) / math.sqrt(var)) if var > 0 else 2.0**-20
+    x = np.array(at, float) - np.mean(at)
+    p_serial = 2 * tail(abs((x[1:] * x[:-1]).sum() / (x * x).sum() + 1 / n) * math.sqrt(n)) if (x * x).sum() > 0 else 2.0**-20
+    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+
+
+def test_battery_by_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    names = dict((n, c) for n, _, c in secrets.ALPHABETS) | {secrets.MIXED[0]: secrets.MIXED[1]}
+    tokens = []
+    for n, chars in names.items():
+        for length in (33, 40, 64, 130):
+            tokens.append("".join(rng.choice(chars) for _ in range(length)))
+            tokens.append((chars[:5] * length)[:length])  # far from random
+            tokens.append("".join(sorted(rng.choice(chars) for _ in range(length))))
+    tokens += ["a" * 40, "0" * 33, "ab1" * 20]
+    df = spark.createDataFrame([(i, " " + t + " ") for i, t in enumerate(tokens)], "doc_id long, text string")
+    got = {r.doc_id: r.c for r in df.select("doc_id", F.explode(secrets._candidates(F.col("text"))).alias("c")).collect()}
+    assert got.keys() == set(range(len(tokens)))
+    for i, t in enumerate(tokens):
+        name, length = got[i].stratum.split(":")
+        assert int(length) == int(math.log2(len(t)))
+        p = battery(t.rstrip("="), names[name])
+        want = min(secrets.BINS, math.floor(-100 * math.log10(max(p, 1e-30))))
+        assert abs(got[i].level - want) <= 1, (t, p, got[i])
+
+
+def test_normal_tail_is_right_far_out(spark):
+    z = [-8.0, -3.0, -0.5, 0.0, 0.3, 1.0, 2.5, 5.0, 9.0, 20.0, 30.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(secrets._tail(F.col("z"))).collect()]
+    assert all(abs(g / (math.erfc(x / math.sqrt(2)) / 2) - 1) < 5e-7 for x, g in zip(z, got))
+
+
+def test_false_reports_are_bounded(spark):
+    """Real tokens among many made-up ones of the same alphabet and length: most real ones are found, and the
+    share of made-up ones in what is reported stays near the bound."""
+    import random
+
+    rng = random.Random(21)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["North", "Gate", "Report", "Value", "Index", "Table", "Line", "Part", "Order"]
+    real = ["".join(rng.choice(chars) for _ in range(40)) for _ in range(300)]
+    plain = [("".join(rng.choice(words) for _ in range(9)) + "2024")[:40].ljust(40, "7") for _ in range(1500)]
+    df = spark.createDataFrame([(i, "x " + t) for i, t in enumerate(real + plain)], "doc_id long, text string")
+    hit = {r.doc_id for r in secrets.find_secrets(df).collect() if any(s.kind == 3 for s in r.secret_spans)}
+    found, wrong = len([i for i in hit if i < 300]), len([i for i in hit if i >= 300])
+    assert found >= 0.85 * 300 and wrong <= 0.2 * len(hit), (found, wrong)
+    report = secrets.stratum_report(df).collect()
+    assert sum(r.reported for r in report) == len(hit) and all(r.false_share is None or r.false_share <= 0.11 for r in report)
+
+
+def test_clashing_column_names(spark):
+    df = spark.createDataFrame([(1, "password=abcdef b", 5, 6)], "doc_id long, text string, base_spans int, Candidates int")
+    got = secrets.find_secrets(df).first()
+    assert (got.base_spans, got.Candidates, len(got.secret_spans)) == (5, 6, 1)
+
+
 def test_redact_and_odd_tables(spark):
     rows = [(1, "a password=abcdef b", 1), (2, None, 2), (3, "none", 3), (3, "none", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, secret_spans int")
