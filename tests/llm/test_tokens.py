@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, packing, pretok, queries
 
@@ -66,6 +67,43 @@ def test_encode_decode_query(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_offsets_place_tokens_and_stretches(spark):
+    enc = tiktoken_encoding()
+    rows = [(i, t) for i, t in enumerate(HARD + fuzz(60) + [None, "", "é😀漢字 " * 3000])]
+    coded = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), P.path(RANKS))
+    for r in coded.collect():
+        at = 0
+        for i, o in zip(r.ids, r.offsets):
+            assert o == at
+            at += len(enc.decode_single_token_bytes(i))
+        assert at == len((rows[r.doc_id][1] or "").encode())
+    for a, b in ((0, 5), (3, 4), (7, 7), (9, 2), (2, 10**9), (10**9, 10**9 + 1), (1, None)):
+        part = bpe.decode(coded, P.path(RANKS), start=F.lit(a), end=F.lit(b)).collect()
+        for r in part:
+            raw = (rows[r.doc_id][1] or "").encode()
+            assert bytes(r.decoded) == raw[a : len(raw) if b is None else max(a, b)], (a, b, r.doc_id)
+    nulls = spark.createDataFrame([(1, None, None), (2, [], [])], "doc_id long, ids array<int>, offsets array<int>")
+    assert [(r.doc_id, r.decoded) for r in bpe.decode(nulls, P.path(RANKS)).collect()] == [(1, None), (2, b"")]
+    for bad in ([(1, [10**6], [0])], [(1, [5, 6], [0, 9])]):
+        with pytest.raises(Exception, match="rank file|do not fit"):
+            bpe.decode(spark.createDataFrame(bad, "doc_id long, ids array<int>, offsets array<int>"), P.path(RANKS)).collect()
+
+
+def test_cache_is_bounded_in_characters():
+    ranks = bpe.read_ranks(P.path(RANKS))
+
+    def encode_new(new):
+        got = [bpe.merge(p.encode(), ranks) for p in new]
+        return np.arange(len(new)), np.array([i for g in got for i in g], dtype=np.int32), np.array([len(g) for g in got])
+
+    table = bpe.PieceTable(encode_new, chars=500)
+    for turn in range(10):
+        words = [chr(97 + turn) * (200 + k) for k in range(3)]
+        flat, _ = table.ids(words, np.arange(3))
+        assert flat.tolist() == [i for w in words for i in bpe.merge(w.encode(), ranks)]
+        assert table.at.chars <= 500 + 3 * 203
+
+
 def test_grouped_encoding_equals_single(spark, sf):
     from tokenizers import Tokenizer
 
