@@ -107,6 +107,11 @@ def flow(txn: DataFrame) -> DataFrame:
     return _derive_flow(txn.groupBy(KEY).agg(*_named(_flow())))
 
 
+def plain(txn: DataFrame) -> DataFrame:
+    """What one groupBy gives without categories: amounts, flows, times of day and week, structuring."""
+    return _derive_flow(txn.groupBy(KEY).agg(*_named(_basic() | _flow() | _temporal() | _structuring())))
+
+
 def category_shares(txn: DataFrame, category: str) -> DataFrame:
     """(account, category, n, share): long form instead of a wide pivot.  Null categories are left out."""
     counts = txn.filter(F.col(category).isNotNull()).groupBy(KEY, category).agg(F.count(F.lit(1)).alias("n"))

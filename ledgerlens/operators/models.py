@@ -13,16 +13,23 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from . import stats
 
 
+ROUNDS = 2000  # of boosting, at most: the validation rows end it
+TREES = 100
+
+
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """``df`` with ``fold``: each class is dealt over k folds in an order that only key and seed decide.
+    """``df`` with ``fold``: each class is dealt in turn over k folds, in the order of a hash of key and seed.
 
-    Dealt by hash rather than by rank over a whole class: no class has to meet in one task.  Shares are
-    even up to chance.
+    Classes' shares in the folds differ by one row at most.  A class is ordered range by range, so none has
+    to meet in one task.  One row per key.
     """
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(label), F.col(key), F.lit(seed)), F.lit(k)).cast("int"))
+    order = df.select(key, F.col(label).alias("__y"), F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")).alias("__h")).withColumn("__one", F.lit(1))
+    place = stats.running(order, "__h", {"__k": "__one"}, ["__y"]).select(key, ((F.col("__k") - 1) % k).cast("int").alias("fold"))
+    return df.join(place, key)
 
 
 def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
@@ -37,9 +44,9 @@ def _fit(kind: str, train: DataFrame, label: str, seed: int):
     if kind == "boosted":
         rows = rows.withColumn("__v", F.pmod(F.xxhash64("features", F.lit(seed)), F.lit(10)) == 0)
         return GBTClassifier(
-            featuresCol="features", labelCol="__y", weightCol="__w", maxIter=20, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, validationIndicatorCol="__v"
+            featuresCol="features", labelCol="__y", weightCol="__w", maxIter=ROUNDS, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, validationIndicatorCol="__v"
         ).fit(rows)
-    return RandomForestClassifier(featuresCol="features", labelCol="__y", weightCol="__w", numTrees=30, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed).fit(rows)
+    return RandomForestClassifier(featuresCol="features", labelCol="__y", weightCol="__w", numTrees=TREES, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed).fit(rows)
 
 
 def _scored(model, df: DataFrame, name: str) -> DataFrame:
@@ -62,7 +69,8 @@ def cross_validated(df: DataFrame, key: str, label: str, columns: list[str], k:
     """
     known = F.col(label).isNotNull()
     dealt = stratified_folds(df, key, label, k, seed).withColumn("fold", F.when(known, F.col("fold")))
-    data = assemble(dealt, columns).select(key, label, "fold", "features").cache()
+    # Written to the shared folder once: every fold's models read it, and nothing stays cached.
+    data = kept(assemble(dealt, columns).select(key, label, "fold", "features"))
     out, rest, importance = None, data.filter(~known), None
     for i in range(k):
         scored = data.filter(F.col("fold") == i)
@@ -77,7 +85,7 @@ def cross_validated(df: DataFrame, key: str, label: str, columns: list[str], k:
     out = out.unionByName(rest).withColumn("score_ensemble", mean).drop("features")
     chosen = "score_ensemble"
     if len(kinds) > 1:
-        out = out.cache()
+        out = kept(out)
         chosen = best_score(out, label, ["score_ensemble", *[f"score_{x}" for x in kinds]])
     return out.withColumns({"chosen": F.lit(chosen.removeprefix("score_")), "score": F.col(chosen)}), importance
 
@@ -119,6 +127,14 @@ def cost_sweep(df: DataFrame, score: str, label: str, thresholds: list[float], f
     )
 
 
+def optimal_thresholds(sweep: DataFrame) -> DataFrame:
+    """(criterion, threshold, cost, f1): the row of least cost and that of best F1; the lower threshold of equals."""
+    row = F.struct("threshold", "cost", "f1")
+    best = sweep.agg(F.min_by(row, F.struct("cost", "threshold")).alias("cost"), F.max_by(row, F.struct(F.coalesce("f1", F.lit(-1.0)), -F.col("threshold"))).alias("f1"))
+    rows = F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(c).alias("r")) for c in ("cost", "f1")])
+    return best.select(F.explode(rows).alias("x")).select("x.criterion", "x.r.threshold", "x.r.cost", "x.r.f1")
+
+
 def fairness(df: DataFrame, score: str, label: str, segment: str, threshold: float) -> DataFrame:
     """(segment, n, n_flagged, flag_rate, fp_rate), with a row for all segments (null segment)."""
     s, y = F.col(score), F.col(label)
@@ -145,6 +161,14 @@ def kmeans_distance(df: DataFrame, key: str, columns: list[str], k: int = 5, see
     return model.transform(v).select(key, F.col("prediction").alias("cluster"), F.sqrt(d2).alias("distance"))
 
 
+def cluster_shares(clusters: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(cluster, n, n_positive, share, mean_distance) of clusters made by ``kmeans_distance``."""
+    j = clusters.join(labels.select(key, label), key)
+    return j.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("n_positive"), F.avg((F.col(label) == 1).cast("double")).alias("share"), F.avg("distance").alias("mean_distance")
+    )
+
+
 def pca_error(df: DataFrame, key: str, columns: list[str], k: int = 5) -> DataFrame:
     """(key, error): norm of what ``k`` principal components leave of a standardised row."""
     v = assemble(df, columns, "raw")

@@ -121,6 +121,12 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("p")).select("p.*")
 
 
+def strongest_pair(pairs: DataFrame, limit: float = 0.7) -> DataFrame:
+    """(a, b, corr, too_close): of ``correlations``, the pair of different columns with the largest one."""
+    own = pairs.filter("a <> b").orderBy(F.abs("corr").desc(), "a", "b").limit(1)
+    return own.withColumn("too_close", (F.abs("corr") >= limit).cast("int"))
+
+
 def flag_prevalence(df: DataFrame, flags: list[str], label: str) -> DataFrame:
     """(flag, rate_1, rate_0, diff): how often each Y/N flag is Y by class; null is not Y."""
     g = df.agg(*[F.struct(*[F.try_divide(F.sum(X.flag((F.col(label) == y) & X.equals(F.col(f), "Y"))).cast("double"), F.count_if(F.col(label) == y)).alias(f"r{y}") for y in (1, 0)]).alias(f) for f in flags])

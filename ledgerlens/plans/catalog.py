@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import features, graph, models, patterns, profile, quality, stats, text, timeseries
-from ..sources.binding import ACCOUNTS_T, TXN_E, TXN_T, accounts_t, read, txn_e, txn_t
+from ..sources.binding import ACCOUNTS_T, BANK_T, TXN_E, TXN_T, accounts_t, bank_t, read, txn_e, txn_t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -289,9 +289,11 @@ def semi_join_filter(spark, sf_dir):
     return li.join(o, li.l_orderkey == o.o_orderkey, "left_semi").agg(F.count(F.lit(1)).alias("n"), X.exact_sum(F.col("l_extendedprice")).alias("total"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
 def anti_join_orphans(spark, sf_dir):
-    return quality.orphans(read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+    """Customers without any urgent order."""
+    urgent = read(spark, sf_dir, "orders").filter(F.col("o_orderpriority").startswith("1"))
+    return quality.orphans(read(spark, sf_dir, "customer"), urgent, "c_custkey", "o_custkey")
 
 
 @query("SELECT count(*) AS n_missing, CAST(count(*) = 0 AS INT) AS all_present FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))")
@@ -468,6 +470,12 @@ def correlation_matrix(spark, sf_dir):
     return rounded(profile.correlations(read(spark, sf_dir, "lineitem"), list(_NUM)), "corr")
 
 
+@query("WITH c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM lineitem" for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]) + ") SELECT a, b, corr, CAST(abs(corr) >= 0.7 :: DOUBLE AS INT) AS too_close FROM c ORDER BY abs(corr) DESC, a, b LIMIT 1")
+def strongest_pair(spark, sf_dir):
+    """The pair of columns with the largest correlation, and whether it reaches 0.70."""
+    return profile.strongest_pair(rounded(profile.correlations(read(spark, sf_dir, "lineitem"), list(_NUM)), "corr"), 0.7)
+
+
 @query(
     """WITH s AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), b AS (SELECT l_returnflag, CAST(least(floor((l_quantity - lo) / ((hi - lo) / 40)), 39) AS INT) AS bin, (hi - lo) / 40 AS w FROM lineitem, s),
 c AS (SELECT l_returnflag, bin, count(*) AS n, any_value(w) AS w FROM b GROUP BY 1, 2)
@@ -697,6 +705,16 @@ def cramers_v(spark, sf_dir):
     return rounded(stats.chi_square(accounts_t(spark, sf_dir), "is_mule", "product_family"), "chi2", "cramers_v")
 
 
+@query(
+    f"""WITH {ACCOUNTS_T}, n AS (SELECT is_mule AS a, product_family AS b, count(*) AS n FROM acct WHERE product_family IS NOT NULL GROUP BY 1, 2),
+ra AS (SELECT a, sum(n) AS ra FROM n GROUP BY 1), cb AS (SELECT b, sum(n) AS cb FROM n GROUP BY 1)
+SELECT ra.a, cb.b, coalesce(n.n, 0) AS n, round(ra * cb / (SELECT sum(n) FROM n), 6) AS expected FROM ra CROSS JOIN cb LEFT JOIN n ON n.a = ra.a AND n.b = cb.b"""
+)
+def chi_square_expected(spark, sf_dir):
+    """Observed and expected counts of every cell of a contingency table."""
+    return rounded(stats.expected_counts(accounts_t(spark, sf_dir), "is_mule", "product_family"), "expected")
+
+
 @query()
 def test_p_values(spark, sf_dir):
     """p-values of three tests with stars and Bonferroni's adjustment; each statistic is one row."""
@@ -726,6 +744,14 @@ def roc_curve(spark, sf_dir):
     return rounded(stats.roc_curve(scored(spark, sf_dir), "score", "y"), "threshold", "tpr", "fpr")
 
 
+@query(
+    f"""WITH {SCORED}, {_CUM}, c AS (SELECT score, CAST(sum(n1) OVER (ORDER BY score DESC) AS BIGINT) AS tp, CAST(sum(n0) OVER (ORDER BY score DESC) AS BIGINT) AS fp FROM v)
+SELECT round(score, 6) AS threshold, tp, fp, round(tp / (tp + fp), 6) AS precision, round(tp / (SELECT sum(n1) FROM v), 6) AS recall FROM c"""
+)
+def pr_curve(spark, sf_dir):
+    return rounded(stats.pr_curve(scored(spark, sf_dir), "score", "y"), "threshold", "precision", "recall")
+
+
 @query(
     f"""WITH {SCORED}, {_CUM}, c AS (SELECT n1, sum(n1) OVER (ORDER BY score DESC) AS tp, sum(n0) OVER (ORDER BY score DESC) AS fp FROM v)
 SELECT CAST((SELECT sum(n1) FROM v) AS BIGINT) AS n1, round(sum(n1 / (SELECT sum(n1) FROM v) * (tp / (tp + fp))), 6) AS ap FROM c"""
@@ -753,6 +779,16 @@ def cost_sweep(spark, sf_dir):
     return rounded(models.cost_sweep(scored(spark, sf_dir), "score", "y", list(_TH)), "precision", "recall", "fpr", "f1")
 
 
+@query(
+    f"WITH {SCORED}, c AS ({' UNION ALL '.join(_sweep(t) for t in _TH)}), m AS (SELECT threshold, fn * 1000000 + fp * 50000 - tp * 500000 AS cost, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM c), "
+    "r AS (SELECT 'cost' AS criterion, threshold, cost, f1, row_number() OVER (ORDER BY cost, threshold) AS k FROM m UNION ALL SELECT 'f1', threshold, cost, f1, row_number() OVER (ORDER BY f1 DESC NULLS LAST, threshold) FROM m) "
+    "SELECT criterion, threshold, cost, round(f1, 6) AS f1 FROM r WHERE k = 1"
+)
+def optimal_thresholds(spark, sf_dir):
+    """The thresholds of least cost and of best F1."""
+    return rounded(models.optimal_thresholds(models.cost_sweep(scored(spark, sf_dir), "score", "y", list(_TH))), "f1")
+
+
 @query(f"WITH {SCORED} SELECT CASE WHEN score >= 0.8 :: DOUBLE THEN 'high' WHEN score >= 0.4 :: DOUBLE THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM s GROUP BY 1")
 def risk_tiers(spark, sf_dir):
     return models.tier_counts(patterns.routing(scored(spark, sf_dir), "score", 0.4, 0.8))
@@ -790,12 +826,32 @@ def two_hop_exposure(spark, sf_dir):
     return graph.two_hop_exposure(txn_e(spark, sf_dir), lab, fold="fold", held_out=0)
 
 
-@query()
+_EDGES = f"""{TXN_T}, e AS (SELECT account_id + 1 AS src, -counterparty_id - 1 AS dst, CAST(sum(CAST(coalesce(amount, 0) AS DECIMAL(18,2))) AS DOUBLE) AS w FROM txn GROUP BY 1, 2)"""
+
+
+def _pagerank_sql(rounds: int = 10) -> str:
+    out = f"""WITH {_EDGES}, t AS (SELECT src, sum(w) AS t FROM e WHERE w > 0 GROUP BY 1), flow AS MATERIALIZED (SELECT e.src, dst, w / t AS p FROM e JOIN t ON e.src = t.src WHERE w > 0),
+nodes AS MATERIALIZED (SELECT src AS node FROM flow UNION SELECT dst FROM flow), r0 AS (SELECT node, 1.0 :: DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"""
+    for i in range(rounds):
+        out += f""", g{i} AS MATERIALIZED (SELECT node, coalesce(got, 0) AS got FROM nodes LEFT JOIN (SELECT dst, sum(p * rank) AS got FROM flow JOIN r{i} ON src = node GROUP BY 1) ON dst = node),
+r{i + 1} AS MATERIALIZED (SELECT node, (1 - 0.85 :: DOUBLE) / (SELECT count(*) FROM nodes) + 0.85 :: DOUBLE * (got + (1 - (SELECT sum(got) FROM g{i})) / (SELECT count(*) FROM nodes)) AS rank FROM g{i})"""
+    return out + f" SELECT node, round(rank, 9) AS rank FROM r{rounds}"
+
+
+def _labels_sql(rounds: int = 8) -> str:
+    """The least label of a node and its neighbours, again and again; enough rounds for these tables' short paths."""
+    out = f"WITH {_EDGES}, both_ways AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e), l0 AS (SELECT DISTINCT src AS node, src AS label FROM both_ways)"
+    for i in range(rounds):
+        out += f", l{i + 1} AS MATERIALIZED (SELECT node, least(label, m) AS label FROM l{i} JOIN (SELECT src, min(label) AS m FROM both_ways JOIN l{i} ON dst = node GROUP BY 1) ON src = node)"
+    return out + f" SELECT node, label FROM l{rounds}"
+
+
+@query(_pagerank_sql())
 def pagerank(spark, sf_dir):
-    return graph.pagerank(graph.edges(txn_t(spark, sf_dir)))
+    return graph.pagerank(graph.edges(txn_t(spark, sf_dir))).withColumn("rank", F.round("rank", 9))
 
 
-@query()
+@query(_labels_sql())
 def label_propagation(spark, sf_dir):
     return graph.label_propagation(graph.edges(txn_t(spark, sf_dir)))
 
@@ -805,21 +861,23 @@ def betweenness(spark, sf_dir):
     return graph.betweenness(graph.edges(txn_t(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {SCORED} SELECT account_id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(account_id AS VARCHAR) || ':42')) - 1) % 5 AS INT) AS fold FROM s")
 def stratified_folds(spark, sf_dir):
     return models.stratified_folds(scored(spark, sf_dir).select("account_id", "y"), "account_id", "y")
 
 
-_FEATURES = ["txn_count", "mean_amount", "max_amount", "n_counterparties", "in_degree", "out_degree"]
+_FEATURES = [
+    "txn_count", "total_amount", "mean_amount", "std_amount", "max_amount", "min_amount", "credit_count", "credit_total", "debit_count", "debit_total", "passthrough_ratio", "net_flow",
+    "credit_debit_ratio", "salary_window_rate", "weekend_rate", "near_10k_rate", "round_1k_rate", "n_counterparties", "in_degree", "out_degree",
+]
 
 
 def _numeric(spark, sf_dir):
-    t = labelled_t(spark, sf_dir)
-    g = t.groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("txn_count"), X.exact_mean(F.col("amount")).alias("mean_amount"), F.max("amount").alias("max_amount"), F.count_distinct("counterparty_id").alias("n_counterparties"),
-        F.count_if(F.col("txn_type") == "C").alias("in_degree"), F.count_if(F.col("txn_type") == "D").alias("out_degree"), F.max("is_mule").alias("is_mule"),
-    )
-    return g.withColumns({c: F.col(c).cast("double") for c in _FEATURES})
+    """Twenty features of every account with a transaction, and its label."""
+    t = txn_t(spark, sf_dir)
+    y = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"), F.when(F.col("c_acctbal") < 0, 1).otherwise(0).alias("is_mule"))
+    g = features.plain(t).join(features.degrees(t), "account_id").join(y, "account_id")
+    return features.matrix(g, _FEATURES).join(y, "account_id")
 
 
 @query()
@@ -827,9 +885,16 @@ def kmeans_distance(spark, sf_dir):
     return models.kmeans_distance(_numeric(spark, sf_dir), "account_id", _FEATURES)
 
 
+@query()
+def kmeans_profile(spark, sf_dir):
+    """Size and share of positives of each cluster."""
+    df = _numeric(spark, sf_dir)
+    return models.cluster_shares(models.kmeans_distance(df, "account_id", _FEATURES), df, "account_id", "is_mule")
+
+
 @query()
 def pca_error(spark, sf_dir):
-    return models.pca_error(_numeric(spark, sf_dir), "account_id", _FEATURES, 3)
+    return models.pca_error(_numeric(spark, sf_dir), "account_id", _FEATURES)
 
 
 @query()
@@ -840,7 +905,7 @@ def isolation_score(spark, sf_dir):
 @query()
 def gbt_scores(spark, sf_dir):
     """Out-of-fold scores of boosted trees, a forest and their mean."""
-    scores, _ = models.cross_validated(_numeric(spark, sf_dir), "account_id", "is_mule", _FEATURES, k=2)
+    scores, _ = models.cross_validated(_numeric(spark, sf_dir), "account_id", "is_mule", _FEATURES)
     return scores
 
 
@@ -942,7 +1007,7 @@ def cube_totals(spark, sf_dir):
 
 @query()
 def feature_importance(spark, sf_dir):
-    _, importance = models.cross_validated(_numeric(spark, sf_dir), "account_id", "is_mule", _FEATURES, k=2, kinds=("boosted",))
+    _, importance = models.cross_validated(_numeric(spark, sf_dir), "account_id", "is_mule", _FEATURES, kinds=("boosted",))
     return spark.createDataFrame(importance, "feature string, importance double")
 
 
@@ -961,8 +1026,8 @@ def noise_sensitivity(spark, sf_dir):
     """AUC with all positive labels, and without those of one kind (here every third positive)."""
     df, rows = _numeric(spark, sf_dir), []
     for name, part in (("all", df), ("without", df.filter("is_mule = 0 or account_id % 3 <> 0"))):
-        scores, _ = models.cross_validated(part, "account_id", "is_mule", _FEATURES, k=2, kinds=("forest",))
-        rows.append((name, float(stats.roc_auc(scores, "score_forest", "is_mule").first().auc)))
+        scores, _ = models.cross_validated(part, "account_id", "is_mule", _FEATURES, kinds=("boosted",))
+        rows.append((name, float(stats.roc_auc(scores, "score_boosted", "is_mule").first().auc)))
     return spark.createDataFrame(rows, "labels string, auc double")
 
 
@@ -970,13 +1035,70 @@ def noise_sensitivity(spark, sf_dir):
 def stacked_scores(spark, sf_dir):
     """Trees with the isolation forest's score as one more feature."""
     df = _numeric(spark, sf_dir)
-    iso = models.isolation_scores(df, "account_id", _FEATURES, trees=50).withColumnRenamed("score", "isolation")
-    scores, _ = models.cross_validated(df.join(iso, "account_id"), "account_id", "is_mule", [*_FEATURES, "isolation"], k=2, kinds=("forest",))
+    iso = models.isolation_scores(df, "account_id", _FEATURES).withColumnRenamed("score", "isolation")
+    scores, _ = models.cross_validated(df.join(iso, "account_id"), "account_id", "is_mule", [*_FEATURES, "isolation"], kinds=("boosted",))
     return scores
 
 
-@query()
+@query(
+    """WITH l AS (SELECT doc_id, unnest(range(0, len(p))) AS line_no, unnest(p) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
+x AS (SELECT doc_id, line_no, CASE WHEN contains(raw, ' | ') THEN '| ' || raw ELSE raw END AS line FROM l),
+f AS (SELECT *, (sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no)) % 2 = 0 AS open FROM x),
+t AS (SELECT *, open AND starts_with(ltrim(line, ' '), '|') AS tab, CASE WHEN open AND regexp_matches(line, '^##\\s+\\d+') THEN CAST(regexp_extract(line, '^##\\s+(\\d+)', 1) AS INT) END AS s FROM f),
+g AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no), 0) AS section, coalesce(lag(tab) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS before FROM t)
+SELECT doc_id, CAST(line_no AS INT) AS line_no, section, CAST(row_number() OVER (PARTITION BY doc_id, section ORDER BY line_no) AS INT) AS table_no FROM g WHERE tab AND NOT before"""
+)
 def numbered_tables(spark, sf_dir):
     """Tables of Markdown-like texts, numbered within their sections."""
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return text.numbered_tables(lines.withColumn("line", F.when(F.col("line").contains(" | "), F.concat(F.lit("| "), "line")).otherwise(F.col("line"))))
+
+
+# --- the full feature table ---------------------------------------------------------------------
+
+_CHANNELS, _MCCS = ["AF", "NF", "NO", "RF", "UPC", "UPD", "IPM", "NTD", "FTD", "ATW"], [1, 7, 13, 25, 50]
+
+
+def _full_sql() -> str:
+    of_t = lambda name: SQL[name].replace(TXN_E, TXN_T)
+    channels = f"WITH {TXN_T} SELECT account_id, " + ", ".join(
+        f"coalesce(round(CAST(sum(CASE WHEN channel = '{k}' THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(channel), 0), 6), 0) AS ch_{k}_rate" for k in _CHANNELS
+    ) + " FROM txn GROUP BY 1"
+    groups = [of_t(n) for n in ("txn_basic_stats", "flow_credit_debit", "channel_entropy")] + [channels] + [of_t(n) for n in ("temporal_rates", "hour_entropy", "velocity_gaps", "structuring_rates", "daily_bursts", "mcc_rates", "mcc_entropy")]
+    ref, code = f"TIMESTAMP '{REF}'", lambda c: f"CAST(dense_rank() OVER (ORDER BY coalesce(CAST({c} AS VARCHAR), 'MISSING')) - 1 AS INT) AS {c}_enc"
+    account = f"""WITH {BANK_T}, b AS (SELECT *, list_filter([avg_balance, monthly_avg_balance, quarterly_avg_balance, daily_avg_balance], lambda x: x IS NOT NULL) AS l FROM accounts)
+SELECT account_id, {', '.join(f'round({x}, 6) AS {x}' for x in features.BALANCES)}, num_chequebooks, {days(ref, 'account_opening_date')} AS acct_age_days, round({days(ref, 'account_opening_date')} / 30.44, 6) AS acct_age_months,
+  CAST(freeze_date IS NOT NULL AS INT) AS was_frozen, CAST(unfreeze_date IS NOT NULL AS INT) AS was_unfrozen, CAST(last_mobile_update_date IS NOT NULL AS INT) AS had_mobile_update,
+  {days(ref, 'last_mobile_update_date')} AS days_since_mobile_update, {days(ref, 'last_kyc_date')} AS days_since_kyc, {days('unfreeze_date', 'freeze_date')} AS frozen_duration,
+  {', '.join(code(c) for c in features.ENCODED_ACCOUNT)}, round(list_max(l) - list_min(l), 6) AS balance_range, round(CASE WHEN len(l) > 1 THEN list_aggregate(l, 'stddev_samp') END, 6) AS balance_std, product_code, currency_code FROM b"""
+    score = lambda cols: " + ".join(f"CAST(coalesce({c} = 'Y', false) AS INT)" for c in cols)
+    held = [f"{p}_{x}" for p in features.PRODUCTS for x in ("sum", "count")]
+    customer = f"""WITH {BANK_T}, c AS (SELECT customer_id, round({days(ref, 'date_of_birth')} / 365.25, 6) AS age, round({days(ref, 'relationship_start_date')} / 365.25, 6) AS rel_years,
+  CAST(coalesce(customer_pin <> permanent_pin, true) AS INT) AS pin_mismatch, {', '.join(code(c) for c in features.KYC + features.DIGITAL)}, {score(features.KYC)} AS kyc_score, {score(features.DIGITAL)} AS digital_score FROM customers)
+SELECT account_id, c.* EXCLUDE (customer_id), n.n_accounts_customer, {', '.join(f'products.{h}' for h in held)} FROM linkage LEFT JOIN c USING (customer_id)
+  LEFT JOIN (SELECT customer_id, count(*) AS n_accounts_customer FROM linkage GROUP BY 1) n USING (customer_id) LEFT JOIN products USING (customer_id)"""
+    out = f"SELECT * FROM ({groups[0]}) g0"
+    for i, g in enumerate([*groups[1:], account, customer, SQL["derived_ratios"]], 1):
+        out += f" LEFT JOIN ({g}) g{i} USING (account_id)"
+    return f"SELECT * REPLACE (coalesce(channel_entropy, 0) AS channel_entropy, coalesce(n_channels_used, 0) AS n_channels_used, coalesce(mcc_entropy, 0) AS mcc_entropy, coalesce(hour_entropy, 0) AS hour_entropy) FROM ({out})"
+
+
+@query(_full_sql())
+def feature_table(spark, sf_dir):
+    """All 122 features of every account with a transaction."""
+    t = bank_t(spark, sf_dir)
+    out = features.build(t["transactions"], t["accounts"], t["customers"], t["products"], t["linkage"], REF, channels=_CHANNELS, mccs=_MCCS)
+    return rounded(out, *[f.name for f in out.schema.fields if f.dataType.simpleString() == "double" and f.name not in ("total_amount", "mean_amount", "max_amount", "min_amount", "credit_mean", "debit_mean")])
+
+
+@query()
+def leakage_comparison(spark, sf_dir):
+    """AUC out of fold with the features that a freeze gives away, and without them."""
+    base = _numeric(spark, sf_dir)
+    a = features.account_attributes(accounts_t(spark, sf_dir), REF).select("account_id", "was_frozen", "was_unfrozen", "frozen_duration")
+    df = base.join(features.matrix(a, ["was_frozen", "was_unfrozen", "frozen_duration"]), "account_id")
+    rows = []
+    for name, cols in (("all", [*_FEATURES, "was_frozen", "was_unfrozen", "frozen_duration"]), ("leakage_free", _FEATURES)):
+        scores, _ = models.cross_validated(df, "account_id", "is_mule", cols, kinds=("boosted",))
+        rows.append((name, len(cols), float(stats.roc_auc(scores, "score_boosted", "is_mule").first().auc)))
+    return spark.createDataFrame(rows, "features string, n_features int, auc double")

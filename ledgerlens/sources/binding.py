@@ -104,3 +104,60 @@ acct AS (
          CASE WHEN c_custkey % 4 = 0 THEN d + INTERVAL 300 DAY END AS freeze_date,
          CASE WHEN c_custkey % 8 = 0 THEN d + INTERVAL 330 DAY END AS unfreeze_date
   FROM customer LEFT JOIN opened ON c_custkey = o_custkey)"""
+
+
+# --- the whole banking model over the driver's tables, for the full feature table -----------------
+
+_YN = "CASE WHEN k % {n} = {y} THEN 'Y' WHEN k % {n} = ({y} + 1) % {n} THEN 'N' END"
+
+
+def _yn(n: int, y: int) -> str:
+    return _YN.format(n=n, y=y)
+
+
+#: Further attributes as SQL over the key ``k`` (both engines read them alike).
+MORE_ACCOUNT = {
+    "num_chequebooks": "CAST(k % 6 AS INT)", "product_code": "k % 9", "currency_code": "1 + k % 2", "cheque_allowed": _yn(4, 1), "cheque_availed": _yn(6, 2), "rural_branch": _yn(7, 3),
+}
+CUSTOMER = {
+    "pan_available": _yn(3, 1), "aadhaar_available": _yn(4, 2), "passport_available": _yn(5, 0), "mobile_banking_flag": _yn(2, 0), "internet_banking_flag": _yn(3, 2), "atm_card_flag": _yn(4, 0),
+    "demat_flag": _yn(5, 3), "credit_card_flag": _yn(6, 1), "fastag_flag": _yn(7, 5), "customer_pin": "100000 + k % 25 * 1000 + k % 7", "permanent_pin": "CASE WHEN k % 11 <> 0 THEN 100000 + k % 24 * 1000 + k % 7 END",
+}
+PRODUCT = {
+    f"{p}_{what}": f"CASE WHEN k % {i + 2} = 0 THEN {value} END"
+    for i, p in enumerate(("loan", "cc", "od", "ka", "sa")) for what, value in (("sum", f"CAST(k % 1000 AS DOUBLE) * {i + 1} / 2"), ("count", f"CAST(k % {i + 3} AS INT)"))
+}
+#: Which account belongs to which customer: two accounts each.
+LINK = "CAST(floor((k + 1) / 2) AS BIGINT)"
+
+
+def bank_t(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """transactions, accounts, customers, products and linkage of binding T."""
+    key = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    with_k = lambda items: [F.expr(e).alias(n) for n, e in items.items()]
+    days = lambda n: F.make_dt_interval(F.expr(n).cast("int"))
+    more = key.select(F.col("k").alias("account_id"), *with_k(MORE_ACCOUNT))
+    accounts = accounts_t(spark, sf_dir).join(more, "account_id").withColumn(
+        "last_kyc_date", F.when(F.col("account_id") % 3 != 0, F.col("account_opening_date") + F.expr("INTERVAL 100 DAY"))
+    )
+    customers = key.select(
+        F.col("k").alias("customer_id"), (F.expr("TIMESTAMP_NTZ '1950-01-01 00:00:00'") + days("k * 37 % 16000")).alias("date_of_birth"),
+        F.when(F.col("k") % 9 != 0, F.expr("TIMESTAMP_NTZ '1990-01-01 00:00:00'") + days("k * 11 % 3000")).alias("relationship_start_date"), *with_k(CUSTOMER),
+    )
+    return {
+        "transactions": txn_t(spark, sf_dir, True), "accounts": accounts, "customers": customers, "products": key.filter("k % 3 <> 1").select(F.col("k").alias("customer_id"), *with_k(PRODUCT)),
+        "linkage": key.select(F.expr(LINK).alias("customer_id"), F.col("k").alias("account_id")),
+    }
+
+
+def _sql(items: dict[str, str]) -> str:
+    return ", ".join(f"{e} AS {n}" for n, e in items.items())
+
+
+BANK_T = f"""{ACCOUNTS_T}, keys AS (SELECT c_custkey AS k FROM customer),
+accounts AS (SELECT acct.*, m.* EXCLUDE (account_id), CASE WHEN acct.account_id % 3 <> 0 THEN account_opening_date + INTERVAL 100 DAY END AS last_kyc_date
+  FROM acct JOIN (SELECT k AS account_id, {_sql(MORE_ACCOUNT)} FROM keys) m ON m.account_id = acct.account_id),
+customers AS (SELECT k AS customer_id, TIMESTAMP '1950-01-01' + to_days(CAST(k * 37 % 16000 AS INT)) AS date_of_birth,
+  CASE WHEN k % 9 <> 0 THEN TIMESTAMP '1990-01-01' + to_days(CAST(k * 11 % 3000 AS INT)) END AS relationship_start_date, {_sql(CUSTOMER)} FROM keys),
+products AS (SELECT k AS customer_id, {_sql(PRODUCT)} FROM keys WHERE k % 3 <> 1),
+linkage AS (SELECT {LINK} AS customer_id, k AS account_id FROM keys)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` by a reliable checkpoint in the shared folder, which cuts its lineage and survives lost executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        base = shared_dir(df.sparkSession)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(base)
+    return df.checkpoint(eager=True)
