@@ -40,7 +40,7 @@ from .components import components
 from .shingles import hash_family, set_digest, shingle_set, signatures
 
 BANDS, ROWS, CHECKED = 48, 6, 128
-CELLS, BLOCK, STAR = 512, 512, 512
+CELLS, BLOCK, STAR = 512, 512, 64
 
 
 def prune_table(checked: int, batch: int, threshold: float, miss: float) -> list[int]:
