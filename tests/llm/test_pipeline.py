@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 from test_lines_chat import brute as brute_lines
@@ -9,9 +11,10 @@ from ledgerlens.llm import toxicity
 from ledgerlens.llm.common import Scratch, fold
 
 P = pytest.importorskip("public_tokenizers")
+DATA = os.environ.get("LEDGERLENS_TESTDATA", "/root/testdata")
 
 
-@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+@pytest.mark.parametrize("sf_dir", [f"{DATA}/sf0.001", f"{DATA}/sf0.01"])
 def test_pipeline_matches_brute_force(spark, sf_dir):
     from tokenizers import Tokenizer
 

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import os
 import random
 import struct
 import zipfile
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import imi, media, queries
 
+DATA = os.environ.get("LEDGERLENS_TESTDATA", "/root/testdata")
+
 
 def brute(vectors, is_query, k=20):
     """All inner products in double precision."""
@@ -44,7 +47,7 @@ def recall(got, want):
     return np.mean([len({i for _, i in got.get(q, [])} & {i for _, i in w}) / len(w) for q, w in want.items() if w])
 
 
-@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+@pytest.mark.parametrize("sf_dir", [f"{DATA}/sf0.001", f"{DATA}/sf0.1"])
 def test_recall_on_embeddings(spark, sf_dir):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     want = brute(rows, lambda i: i % 20 == 0)
