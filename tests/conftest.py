@@ -28,4 +28,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf():
-    return "/root/testdata/sf0.001"
+    return os.path.join(os.environ.get("LEDGERLENS_TESTDATA", "/root/testdata"), "sf0.001")

@@ -61,3 +61,46 @@ def test_empty_and_single(spark):
     one = spark.createDataFrame([(2.0, 1, "a"), (None, 1, "a"), (float("nan"), 0, "a")], "score double, y int, g string")
     assert [r.threshold for r in stats.pr_curve(one.filter("score is not null and not isnan(score)"), "score", "y").collect()] == [2.0]
     assert stats.mann_whitney(one, "score", "y").first().u1 == 0.0
+
+
+def test_label_codes_of_many_texts(spark):
+    from ledgerlens.operators import features
+
+    rows = spark.range(20_000).select(F.concat(F.lit("ACCT_"), F.lpad(F.pmod("id", F.lit(9000)).cast("string"), 6, "0")).alias("c"))
+    df = rows.unionByName(spark.createDataFrame([(None,), ("",), ("zz",), ("é",)], "c string"))
+    got = {r.value: r.code for r in features.label_codes(df, "c").collect()}
+    assert got == {v: i for i, v in enumerate(sorted({*(f"ACCT_{k:06d}" for k in range(9000)), "", "zz", "é", "MISSING"}))}
+
+
+@pytest.mark.parametrize("many", [0, 3, 64])
+def test_exposure_by_brute_force(spark, many):
+    import random
+
+    from ledgerlens.operators import graph
+
+    rng = random.Random(many)
+    txn = [(rng.randrange(60), rng.randrange(4) if rng.random() < 0.5 else rng.randrange(200)) for _ in range(260)] + [(None, 1), (70, None), (71, 999), (72, 999)]
+    labels = [(a, int(rng.random() < 0.3), a % 5) for a in range(75) if a % 7] + [(200, 1, 1)]
+    got = graph.two_hop_exposure(
+        spark.createDataFrame(txn, "account_id long, counterparty_id long"), spark.createDataFrame(labels, "account_id long, is_mule int, fold long"), fold="fold", held_out=0, many=many
+    )
+    known = {a: y for a, y, f in labels if f != 0}
+    pairs = {(a, c) for a, c in txn if a is not None and c is not None}
+    want = {}
+    for a in {a for a, _ in pairs}:
+        peers = {b for x, c in pairs if x == a for b, d in pairs if d == c and b != a and b in known}
+        if peers:
+            want[a] = (len(peers), sum(known[b] for b in peers))
+    assert {r.account_id: (r.n_peers, r.n_bad) for r in got.collect()} == want
+
+
+def test_folds_are_even(spark):
+    from ledgerlens.operators import models
+
+    df = spark.range(5003).select(F.col("id").alias("k"), F.when(F.col("id") % 100 == 0, 1).when(F.col("id") % 999 == 1, None).otherwise(0).alias("y"))
+    got = models.stratified_folds(df, "k", "y")
+    n = {(r.y, r.fold): r["count"] for r in got.groupBy("y", "fold").count().collect()}
+    assert sum(n.values()) == 5003
+    for y in (0, 1, None):
+        sizes = [n.get((y, f), 0) for f in range(5)]
+        assert max(sizes) - min(sizes) <= 1
