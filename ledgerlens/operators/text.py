@@ -11,6 +11,42 @@ def strip_captions(text: Column) -> Column:
     return F.regexp_replace(text, r"(?m)^\*{1,2}Table [0-9.]+[^\n]*\*{1,2}\n?", "")
 
 
+#: The shapes of captions, images and contents lists that the report tools look for.
+CAPTION = r"\n\*Table \d+\.\d+:[^\n]*?\*\n"
+RULE = r"\n---\n"
+FIGURE = r"<p>(<img[^>]+/>)</p>\s*<p><em>(Figure\s+\d+\.\d+:\s*[^<]+)</em></p>"
+IMAGE = r"<p>(<img[^>]+/>)</p>"
+TABLE_CAPTION = r"<p><em>(Table\s+\d+\.\d+:\s*[^<]+)</em></p>"
+CONTENTS = r"(?s)(<h2[^>]*id=\"table-of-contents\"[^>]*>.*?</h2>\s*<(ol|ul)>.*?</(?:ol|ul)>)"
+
+
+def drop_rules(text: Column) -> Column:
+    """Markdown without earlier table captions and horizontal rules; a rule between blank lines leaves one blank line."""
+    out = F.regexp_replace(text, CAPTION, "\n")
+    return F.regexp_replace(F.regexp_replace(out, r"\n" + RULE + r"\n", "\n\n"), RULE, "\n")
+
+
+def wrap_figures(html: Column) -> Column:
+    """Images followed by a figure caption become figures with it; other images alone in a paragraph, figures without."""
+    out = F.regexp_replace(html, FIGURE, "<figure>$1<figcaption>$2</figcaption></figure>")
+    return F.regexp_replace(out, IMAGE, "<figure>$1</figure>")
+
+
+def style_captions(html: Column) -> Column:
+    """Table captions in italics become paragraphs of their own class."""
+    return F.regexp_replace(html, TABLE_CAPTION, '<p class="table-caption">$1</p>')
+
+
+def wrap_contents(html: Column) -> Column:
+    """The heading and list of contents, ordered or not, in a page of their own."""
+    return F.regexp_replace(html, CONTENTS, '<div class="toc-page">$1</div>')
+
+
+def column_title(name: Column) -> Column:
+    """A column's name as a title: without a flag suffix, blanks for underscores, each word capitalised."""
+    return F.initcap(F.replace(F.replace(name, F.lit("_flag"), F.lit("")), F.lit("_"), F.lit(" ")))
+
+
 def image_names(text: Column) -> Column:
     """The sources of <img> tags, in order."""
     return F.regexp_extract_all(text, F.lit(r"<img[^>]*\ssrc=[\"']([^\"']+)[\"']"), 1)

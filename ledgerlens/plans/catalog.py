@@ -338,7 +338,7 @@ def table_shapes(spark, sf_dir):
     return quality.shape({n: read(spark, sf_dir, n) for n in ("customer", "orders", "events")})
 
 
-@query()
+@query("SELECT * FROM (VALUES ('bigint', 4 :: BIGINT), ('double', 4), ('int', 2), ('string', 4), ('timestamp_ntz', 4)) v(dtype, n_columns)")
 def dtype_histogram(spark, sf_dir):
     return quality.dtype_histogram(spark, accounts_t(spark, sf_dir))
 
@@ -929,6 +929,36 @@ def regex_captions(spark, sf_dir):
     )
 
 
+_MADE_MD = "'# A' || chr(10) || '*Table 1.' || page_id || ': old*' || chr(10) || 'x' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || url || chr(10) || '---' || chr(10) || 'end'"
+_MADE_HTML = (
+    "'<h2 id=\"table-of-contents\">Contents</h2>' || chr(10) || CASE WHEN page_id % 2 = 0 THEN '<ol><li>a</li></ol>' ELSE '<ul><li>a</li></ul>' END || '<p><img src=\"' || url || '\"/></p>' || chr(10) || "
+    "'<p><em>Figure 2.' || page_id || ': a picture</em></p><p><img alt=\"b\"/></p><p><em>Table 3.' || page_id || ': numbers</em></p>' || html"
+)
+
+
+@query(
+    f"""WITH m AS (SELECT page_id, {_MADE_MD} AS md, {_MADE_HTML} AS h FROM pages),
+a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(md, '{text.CAPTION}', chr(10), 'g'), '\\n{text.RULE}\\n', chr(10) || chr(10), 'g'), '{text.RULE}', chr(10), 'g') AS markdown,
+  regexp_replace(regexp_replace(h, '{text.FIGURE}', '<figure>\\1<figcaption>\\2</figcaption></figure>', 'g'), '{text.IMAGE}', '<figure>\\1</figure>', 'g') AS h FROM m)
+SELECT page_id, markdown, regexp_replace(regexp_replace(h, '{text.TABLE_CAPTION}', '<p class="table-caption">\\1</p>', 'g'), '{text.CONTENTS}', '<div class="toc-page">\\1</div>', 'g') AS page FROM a"""
+)
+def report_rewrites(spark, sf_dir):
+    """Markdown and HTML rewriting of reports: captions, rules, figures, contents."""
+    made = read(spark, sf_dir, "pages").select("page_id", F.expr(_MADE_MD).alias("md"), F.expr(_MADE_HTML).alias("h"))
+    return made.select("page_id", text.drop_rules(F.col("md")).alias("markdown"), text.wrap_contents(text.style_captions(text.wrap_figures(F.col("h")))).alias("page"))
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT event_type || '_flag' AS name FROM events UNION SELECT DISTINCT lower(replace(p_type, ' ', '_')) FROM part)
+SELECT name, array_to_string(list_transform(string_split(replace(replace(name, '_flag', ''), '_', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS title FROM w"""
+)
+def column_titles(spark, sf_dir):
+    """Column names as titles of a plot."""
+    e = read(spark, sf_dir, "events").select(F.concat("event_type", F.lit("_flag")).alias("name"))
+    names = e.unionByName(read(spark, sf_dir, "part").select(F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))).alias("name"))).distinct()
+    return names.select("name", text.column_title(F.col("name")).alias("title"))
+
+
 @query("""SELECT page_id, base64(encode(url)) AS url64, CASE lower(list_last(string_split(url, '.'))) WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'gif' THEN 'image/gif' WHEN 'svg' THEN 'image/svg+xml' ELSE 'application/octet-stream' END AS mime FROM pages""")
 def base64_mime(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.base64("url").alias("url64"), text.mime_type(F.col("url")).alias("mime"))

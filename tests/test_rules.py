@@ -138,3 +138,19 @@ def test_bins_and_cut(spark):
     assert [r.bin for r in profile.equal_bins(df, "v", 2).orderBy("v").collect()] == [None, 0, 0, 1]
     assert [r[0] for r in df.select(profile.cut(F.col("v"), [0, 5, 10])).collect()] == [None, 0, 1, None]
     assert sum(r.n for r in profile.histogram(df, "v", 2).collect()) == 3
+
+
+def test_report_rewrites(spark):
+    from ledgerlens.operators import text
+
+    md = "a\n*Table 1.2: old*\nb\n\n---\n\nc\n---\nd --- e"
+    html = '<h2 class="x" id="table-of-contents">C</h2>\n<ul><li>1</li></ul><p><img src="a"/></p>\n<p><em>Figure 1.2: cap</em></p><p><img src="b"/></p><p><em>Table 2.1: t</em></p><p><em>other</em></p>'
+    r = spark.createDataFrame([(md, html, "mobile_banking_flag")], "m string, h string, c string").select(
+        text.drop_rules(F.col("m")).alias("m"), text.wrap_contents(text.style_captions(text.wrap_figures(F.col("h")))).alias("h"), text.column_title(F.col("c")).alias("c")
+    ).first()
+    assert r.m == "a\nb\n\nc\nd --- e"
+    assert r.h == (
+        '<div class="toc-page"><h2 class="x" id="table-of-contents">C</h2>\n<ul><li>1</li></ul></div><figure><img src="a"/><figcaption>Figure 1.2: cap</figcaption></figure>'
+        '<figure><img src="b"/></figure><p class="table-caption">Table 2.1: t</p><p><em>other</em></p>'
+    )
+    assert r.c == "Mobile Banking"
