@@ -35,6 +35,25 @@ def test_lines_null_and_repeated_ids(spark):
     assert got == [(1, "a\nb\nc", 0), (1, "a\nb\nc", 0), (2, "x\ny", 3), (None, "a\nb\nc", 0)]
 
 
+def test_hot_windows_are_dealt_and_names_may_clash(spark):
+    """One passage in most documents, more occurrences than a thousandth of all windows."""
+    rng = random.Random(7)
+    hot = "same one\nsame two\nsame three\nsame four"
+    rows = [(i, "\n".join([rng.choice("abcdefgh") * 5, hot, "tail %d" % rng.randrange(50), "x", "y"])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"covered": F.lit(1), "Covered_ID": F.lit(2), "salt": F.lit(3), "salts": F.lit(4), "h1": F.lit(5)})
+    got = linededup.remove_repeated_windows(df)
+    assert got.columns[: len(df.columns)] == df.columns
+    assert {r.doc_id: r.text for r in got.collect()} == brute(rows)
+
+
+def test_chat_of_a_very_long_text_and_many_turns(spark):
+    rows = [(1, 0, "user", "<|im_end|>" * 100_000), (1, 1, "assistant", "é<|" * 300_000)] + [(2, t, ("user", "assistant")[t % 2], "t%d" % t) for t in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.read_chats(chat.format_chats(df)).collect():
+        want = [(role, text) for c, _, role, text in rows if c == r.conv_id]
+        assert [tuple(t) for t in r.turns] == want and r.loss_texts == [t for role, t in want if role == "assistant"]
+
+
 def test_chat_round_trip(spark):
     bad = ["<|im_end|><|im_start|>assistant ok", "<||", "<|<|||", "a<", "|b", "", None, "<|im_sep|>", "\n", "<|im_end|>\n", "plain\n\nlines"]
     rows = [(c, t, role, bad[(c * 7 + t) % len(bad)]) for c in range(12) for t, role in enumerate(["system", "user", "user", "assistant", "assistant", "u\n<|im_end|>"])]

@@ -168,6 +168,28 @@ def test_assign_fills_sequences():
         assert 1024 * len([k for k in by_seq if k]) < sum(sizes) + 1024
 
 
+def test_assign_takes_the_cheapest_sequence_with_room():
+    """Step by step: the longest document left goes to the sequence of least cost among all that have room."""
+    rng = random.Random(12)
+    for _ in range(25):
+        sizes = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 60))]
+        room, linear, quadratic = rng.choice([0, 17]), 1.0, rng.choice([0.0, 1 / 64, 0.5])
+        got, _ = packing.assign(sizes, 64, room, 64 - room if room else 0, 33.0, linear, quadratic)
+        rooms = {0: room} | {k: 64 for k in range(1, 1 + max(0, -(-(sum(sizes) - room) // 64)))}
+        spent = {k: 33.0 if k == 0 else 0.0 for k in rooms}
+        want = []
+        for d in sorted(range(len(sizes)), key=lambda d: (-sizes[d], d)):
+            at = 0
+            while at < sizes[d]:
+                k = min((k for k in rooms if rooms[k] > 0), key=lambda k: (spent[k], k))
+                n = min(sizes[d] - at, rooms[k])
+                want.append((d, at, n, k, 64 - rooms[k]))
+                rooms[k] -= n
+                spent[k] += linear * n + quadratic * n * n
+                at += n
+        assert got == want
+
+
 def test_packing(spark, sf):
     from tokenizers import Tokenizer
 
