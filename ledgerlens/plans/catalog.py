@@ -784,7 +784,7 @@ def cost_sweep(spark, sf_dir):
     "r AS (SELECT 'cost' AS criterion, threshold, cost, f1, row_number() OVER (ORDER BY cost, threshold) AS k FROM m UNION ALL SELECT 'f1', threshold, cost, f1, row_number() OVER (ORDER BY f1 DESC NULLS LAST, threshold) FROM m) "
     "SELECT criterion, threshold, cost, round(f1, 6) AS f1 FROM r WHERE k = 1"
 )
-def optimal_thresholds(spark, sf_dir):
+def threshold_optimum(spark, sf_dir):
     """The thresholds of least cost and of best F1."""
     return rounded(models.optimal_thresholds(models.cost_sweep(scored(spark, sf_dir), "score", "y", list(_TH))), "f1")
 

@@ -111,7 +111,8 @@ def test_betweenness_of_the_whole_graph(spark):
     assert graph.betweenness(df.filter("false")).count() == 0
 
 
-def test_folds_cover_and_models_score(spark):
+def test_folds_cover_and_models_score(spark, monkeypatch):
+    monkeypatch.setattr(models, "TREES", 30)
     rows = [(i, i % 4 == 0, float(i % 4 == 0) + (i % 7) / 10, float(i % 5)) for i in range(400)]
     df = spark.createDataFrame(rows, "account_id long, y boolean, a double, b double").withColumn("is_mule", F.col("y").cast("int"))
     scores, importance = models.cross_validated(df, "account_id", "is_mule", ["a", "b"], k=2)
@@ -122,7 +123,8 @@ def test_folds_cover_and_models_score(spark):
     assert out.orderBy(F.desc("score")).first().account_id == 9999
 
 
-def test_unlabelled_rows_get_the_mean_over_folds_and_the_best_score(spark):
+def test_unlabelled_rows_get_the_mean_over_folds_and_the_best_score(spark, monkeypatch):
+    monkeypatch.setattr(models, "TREES", 30)
     rows = [(i, None if i % 5 == 0 else int(i % 4 == 0), float(i % 4 == 0) + (i % 7) / 10, float(i % 5)) for i in range(400)]
     df = spark.createDataFrame(rows, "account_id long, is_mule int, a double, b double")
     scores, _ = models.cross_validated(df, "account_id", "is_mule", ["a", "b"], k=2)
