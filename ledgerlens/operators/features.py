@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources.shared import kept
 from . import stats
 
 # Channels with a rate of their own, and high-risk merchant codes.
@@ -197,17 +198,27 @@ def degrees(txn: DataFrame) -> DataFrame:
     return pairs.groupBy(KEY).agg(F.count_if(known).alias("n_counterparties"), F.count_if(known & F.col("c")).alias("in_degree"), F.count_if(known & F.col("d")).alias("out_degree"))
 
 
-def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): codes from 0 in the order of the values' text, nulls as MISSING.  Fitted on all rows."""
-    seen = df.select(F.coalesce(F.col(column).cast("string"), F.lit("MISSING")).alias("value")).distinct()
-    return stats.running(seen.withColumn("n", F.lit(1)), "value", {"k": "n"}).select("value", (F.col("k") - 1).cast("int").alias("code"))
+FEW_CODES = 50_000  # codes that are sent to every task; more are joined by a shuffle
+
+
+def label_codes(df: DataFrame, *columns: str) -> DataFrame:
+    """(column, value, code): codes from 0 in the order of the values' text, nulls as MISSING, for each column.
+
+    Fitted on all rows, in one pass for all columns; the order goes by ranges of texts.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("MISSING"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in columns])
+    seen = df.select(F.explode(pairs).alias("p")).select("p.column", "p.value").distinct().withColumn("n", F.lit(1))
+    return stats.running(seen, "value", {"k": "n"}, ["column"]).select("column", "value", (F.col("k") - 1).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, *columns: str) -> DataFrame:
-    base = df  # codes are fitted on the input, so that the plan grows by one branch a column
+    """``df`` with ``{column}_enc`` for each column."""
+    codes = kept(label_codes(df, *columns))
+    few = codes.count() <= FEW_CODES
     for c in columns:
-        codes = label_codes(base, c).withColumnsRenamed({"value": f"__{c}", "code": f"{c}_enc"})
-        df = df.join(codes, F.coalesce(F.col(c).cast("string"), F.lit("MISSING")) == F.col(f"__{c}"), "left").drop(f"__{c}")
+        own = codes.filter(F.col("column") == c).select(F.col("value").alias(f"__{c}"), F.col("code").alias(f"{c}_enc"))
+        df = df.join(F.broadcast(own) if few else own, F.coalesce(F.col(c).cast("string"), F.lit("MISSING")) == F.col(f"__{c}"), "left").drop(f"__{c}")
     return df
 
 
