@@ -154,3 +154,21 @@ def test_report_rewrites(spark):
         '<figure><img src="b"/></figure><p class="table-caption">Table 2.1: t</p><p><em>other</em></p>'
     )
     assert r.c == "Mobile Banking"
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from ledgerlens.sources.shared import shared_dir
+
+    def session(master, conf=None, own=None):
+        made = []
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: own, setCheckpointDir=made.append)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf), sparkContext=sc), made
+
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://host:7077")[0])
+    assert shared_dir(session("spark://host:7077", "hdfs:///shared/")[0]) == "hdfs:///shared"
+    assert shared_dir(session("yarn", None, "hdfs:///own")[0]) == "hdfs:///own"
+    local, made = session("local[2]")
+    assert shared_dir(local).startswith("file://") and len(made) == 1
