@@ -49,6 +49,11 @@ def _fit(kind: str, train: DataFrame, label: str, seed: int):
     return RandomForestClassifier(featuresCol="features", labelCol="__y", weightCol="__w", numTrees=TREES, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed).fit(rows)
 
 
+def boosted(df: DataFrame, label: str, columns: list[str], seed: int = 42):
+    """Boosted trees fitted on all labelled rows."""
+    return _fit("boosted", kept(assemble(df.filter(F.col(label).isNotNull()), columns)), label, seed)
+
+
 def _scored(model, df: DataFrame, name: str) -> DataFrame:
     return model.transform(df).withColumn(name, F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
 
@@ -106,6 +111,60 @@ def permutation_importance(scored: DataFrame, score_of, columns: list[str], labe
     return out
 
 
+def _tree(model) -> dict[str, np.ndarray]:
+    """A fitted tree's nodes in arrays: feature (-1: leaf), threshold, left, right, value."""
+    rows: list[list[float]] = []
+
+    def walk(node) -> int:
+        at = len(rows)
+        rows.append([-1, 0.0, -1, -1, node.prediction()])
+        if node.getClass().getSimpleName() == "InternalNode":
+            split = node.split()
+            rows[at][0], rows[at][1] = split.featureIndex(), split.threshold()
+            rows[at][2], rows[at][3] = walk(node.leftChild()), walk(node.rightChild())
+        return at
+
+    walk(model._call_java("rootNode"))
+    cols = list(zip(*rows))
+    return {k: np.array(c, dtype=t) for k, c, t in zip(("feature", "threshold", "left", "right", "value"), cols, (int, float, int, int, float))}
+
+
+def attributions(model, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, bias, one column per feature): what each feature adds to a row's margin, by paths through the trees.
+
+    On a row's path, the change of the node's mean from parent to child goes to the feature that was split
+    on; bias is the mean of the roots.  Bias and contributions sum to the weighted sum of the trees.  For
+    models of continuous splits.  Rows are scored in batches on the executors; the trees are sent with the code.
+    """
+    trees, weights = [_tree(t) for t in model.trees], [float(w) for w in model.treeWeights]
+    x = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+
+    def run(batches):
+        for pdf in batches:
+            rows = pdf[columns].to_numpy(dtype=np.float64)
+            out, bias = np.zeros((len(rows), len(columns))), 0.0
+            for t, w in zip(trees, weights):
+                bias += w * t["value"][0]
+                at = np.zeros(len(rows), dtype=int)
+                while len(live := np.flatnonzero(t["feature"][at] >= 0)):
+                    here = at[live]
+                    f = t["feature"][here]
+                    new = np.where(rows[live, f] <= t["threshold"][here], t["left"][here], t["right"][here])
+                    out[live, f] += w * (t["value"][new] - t["value"][here])
+                    at[live] = new
+            yield pd.DataFrame({key: pdf[key], "bias": bias} | {c: out[:, i] for i, c in enumerate(columns)})
+
+    kind = df.schema[key].dataType.simpleString()
+    return x.mapInPandas(run, f"{key} {kind}, bias double, " + ", ".join(f"`{c}` double" for c in columns))
+
+
+def mean_attributions(contributions: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, mean_abs, mean): how much each feature moves the margin, over all rows."""
+    g = contributions.agg(*[F.struct(F.avg(F.abs(c)).alias("mean_abs"), F.avg(c).alias("mean")).alias(c) for c in columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in columns])
+    return g.select(F.explode(rows).alias("x")).select("x.feature", "x.r.mean_abs", "x.r.mean")
+
+
 def cost_sweep(df: DataFrame, score: str, label: str, thresholds: list[float], fn: int = 1_000_000, fp: int = 50_000, tp: int = -500_000, tn: int = 0) -> DataFrame:
     """(threshold, tp, fp, fn, tn, cost, precision, recall, fpr, f1) for scores of at least the threshold; one pass."""
     s, y = F.col(score), F.col(label)

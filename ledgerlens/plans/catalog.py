@@ -1041,6 +1041,14 @@ def feature_importance(spark, sf_dir):
     return spark.createDataFrame(importance, "feature string, importance double")
 
 
+@query()
+def tree_attributions(spark, sf_dir):
+    """What each feature adds to every account's boosted score, as means over all accounts."""
+    df = _numeric(spark, sf_dir)
+    model = models.boosted(df, "is_mule", _FEATURES)
+    return models.mean_attributions(models.attributions(model, df, "account_id", _FEATURES), _FEATURES)
+
+
 @query()
 def permutation_importance(spark, sf_dir):
     """Loss of AUC of a simple score when one of its columns is shuffled."""

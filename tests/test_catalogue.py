@@ -144,6 +144,20 @@ def test_unlabelled_rows_get_the_mean_over_folds_and_the_best_score(spark, monke
     assert models.best_score(flip, "is_mule", ["bad", "score_boosted"]) == "score_boosted"
 
 
+def test_attributions_sum_to_the_margin(spark):
+    rows = [(i, int(i % 4 == 0), float(i % 4 == 0) + (i % 7) / 10, float(i % 5), float(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "account_id long, is_mule int, a double, b double, c double")
+    model = models.boosted(df, "is_mule", ["a", "b", "c"])
+    got = {r.account_id: r for r in models.attributions(model, df, "account_id", ["a", "b", "c"]).collect()}
+    margin = {r.account_id: r.rawPrediction[1] for r in model.transform(models.assemble(df, ["a", "b", "c"])).collect()}
+    assert got.keys() == margin.keys()
+    for i, r in got.items():
+        assert r.bias + r.a + r.b + r.c == pytest.approx(margin[i], abs=1e-9)
+    top = models.mean_attributions(models.attributions(model, df, "account_id", ["a", "b", "c"]), ["a", "b", "c"]).orderBy(F.desc("mean_abs")).first()
+    assert top.feature == "a"
+    assert models.attributions(model, df.filter("false"), "account_id", ["a", "b", "c"]).count() == 0
+
+
 def test_library_runs_without_the_training_data_part(tmp_path):
     """The entry module imports, and lists its other queries, when the llm folder and the pipeline are gone."""
     root = os.path.dirname(os.path.abspath(entry.__file__))
