@@ -198,8 +198,8 @@ def _levels(docs: DataFrame, text_col: str) -> DataFrame:
     return level.groupBy("c.stratum", "c.level").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _cuts(levels: DataFrame, q: float, false: float) -> DataFrame:
-    """(stratum, cut, reported, expected): levels under ``cut`` are reported; ``expected`` of them are random."""
+def _ranked(levels: DataFrame, q: float, false: float) -> DataFrame:
+    """``levels`` with what is reported up to each of them, and how much of it is random; ``cut`` for the whole stratum."""
     down = Window.partitionBy("stratum").orderBy(F.desc("level"))
     up = Window.partitionBy("stratum").orderBy("level")
     whole = Window.partitionBy("stratum")
@@ -212,13 +212,17 @@ def _cuts(levels: DataFrame, q: float, false: float) -> DataFrame:
     rejected = p(F.col("level")) <= F.lit(q) * F.col("below") / F.col("all")
     expected = F.col("random") * (1 - p(F.col("level") + 1))
     ranked = ranked.withColumns({"rejected": rejected, "expected": expected, "fits": F.col("upto") * (1 - F.lit(false)) <= F.greatest(expected, F.lit(1.0))})
-    g = ranked.groupBy("stratum").agg(
-        F.min(F.when(F.col("rejected"), F.col("level"))).alias("bh"), F.max(F.when(F.col("fits"), F.col("level") + 1)).alias("most"),
-    )
-    g = g.select(F.col("stratum").alias("s"), F.least(F.coalesce("bh", F.lit(BINS + 1)), F.coalesce("most", F.lit(0))).alias("cut"))
-    last = ranked.join(g, ranked["stratum"] == g["s"])
+    bh = F.min(F.when(F.col("rejected"), F.col("level"))).over(whole)
+    most = F.max(F.when(F.col("fits"), F.col("level") + 1)).over(whole)
+    return ranked.withColumn("cut", F.least(F.coalesce(bh, F.lit(BINS + 1)), F.coalesce(most, F.lit(0))))
+
+
+def _cuts(levels: DataFrame, q: float, false: float) -> DataFrame:
+    """(stratum, cut, reported, expected): levels under ``cut`` are reported; ``expected`` of them are random."""
     under = F.col("level") < F.col("cut")
-    return last.groupBy("stratum", "cut").agg(F.coalesce(F.max(F.when(under, F.col("upto"))), F.lit(0)).alias("reported"), F.coalesce(F.max(F.when(under, F.col("expected"))), F.lit(0.0)).alias("expected"))
+    return _ranked(levels, q, false).groupBy("stratum", "cut").agg(
+        F.coalesce(F.max(F.when(under, F.col("upto"))), F.lit(0)).alias("reported"), F.coalesce(F.max(F.when(under, F.col("expected"))), F.lit(0.0)).alias("expected")
+    )
 
 
 def stratum_report(docs: DataFrame, text_col: str = "text", *, q: float = 0.05, false: float = 0.1) -> DataFrame:
