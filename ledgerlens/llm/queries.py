@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, imi, langid, linededup, media, neardup, packing, secrets, toxicity
+from . import bpe, chat, imi, langid, linededup, media, neardup, packing, resample, secrets, tokencount, toxicity, whitening
 from .common import fold, ship_package, table
 
 
@@ -91,7 +91,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeated_windows(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
-_QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_cost_packing, op3_inverted_multi_index, op4_secret_scan, op5_bpe_codec, op6_toxicity, op7_media_columns, op8_language_id, op9_chat_format, op10_line_dedup)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))  # null where a long cannot hold it
+
+
+_QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_neardup, op2_cost_packing, op3_inverted_multi_index, op4_secret_scan, op5_bpe_codec, op6_toxicity, op7_media_columns, op8_language_id,
+        op9_chat_format, op10_line_dedup, op11_importance_resampling, op12_token_counts, op13_embedding_whitening,
+    )
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
