@@ -25,6 +25,7 @@ SAMPLE = 8192  # vectors that the codebooks are fitted on, those of least hashed
 CENTROIDS = 64
 UNIT_BYTES = 64 << 20  # of the entries that a task holds, at most
 LEAST_UNIT = 1024  # entries below which a unit is not worth a task
+SPAN = 4096  # entries that scores are held of at a time, for 256 queries
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -140,7 +141,8 @@ class _Unit:
         ids = t.column("ids").to_pylist()
         self.ids = [ids[i] for i in order]
         cells, start = np.unique(cell[order], return_index=True)
-        self.spans = {int(c): (int(a), int(b)) for c, a, b in zip(cells, start, np.append(start[1:], len(cell)))}
+        self.order, self.starts, self.ends = cells.tolist(), start, np.append(start[1:], len(cell))
+        self.spans = {int(c): (int(a), int(b)) for c, a, b in zip(cells, self.starts, self.ends)}
 
     def best(self, q: np.ndarray, me: np.ndarray, cells: list[list[int]], k: int):
         """(query, id, score) of each query's k best among the entries of its cells."""
@@ -149,15 +151,31 @@ class _Unit:
             for c in own:
                 if c in self.spans:
                     visitors.setdefault(c, []).append(r)
-        scores = np.full((len(q), len(self.x)), -np.inf)
-        for c, rows in visitors.items():
-            lo, hi = self.spans[c]
-            scores[np.array(rows), lo:hi] = q[rows] @ self.x[lo:hi].T
-        most = min(k + 1, len(self.x))
-        cut = np.partition(scores, len(self.x) - most, axis=1)[:, len(self.x) - most]
+        # SPAN entries at a time; what may still be among a query's best is all that is kept of a span.
+        most, cut = k + 1, np.full(len(q), -np.inf)
+        own, entry, score = [], [], []
+        for at in range(0, len(self.x), SPAN):
+            end = min(at + SPAN, len(self.x))
+            scores = np.full((len(q), end - at), -np.inf)
+            for c in self.order[np.searchsorted(self.ends, at, side="right") : np.searchsorted(self.starts, end)]:
+                rows, (lo, hi) = visitors.get(c, ()), self.spans[c]
+                if len(rows):
+                    lo, hi = max(lo, at), min(hi, end)
+                    scores[np.array(rows), lo - at : hi - at] = q[rows] @ self.x[lo:hi].T
+            if end - at > most:
+                cut = np.maximum(cut, np.partition(scores, end - at - most, axis=1)[:, end - at - most])
+            r, h = np.nonzero((scores >= cut[:, None] - 1e-9) & (scores > -np.inf))
+            own.append(r)
+            entry.append(h + at)
+            score.append(scores[r, h])
+        own, entry, score = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (own, entry, score))
+        fine = score >= cut[own] - 1e-9
+        own, entry = own[fine], entry[fine]
+        order = np.argsort(own, kind="stable")
+        bounds = np.searchsorted(own[order], np.arange(len(q) + 1))
         out = []
         for r, i in enumerate(me.tolist()):
-            hit = np.flatnonzero((scores[r] >= cut[r] - 1e-9) & (scores[r] > -np.inf))
+            hit = entry[order[bounds[r] : bounds[r + 1]]]
             # Always summed alike, so that equal pairs score equally wherever they are met.
             exact = np.einsum("ij,j->i", self.x[hit], q[r])
             rows = [(i, v, s) for h, s in zip(hit.tolist(), exact.tolist()) for v in self.ids[h] if v != i]

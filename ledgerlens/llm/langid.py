@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, ship_package
+from .common import Scratch, least_hashed, ship_package
 
 WIDTHS, WINDOW = (2, 3, 4, 5), 256
 PAD, UNSEEN = 255, 254  # at most 230 byte values are left once A-Z are folded
-LEARNED = 60_000  # windows that training goes over, at least twice all there are
 SAMPLE = 2400  # labelled texts that the network is fitted on, those of least hashed id
+LEARNED = 30_000  # windows of these texts that the driver gets, those of least hash
+CHECK, PATIENCE, STEPS = 150, 3, 6000  # steps between looks at the loss, looks without gain before the end, steps at most
 NO_LANGUAGE = "und"
 
 
@@ -60,48 +61,65 @@ class Network:
         self.v = rng.normal(0, 0.1, (filters * len(WIDTHS), len(langs))).astype(np.float32)
         self.c = np.zeros(len(langs), dtype=np.float32)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int | None = None, batch: int = 32, rate: float = 0.01, seed: int = 6) -> None:
-        """Adam on the softmax loss; the gradient of a maximum goes to its argument alone."""
-        rng, n, f = np.random.default_rng(seed), len(x), self.filters
-        x, epochs = self.inner[x], epochs or max(2, min(40, LEARNED // n))
+    def fit(self, x: np.ndarray, y: np.ndarray, batch: int = 32, rate: float = 0.01, seed: int = 6) -> None:
+        """Adam on the softmax loss; the gradient of a maximum goes to its argument alone.
+
+        A tenth of the windows is held back.  Training ends when their loss has not fallen by a hundredth of itself for
+        PATIENCE looks, whatever the number of windows, and the best weights seen are kept.
+        """
+        rng, f = np.random.default_rng(seed), self.filters
+        order = rng.permutation(len(x))
+        aside = order[: max(1, min(len(x) // 10, 1000))]
+        order = order[len(aside) :] if len(x) > 1 else order
+        n = len(order)
         names = [("w", k) for k in WIDTHS] + [("b", k) for k in WIDTHS] + [("v", None), ("c", None)]
         get = lambda s, k: getattr(self, s) if k is None else getattr(self, s)[k]
         m1, m2 = ({p: np.zeros_like(get(*p)) for p in names} for _ in range(2))
-        step = 0
-        for _ in range(epochs):
-            order = rng.permutation(n)
-            for lo in range(0, n, batch):
-                at = order[lo : lo + batch]
-                xb, yb = x[at], y[at]
-                hidden, places = [], {}
-                for k in WIDTHS:
-                    span = xb.shape[1] - k + 1
-                    z = self.w[k][0][xb[:, :span]]
-                    for j in range(1, k):
-                        z += self.w[k][j][xb[:, j : j + span]]
-                    places[k] = z.argmax(axis=1)
-                    hidden.append(np.maximum(np.take_along_axis(z, places[k][:, None, :], axis=1)[:, 0] + self.b[k], 0))
-                h = np.concatenate(hidden, axis=1)
-                logits = h @ self.v + self.c
-                p = np.exp(logits - logits.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(yb)), yb] -= 1
-                p /= len(yb)
-                grads = {("v", None): h.T @ p, ("c", None): p.sum(axis=0)}
-                back = (p @ self.v.T) * (h > 0)
-                for i, k in enumerate(WIDTHS):
-                    g = back[:, i * f : (i + 1) * f]
-                    grads["b", k] = g.sum(axis=0)
-                    gw = np.zeros_like(self.w[k])
-                    rows = np.arange(len(xb))[:, None]
-                    for j in range(k):
-                        np.add.at(gw[j], (xb[rows, places[k] + j], np.arange(f)[None, :]), g)
-                    grads["w", k] = gw
-                step += 1
-                for q in names:
-                    m1[q] = 0.9 * m1[q] + 0.1 * grads[q]
-                    m2[q] = 0.999 * m2[q] + 0.001 * grads[q] ** 2
-                    get(*q)[...] -= rate * (m1[q] / (1 - 0.9**step)) / (np.sqrt(m2[q] / (1 - 0.999**step)) + 1e-8)
+        best, kept, since = np.inf, None, 0
+        for step in range(1, STEPS + 1):
+            lo = (step - 1) * batch % n
+            if lo < batch:
+                order = rng.permutation(order)
+            at = order[lo : lo + batch]
+            xb, yb = self.inner[x[at]], y[at]
+            hidden, places = [], {}
+            for k in WIDTHS:
+                span = xb.shape[1] - k + 1
+                z = self.w[k][0][xb[:, :span]]
+                for j in range(1, k):
+                    z += self.w[k][j][xb[:, j : j + span]]
+                places[k] = z.argmax(axis=1)
+                hidden.append(np.maximum(np.take_along_axis(z, places[k][:, None, :], axis=1)[:, 0] + self.b[k], 0))
+            h = np.concatenate(hidden, axis=1)
+            logits = h @ self.v + self.c
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(yb)), yb] -= 1
+            p /= len(yb)
+            grads = {("v", None): h.T @ p, ("c", None): p.sum(axis=0)}
+            back = (p @ self.v.T) * (h > 0)
+            for i, k in enumerate(WIDTHS):
+                g = back[:, i * f : (i + 1) * f]
+                grads["b", k] = g.sum(axis=0)
+                gw = np.zeros_like(self.w[k])
+                rows = np.arange(len(xb))[:, None]
+                for j in range(k):
+                    np.add.at(gw[j], (xb[rows, places[k] + j], np.arange(f)[None, :]), g)
+                grads["w", k] = gw
+            for q in names:
+                m1[q] = 0.9 * m1[q] + 0.1 * grads[q]
+                m2[q] = 0.999 * m2[q] + 0.001 * grads[q] ** 2
+                get(*q)[...] -= rate * (m1[q] / (1 - 0.9**step)) / (np.sqrt(m2[q] / (1 - 0.999**step)) + 1e-8)
+            if step % CHECK == 0:
+                self.prepare()
+                loss = -float(np.log(np.maximum(self.predict(x[aside])[np.arange(len(aside)), y[aside]], 1e-12)).mean())
+                since = 0 if loss < 0.99 * best else since + 1
+                if loss < best:
+                    best, kept = loss, [get(*q).copy() for q in names]
+                if since == PATIENCE or loss < 1e-4:
+                    break
+        for q, w in zip(names, kept or []):
+            get(*q)[...] = w
 
     def prepare(self) -> None:
         """Response tables of pairs of classes: two for widths 4 and 5, one for 2 and 3."""
@@ -129,24 +147,48 @@ class Network:
         return out
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, *, sample: int = SAMPLE) -> Network | None:
-    """A network fitted on every window of at most ``sample`` labelled texts, read whole; None without labels.
+def _cut(batches):
+    """(lang, h, k, w): the windows of each text as bytes; h stands for the text."""
+    for rb in batches:
+        for lang, h, text in zip(rb.column(0), rb.column(1), rb.column(2)):
+            data = text.as_py()
+            for lo in range(0, len(data), WINDOW << 12):
+                part = [data[i : i + WINDOW] for i in range(lo, min(lo + (WINDOW << 12), len(data)), WINDOW)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang.as_py()] * len(part)), pa.array([h.as_py()] * len(part)), pa.array(range(lo // WINDOW, lo // WINDOW + len(part)), pa.int64()), pa.array(part, pa.binary())],
+                    names=["lang", "h", "k", "w"],
+                )
+
+
+def labelled_windows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, *, sample: int = SAMPLE, learned: int = LEARNED) -> list[tuple[str, bytes]]:
+    """(language, bytes) of at most ``learned`` windows of at most ``sample`` labelled texts, whatever their lengths.
 
-    The driver gets these texts, so ``sample`` times their length is what it has to hold.  An id with
-    several texts of one language gives the least of them.
+    Texts are those of least hashed id; an id with several texts of one language gives the least of them.
+    Of their windows, cut by the tasks, those of least hash come to the driver.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("l"))
     chosen = least_hashed(rows, ["i", "l"], sample)  # the bound of the broadcast
-    got = rows.join(F.broadcast(chosen), ["i", "l"]).groupBy("i", "l").agg(F.min("t").alias("t")).collect()
-    got.sort(key=lambda r: (str(r.i), r.l))
+    texts = rows.join(F.broadcast(chosen), ["i", "l"]).groupBy("i", "l").agg(F.min("t").alias("t"))
+    scratch = Scratch(labelled.sparkSession)
+    cut = texts.select("l", F.xxhash64("i", "l").alias("h"), F.col("t").cast("binary").alias("t")).mapInArrow(_cut, "lang string, h long, k long, w binary")
+    cut = scratch.keep(cut.withColumn("at", F.xxhash64("h", "k")), "windows")
+    total = cut.count()
+    if total > learned:
+        cut = cut.filter(F.pmod("at", F.lit(1 << 40)) < F.lit(int(1.2 * learned / total * (1 << 40))))
+    got = [(r.lang, bytes(r.w)) for r in cut.orderBy("at", "h", "k").limit(learned).collect()]
+    scratch.drop_all_but()
+    return got
+
+
+def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, *, sample: int = SAMPLE, learned: int = LEARNED) -> Network | None:
+    """A network fitted on ``labelled_windows``; None without labels.  The driver holds a byte for each of theirs."""
+    got = labelled_windows(labelled, id_col, text_col, lang_col, sample=sample, learned=learned)
     if not got:
         return None
-    langs = sorted({r.l for r in got})
-    data = [r.t.encode("utf-8", "surrogatepass") for r in got]
-    table = byte_classes(data)
-    grids = [windows(d, table) for d in data]
+    langs = sorted({lang for lang, _ in got})
+    table = byte_classes([w for _, w in got])
     net = Network(langs, table)
-    net.fit(np.concatenate(grids), np.repeat([langs.index(r.l) for r in got], [len(g) for g in grids]))
+    net.fit(np.concatenate([windows(w, table) for _, w in got]), np.array([langs.index(lang) for lang, _ in got]))
     net.prepare()
     return net
 
@@ -179,7 +221,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
 
     Null texts and texts without a letter are ``und`` with score 0, as are all when there is no label to
     learn from.  Every byte of a text is read.  Repeated rows give repeated rows.  Other columns are not
-    read.  At most ``sample`` labelled texts are learned from, each whole; prediction covers all rows.  Of
+    read.  At most LEARNED windows of ``sample`` labelled texts are learned from; prediction covers all rows.  Of
     equally likely languages the first in alphabetical order is given.
     """
     ship_package(docs.sparkSession)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from itertools import chain
 
@@ -27,20 +28,46 @@ from .common import ship_package
 from .pretok import batches_of, distinct_pieces
 
 SCHEMA = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
-_tables: dict[str, PieceTable] = {}
+_tables: dict[str, tuple[PieceTable, dict[str, int], re.Pattern]] = {}
 
 
-def _table(path: str) -> PieceTable:
+def _table(path: str) -> tuple[PieceTable, dict[str, int], re.Pattern]:
     if path not in _tables:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tables[path] = PieceTable(_Encoder(t))
+        marks = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
+        _tables[path] = PieceTable(_Encoder(t)), marks, re.compile("|".join(map(re.escape, sorted(marks, key=len, reverse=True))) or r"(?!)")
     return _tables[path]
 
 
+def text_ids(texts: list[str], path: str) -> list[np.ndarray]:
+    """Ids of each text as the library's call gives them: special strings are one id, and what is between them is
+    tokenised by itself."""
+    known, marks, pattern = _table(path)
+    parts, own, special = [], [], []  # stretches of ordinary text, whose they are, the special ids after each
+    for k, text in enumerate(texts):
+        lo = 0
+        for m in pattern.finditer(text):
+            parts.append(text[lo : m.start()])
+            own.append(k)
+            special.append(marks[m[0]])
+            lo = m.end()
+        parts.append(text[lo:] if lo else text)
+        own.append(k)
+        special.append(-1)
+    pieces, which, per_part, _ = distinct_pieces(parts)
+    ids, per_piece = known.ids(pieces, which)
+    ends = np.append(0, np.cumsum(per_piece))[np.cumsum(per_part)]
+    after = np.array(special, dtype=np.int32)
+    at = np.flatnonzero(after >= 0)
+    ids = np.insert(ids, ends[at], after[at])
+    ends = ends + np.cumsum(after >= 0)
+    last = np.flatnonzero(np.diff(np.append(own, len(texts))) != 0)
+    return np.split(ids, ends[last][:-1]) if len(texts) else []
+
+
 class _Encoder:
     """Ids of pieces by the tokenizers library.
 
@@ -137,7 +164,6 @@ class _Packer:
 
 
 def _pack(batches, path, length, end_id, block_docs, linear, quadratic):
-    known = _table(path)
     packer = _Packer(length, linear, quadratic, TaskContext.get().partitionId())
     held_ids: list = []
     held: list[np.ndarray] = []
@@ -162,12 +188,9 @@ def _pack(batches, path, length, end_id, block_docs, linear, quadratic):
     for rb in batches:
         doc_ids = rb.column(0).to_pylist()
         for lo, hi, part in batches_of(rb.column(1).to_pylist(), 2_000_000):
-            own, which, per_text, _ = distinct_pieces(part)
-            ids, per_piece = known.ids(own, which)
-            ends = np.append(0, np.cumsum(per_piece))[np.cumsum(per_text)]
-            for k in range(hi - lo):
+            for k, ids in enumerate(text_ids(part, path)):
                 held_ids.append(doc_ids[lo + k])
-                held.append(np.append(ids[ends[k - 1] if k else 0 : ends[k]], np.int32(end_id)))
+                held.append(np.append(ids, np.int32(end_id)))
                 size += len(held[-1])
             if len(held) >= block_docs or size >= block_docs * 1024:
                 yield from flush()
@@ -182,7 +205,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
-    Token ids come from the tokenizers file at ``path``, then ``end_id``.  Each id of a document is in one
+    Token ids come from the tokenizers file at ``path``, as its library's call gives them (special strings in a
+    text are their one id), then ``end_id``.  Each id of a document is in one
     piece; a sequence holds at most ``length`` ids, its pieces gapless from offset 0.  Null and empty texts
     are the end id alone.  Repeated rows are packed each for itself; null ids stay null.  Empty input: no
     rows.  Only the two columns are read.  ``block_docs``: documents packed together, or 1024 times as

@@ -93,6 +93,12 @@ def _places(text: Column, pattern: str, kind: int) -> Column:
     return _let(parts, lambda p: _let(chunked(p), placed))
 
 
+def _count_below(spans: Column, start: Column) -> Column:
+    """How many of ``spans``, sorted by start, start before ``start``: bisection by falling powers of two."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(24, -1, -1)]), lambda p: p <= F.size(spans))
+    return F.aggregate(steps, F.lit(0), lambda n, p: F.when(F.get(spans, n + p - 1)["start"] < start, n + p).otherwise(n))
+
+
 def _maybe(text: Column, pattern: str, value: Column) -> Column:
     """The costly expression only where the pattern occurs at all."""
     none = F.array().cast(SPANS)
@@ -251,36 +257,60 @@ def find_secrets(docs: DataFrame, text_col: str = "text", *, q: float = 0.05, fa
     least = thresholds(docs, text_col, q, false)
     flat = [F.lit(x) for pair in sorted(least.items()) for x in pair]
     cut = F.create_map(*flat) if flat else F.create_map().cast("map<string,int>")
-    group2 = F.regexp_extract_all(text, F.lit(ASSIGN), 2)
-    assign = F.filter(_places(text, ASSIGN, 0), lambda t, i: F.length(F.get(group2, i)) >= 6)
+    values = F.regexp_extract_all(text, F.lit(ASSIGN), 2)
+    # Both sides are computed once; inside the lambda either would be evaluated anew for every match.
+    assign = _let(F.struct(_places(text, ASSIGN, 0).alias("at"), values.alias("of")), lambda m: F.filter(m["at"], lambda t, i: F.length(F.get(m["of"], i)) >= 6))
     bare = lambda spans: F.transform(spans, lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end")))
-    base = F.concat(
-        bare(_maybe(text, ASSIGN, assign)), bare(_maybe(text, ACCESS, _places(text, ACCESS, 1))), bare(_maybe(text, HEX, _places(text, HEX, 2)))
-    )
-    c_base, c_cand = fresh(docs, "base_spans"), fresh(docs, "candidates")
-    got = docs.withColumns({c_base: base, c_cand: _candidates(text)})
-    random = F.filter(
-        c_cand,
-        lambda c: (c["level"] < F.coalesce(F.element_at(cut, c["stratum"]), F.lit(1 << 30)))
-        & ~F.exists(c_base, lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])),
-    )
-    return got.withColumn(out_col, F.array_sort(F.concat(c_base, bare(random)))).drop(c_base, c_cand)
+    found = (_maybe(text, ASSIGN, assign), _maybe(text, ACCESS, _places(text, ACCESS, 1)), _maybe(text, HEX, _places(text, HEX, 2)))
+    c_base, c_cand = [fresh(docs, f"{k}_spans") for k in KINDS[:3]], fresh(docs, "candidates")
+    got = docs.withColumns({**{c: bare(spans) for c, spans in zip(c_base, found)}, c_cand: _candidates(text)})
+
+    def inside(c: Column, kind: str) -> Column:
+        """Spans of a kind do not overlap, so only the last that starts no later than ``c`` can hold it."""
+        last = F.get(F.col(kind), _count_below(F.col(kind), c["start"] + 1) - 1)
+        return F.coalesce(last["end"] >= c["end"], F.lit(False))
+
+    least_level = lambda c: F.coalesce(F.element_at(cut, c["stratum"]), F.lit(1 << 30))
+    random = F.filter(c_cand, lambda c: (c["level"] < least_level(c)) & ~inside(c, c_base[0]) & ~inside(c, c_base[1]) & ~inside(c, c_base[2]))
+    return got.withColumn(out_col, F.array_sort(F.concat(*c_base, bare(random)))).drop(*c_base, c_cand)
+
+
+STRETCH = 2048
 
 
 def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "secret_spans", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each span of ``text_col`` replaced by ``mark``; overlapping spans give one mark.
 
-    Rows without spans keep their text as it is, null included.
+    ``spans_col`` is sorted by start, as ``find_secrets`` gives it.  Rows without spans keep their text as it
+    is, null included.  The text is taken in stretches of STRETCH code points, each with the spans that start in
+    it, so a text of many spans costs in proportion to its length.
     """
     text, spans = F.col(text_col), F.col(spans_col)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    stretches = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % STRETCH), F.lit(0))
+
+    def state(at, out):
+        return F.struct(at.alias("at"), out.alias("out"))
+
+    def stretch(chunk: Column, first: Column, at0: Column, own: Column) -> Column:
+        """(at, out): the chunk that begins at ``first`` rewritten; ``at0``: up to where earlier spans reach."""
+        cut = lambda lo, hi: F.substring(chunk, lo - first + 1, F.greatest(hi - lo, F.lit(0)))
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.concat(cut(acc["at"], s["start"]), F.lit(mark))
+            return state(F.greatest(acc["at"], s["end"]), F.concat(acc["out"], F.when(s["start"] >= acc["at"], gap).otherwise("")))
+
+        end = first + F.length(chunk)
+        return F.aggregate(own, state(F.greatest(at0, first), F.lit("")), step, lambda a: state(a["at"], F.concat(a["out"], cut(a["at"], end))))
+
+    def all_of(chunks: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            lo, hi = _count_below(spans, i * STRETCH), _count_below(spans, (i + 1) * STRETCH)
+            done = stretch(F.get(chunks, i), i * STRETCH, acc["at"], F.slice(spans, lo + 1, hi - lo))
+            return _let(done, lambda d: state(d["at"], F.array_append(acc["out"], d["out"])))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], gap).otherwise("")).alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(chunks) - 1), state(F.lit(0), F.array().cast("array<string>")), step, lambda a: F.array_join(a["out"], ""))
 
-    done = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return docs.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text))
+    return docs.withColumn(text_col, F.when((F.size(spans) > 0) & (F.length(text) > 0), _let(stretches, all_of)).otherwise(text))
 
 
 def kind_name(kind: Column) -> Column:

@@ -292,7 +292,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col="doc_id", te
 
     Whole texts are read, and counting and testing features runs on the executors; the driver gets the
     features whose own p-value is at most ``rate`` (no other can be accepted) and, for each text of the sample,
-    its places in the lexicon.  An id labelled twice counts as toxic if one of its labels does.  No labels:
+    its places in the lexicon.  An id labelled twice counts as toxic if one of its labels does; of an id's several
+    texts the least is learned from.  No labels:
     a model that calls nothing toxic.
     """
     ship_package(docs.sparkSession)
@@ -301,7 +302,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col="doc_id", te
     chosen = least_hashed(chosen, ["__tx_id", "__tx_y"], sample)  # the bound of the broadcast
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     own = src.join(F.broadcast(chosen), src["id"] == chosen["__tx_id"])
-    own = scratch.keep(own.select(F.col("id").cast("long").alias("id"), "t", F.col("__tx_y").alias("y")), "sample")
+    own = own.groupBy(F.col("id").cast("long").alias("id"), F.col("__tx_y").alias("y")).agg(F.min("t").alias("t"))  # ``sample`` rows at most
+    own = scratch.keep(own.select("id", "t", "y"), "sample")
     counts = scratch.keep(own.mapInArrow(_count, "f string, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "counts")
     share = own.agg(F.avg(F.when(F.col("y") == 1, 1.0).otherwise(0.0))).first()[0] or 0.0
     tested = counts.filter("k >= 3 and 2 * k >= n").mapInArrow(lambda it: _test(it, share, rate), "f string, n long, k long, q double").collect()

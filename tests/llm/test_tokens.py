@@ -108,7 +108,6 @@ def test_grouped_encoding_equals_single(spark, sf):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(JSON))
-    t.encode_special_tokens = True
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + HARD + [" ñandú 漢字かな ᾳxyz héé αβγ", " é ́a"]
     own = list(dict.fromkeys(pretok.pieces(texts)[0]))
     order, flat, sizes = packing._Encoder(t)(own)
@@ -194,7 +193,6 @@ def test_packing(spark, sf):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(JSON))
-    t.encode_special_tokens = True
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "dup"), (-3, "dup"), (-4, "long text " * 6000)], "doc_id long, text string")
     rows = packing.pack(docs.unionByName(extra).repartition(2), P.path(JSON), block_docs=50).collect()
