@@ -938,14 +938,20 @@ _MADE_HTML = (
 
 @query(
     f"""WITH m AS (SELECT page_id, {_MADE_MD} AS md, {_MADE_HTML} AS h FROM pages),
-a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(md, '{text.CAPTION}', chr(10), 'g'), '\\n{text.RULE}\\n', chr(10) || chr(10), 'g'), '{text.RULE}', chr(10), 'g') AS markdown,
-  regexp_replace(regexp_replace(h, '{text.FIGURE}', '<figure>\\1<figcaption>\\2</figcaption></figure>', 'g'), '{text.IMAGE}', '<figure>\\1</figure>', 'g') AS h FROM m)
-SELECT page_id, markdown, regexp_replace(regexp_replace(h, '{text.TABLE_CAPTION}', '<p class="table-caption">\\1</p>', 'g'), '{text.CONTENTS}', '<div class="toc-page">\\1</div>', 'g') AS page FROM a"""
+l AS (SELECT page_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS k FROM m),
+n AS (SELECT *, lag(line) OVER w AS one, lag(line, 2) OVER w AS two FROM l WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+t AS (SELECT page_id, string_agg(line, chr(10) ORDER BY k) AS markdown FROM n
+  WHERE line <> '---' AND NOT regexp_full_match(line, '[*]Table [0-9]+[.][0-9]+:.*[*]') AND NOT coalesce(one = '---' AND trim(line) = '' AND trim(two) = '', false) GROUP BY page_id),
+f AS (SELECT page_id, regexp_replace(regexp_replace(h,
+    '<p(?: [^<>]*)?>\\s*(<img [^<>]*>)\\s*</p>\\s*<p(?: [^<>]*)?>\\s*<em[^<>]*>\\s*(Figure\\s+[0-9]+[.][0-9]+\\s*:[^<>]*)</em>\\s*</p>', '<figure>\\1<figcaption>\\2</figcaption></figure>', 'g'),
+    '<p(?: [^<>]*)?>\\s*(<img [^<>]*>)\\s*</p>', '<figure>\\1</figure>', 'g') AS h FROM m)
+SELECT page_id, markdown, regexp_replace(regexp_replace(h, '<p(?: [^<>]*)?>\\s*<em[^<>]*>\\s*(Table\\s+[0-9]+[.][0-9]+\\s*:[^<>]*)</em>\\s*</p>', '<p class="table-caption">\\1</p>', 'g'),
+    '(?s)(<h2 [^<>]*id="table-of-contents"[^<>]*>[^<>]*</h2>\\s*<[ou]l>.*?</[ou]l>)', '<div class="toc-page">\\1</div>') AS page FROM f JOIN t USING (page_id)"""
 )
 def report_rewrites(spark, sf_dir):
     """Markdown and HTML rewriting of reports: captions, rules, figures, contents."""
     made = read(spark, sf_dir, "pages").select("page_id", F.expr(_MADE_MD).alias("md"), F.expr(_MADE_HTML).alias("h"))
-    return made.select("page_id", text.drop_rules(F.col("md")).alias("markdown"), text.wrap_contents(text.style_captions(text.wrap_figures(F.col("h")))).alias("page"))
+    return made.select("page_id", text.drop_rules(F.col("md")).alias("markdown"), text.wrap_contents(text.captioned(F.col("h"))).alias("page"))
 
 
 @query(

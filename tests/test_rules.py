@@ -146,7 +146,7 @@ def test_report_rewrites(spark):
     md = "a\n*Table 1.2: old*\nb\n\n---\n\nc\n---\nd --- e"
     html = '<h2 class="x" id="table-of-contents">C</h2>\n<ul><li>1</li></ul><p><img src="a"/></p>\n<p><em>Figure 1.2: cap</em></p><p><img src="b"/></p><p><em>Table 2.1: t</em></p><p><em>other</em></p>'
     r = spark.createDataFrame([(md, html, "mobile_banking_flag")], "m string, h string, c string").select(
-        text.drop_rules(F.col("m")).alias("m"), text.wrap_contents(text.style_captions(text.wrap_figures(F.col("h")))).alias("h"), text.column_title(F.col("c")).alias("c")
+        text.drop_rules(F.col("m")).alias("m"), text.wrap_contents(text.captioned(F.col("h"))).alias("h"), text.column_title(F.col("c")).alias("c")
     ).first()
     assert r.m == "a\nb\n\nc\nd --- e"
     assert r.h == (
@@ -156,6 +156,28 @@ def test_report_rewrites(spark):
     assert r.c == "Mobile Banking"
 
 
+def test_report_pages_with_attributes_nesting_and_strays(spark):
+    from ledgerlens.operators import text
+
+    cases = {
+        '<p class="c" id="x">\n <img alt="1" src="a" width=3>\n</p> <p style="s"><em lang="en">Figure 10.2 : cap</em></p>z': '<figure><img alt="1" src="a" width=3><figcaption>Figure 10.2 : cap</figcaption></figure>z',
+        '<p><em>Figure 1.1: alone</em></p><p><img src="a"/> text</p>': '<p><em>Figure 1.1: alone</em></p><p><img src="a"/> text</p>',
+        '<p><img src="a"/></p>between<p><em>Figure 1.1: far</em></p>': '<figure><img src="a"/></figure>between<p><em>Figure 1.1: far</em></p>',
+        '<p><img src="a"/><img src="b"/></p><p>open <b>p</b>': '<p><img src="a"/><img src="b"/></p><p>open <b>p</b>',
+        '<pre>x</pre><p>q</p><p><em>Table 3: one number</em></p><p><em>Table 3.1: é😀</em></p>tail': '<pre>x</pre><p>q</p><p><em>Table 3: one number</em></p><p class="table-caption">Table 3.1: é😀</p>tail',
+        '😀<h2 id="a">A</h2><h2 data-k="v" id="table-of-contents" class="q">C</h2> <ol class="t"><li>1<ul><li>2</li></ul></li><li>3</li></ol> rest <ul><li>n</li></ul>': (
+            '😀<h2 id="a">A</h2><div class="toc-page"><h2 data-k="v" id="table-of-contents" class="q">C</h2> <ol class="t"><li>1<ul><li>2</li></ul></li><li>3</li></ol></div> rest <ul><li>n</li></ul>'
+        ),
+        '<h2 id="table-of-contents">C</h2><p>no list</p><ul><li>1</li></ul>': '<h2 id="table-of-contents">C</h2><p>no list</p><ul><li>1</li></ul>',
+        "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "h string")
+    assert {r.h: r.got for r in df.select("h", text.wrap_contents(text.captioned(F.col("h"))).alias("got")).collect()} == cases | {None: None}
+    notes = {"*Table 1.2: first*\nx\n*Table 1: kept*": "x\n*Table 1: kept*", "\n---\n\n---\n\ny": "\ny", "---": "", "a\n\n---\nb": "a\n\nb", "**Table 1.1: bold**": "**Table 1.1: bold**"}
+    df = spark.createDataFrame([(k,) for k in [*notes, None]], "m string")
+    assert {r.m: r.got for r in df.select("m", text.drop_rules(F.col("m")).alias("got")).collect()} == notes | {None: None}
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error():
     from types import SimpleNamespace
 
