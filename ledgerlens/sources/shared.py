@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +33,58 @@ def kept(df: DataFrame) -> DataFrame:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(base)
     return df.checkpoint(eager=True)
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did; on a cluster it is installed or shipped, and this
+    only adds a folder that they skip."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([*parts, root])
+
+
+class Tables:
+    """Tables written to the shared folder to cut lineage, deleted when the next one has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.n, self.live = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", 0, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{name}-{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.live.append((out, path))
+        _HELD.append((self.spark, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for frame, path in list(self.live):
+            if any(frame is f for f in frames):
+                _remove(self.spark, path)
+                self.live.remove((frame, path))
+
+    def drop_all(self) -> None:
+        self.drop(*[f for f, _ in self.live])
+
+
+_HELD: list[tuple[SparkSession, str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if (spark, path) in _HELD:
+        _HELD.remove((spark, path))
+
+
+@atexit.register
+def _remove_held() -> None:
+    """What returned DataFrames still read goes when the interpreter ends, if its session is still there."""
+    for spark, path in list(_HELD):
+        try:
+            _remove(spark, path)
+        except Exception:  # noqa: BLE001 - the session has ended
+            return
