@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import boosting, features, graph, models, patterns, profile, quality, stats, text, timeseries
+from ..operators import boosting, features, graph, models, ordered, patterns, profile, quality, stats, text, timeseries
 from ..sources.binding import ACCOUNTS_T, BANK_T, TXN_E, TXN_T, accounts_t, bank_t, read, txn_e, txn_t
 from ..sources.shared import Tables
 
@@ -1189,3 +1189,32 @@ def shapley_values(spark, sf_dir):
     df = Tables(spark).keep(df.withColumn("fold", F.lit(0)), "rows")
     model = boosting.train(df, "account_id", "is_mule", names, k=1, params=boosting.Params(rounds=12, patience=12))[0]
     return boosting.attributions(df, "account_id", model)
+
+
+# --- what was known at each row's own time --------------------------------------------------------
+
+
+@query(
+    """WITH r AS (SELECT user_id, ts, event_id, value, count(*) OVER w AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS total FROM events WHERE event_type = 'click' WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT l.event_id, l.user_id, CAST(r.ts AS VARCHAR) AS last_ts, r.event_id AS last_event, r.value AS last_value, coalesce(r.n, 0) AS n_before, r.total AS total_before, round((epoch_us(l.ts) - epoch_us(r.ts)) / 3.6e9, 6) AS hours_since
+FROM (SELECT * FROM events WHERE event_type = 'purchase') l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts"""
+)
+def asof_features(spark, sf_dir):
+    """Each purchase with the user's last click, and the clicks so far, as they were at its own time."""
+    e = read(spark, sf_dir, "events")
+    clicks = e.filter("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("last_event"), F.col("value").alias("last_value"), "value")
+    bought = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    got = ordered.as_of(bought, clicks, "user_id", "ts", ["last_event", "last_value"], {"total_before": "value"})
+    hours = F.round(X.hours_between(F.col("ts"), F.col("last_ts")), 6)
+    return got.withColumn("hours_since", hours).withColumn("last_ts", F.regexp_replace(F.col("last_ts").cast("string"), r"(\\.\\d*?)0+$", "$1")).drop("ts")
+
+
+@query(
+    """SELECT a.o_orderkey, CAST(CAST(max(b.o_orderdate) AS DATE) AS VARCHAR) AS last_day, count(b.o_orderkey) AS n_before, CAST(sum(CAST(b.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_before
+FROM orders a LEFT JOIN orders b ON b.o_custkey = a.o_custkey AND b.o_orderdate < a.o_orderdate GROUP BY a.o_orderkey"""
+)
+def asof_order_history(spark, sf_dir):
+    """Each order with its customer's orders strictly before it."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    got = ordered.as_of(o.drop("o_totalprice"), o, "o_custkey", "o_orderdate", [], {"total_before": "o_totalprice"}, strictly=True)
+    return dated(got.withColumnRenamed("last_ts", "last_day"), "last_day").select("o_orderkey", "last_day", "n_before", "total_before")
