@@ -857,6 +857,19 @@ def label_propagation(spark, sf_dir):
     return graph.label_propagation(graph.edges(txn_t(spark, sf_dir)))
 
 
+@query()
+def communities(spark, sf_dir):
+    """Communities of accounts and counterparties by modularity."""
+    return graph.communities(graph.edges(txn_t(spark, sf_dir)))
+
+
+@query()
+def community_modularity(spark, sf_dir):
+    """How many communities there are, and the modularity of the division."""
+    e = graph.edges(txn_t(spark, sf_dir))
+    return graph.modularity(e, graph.communities(e))
+
+
 @query()
 def betweenness(spark, sf_dir):
     return graph.betweenness(graph.edges(txn_t(spark, sf_dir)))

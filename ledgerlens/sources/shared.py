@@ -69,6 +69,9 @@ class Tables:
     def drop_all(self) -> None:
         self.drop(*[f for f, _ in self.live])
 
+    def drop_all_but(self, *frames: DataFrame) -> None:
+        self.drop(*[f for f, _ in self.live if not any(f is x for x in frames)])
+
 
 _HELD: list[tuple[SparkSession, str]] = []
 
