@@ -859,15 +859,10 @@ def label_propagation(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    """Communities of accounts and counterparties by modularity."""
-    return graph.communities(graph.edges(txn_t(spark, sf_dir)))
-
-
-@query()
-def community_modularity(spark, sf_dir):
-    """How many communities there are, and the modularity of the division."""
+    """Communities of accounts and counterparties by modularity, and the modularity of the division."""
     e = graph.edges(txn_t(spark, sf_dir))
-    return graph.modularity(e, graph.communities(e))
+    found = graph.communities(e, gain=1e-3)
+    return found.crossJoin(F.broadcast(graph.modularity(e, found).select("modularity")))  # one row
 
 
 @query()

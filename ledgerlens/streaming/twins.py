@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..sources.shared import importable
 
 KEY, TS = "account_id", "transaction_timestamp"
 
@@ -86,3 +89,78 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete")
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+ORDERED = "ts timestamp, gap_hrs double, n long"
+HOUR_US = 3_600_000_000
+
+
+class OrderedGaps(StatefulProcessor):
+    """Gaps between a key's events in the order of their own times, however they arrive within the watermark.
+
+    State of a key: the events not yet passed by the watermark (a list), and the time and number of those that
+    were.  An event-time timer at the earliest waiting event releases what the watermark has passed, in order.  A second kind
+    of timer, ``idle`` after the last released event, drops the key when nothing has come since, so the
+    state holds only keys that were active of late; a key that comes back later begins anew, without a gap.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long")
+        self.passed = handle.getValueState("passed", "last long, n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        own = [int(x) for pdf in rows for x in pdf["us"].dropna().tolist()]
+        if own:
+            self.waiting.appendList([(x,) for x in own])
+            self.handle.registerTimer(min(own) // 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(int(r[0]) for r in self.waiting.get())
+        due, rest = [x for x in held if x <= mark], [x for x in held if x > mark]
+        last, n = self.passed.get() if self.passed.exists() else (None, 0)
+        out = []
+        for x in due:
+            n += 1
+            out.append((x, (x - last) / HOUR_US if last is not None else None, n))
+            last = x
+        if due:
+            self.passed.update((last, n))
+            if rest:
+                self.waiting.put([(x,) for x in rest])
+            else:
+                self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(rest[0] // 1000)
+        elif last is not None:
+            end = last // 1000 + self.idle_ms
+            if mark // 1000 >= end:
+                self.passed.clear()
+            else:
+                self.handle.registerTimer(end)
+        if out:
+            us, gap, count = zip(*out)
+            yield pd.DataFrame({"key": [key[0]] * len(out), "ts": pd.to_datetime(list(us), unit="us", utc=True), "gap_hrs": pd.array(gap, dtype="Float64"), "n": count})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_gaps(stream: DataFrame, late: str = "1 day", idle_days: float = 30.0, key: str = KEY, ts: str = TS) -> DataFrame:
+    """(key, ts, gap_hrs, n): each event once the watermark has passed it, with the gap to the one before and its number.
+
+    Rows may come out of order by up to ``late``; what is older than the watermark is dropped by Spark.  Null
+    times are no events.  Needs the RocksDB state store, which is set on the session.
+    """
+    spark = stream.sparkSession
+    importable(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = stream.schema[key].dataType.simpleString()
+    src = _timed(stream.select(key, ts), ts, late).select(F.col(key).alias("key"), F.col(ts), F.unix_micros(F.col(ts)).alias("us"))
+    out = src.groupBy("key").transformWithStateInPandas(OrderedGaps(int(idle_days * 86_400_000)), f"key {kind}, {ORDERED}", "Append", "EventTime")
+    return out.withColumnRenamed("key", key)
