@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import boosting, features, graph, models, ordered, patterns, profile, quality, stats, text, timeseries
+from ..operators import boosting, features, graph, models, ordered, patterns, profile, quality, sketches, stats, text, timeseries
 from ..sources.binding import ACCOUNTS_T, BANK_T, TXN_E, TXN_T, accounts_t, bank_t, read, txn_e, txn_t
 from ..sources.shared import Tables
 
@@ -1226,3 +1226,27 @@ def asof_order_history(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
     got = ordered.as_of(o.drop("o_totalprice"), o, "o_custkey", "o_orderdate", [], {"total_before": "o_totalprice"}, strictly=True)
     return dated(got.withColumnRenamed("last_ts", "last_day"), "last_day").select("o_orderkey", "last_day", "n_before", "total_before")
+
+
+# --- state that merges ----------------------------------------------------------------------------
+
+
+@query(f"WITH {TXN_T} SELECT account_id, count(*) AS n, {_SUM} AS total, true AS partners_within, true AS median_within FROM txn GROUP BY 1")
+def mergeable_state(spark, sf_dir):
+    """States of ten parts of the transactions, merged: exact counts and totals, and whether the sketches keep their
+    stated errors (four standard errors of the distinct count; twice the rank error of the median)."""
+    t = txn_t(spark, sf_dir)
+    part = F.pmod(F.xxhash64("transaction_id"), F.lit(10))
+    state = sketches.state(t.filter(part == 0))
+    for i in range(1, 10):
+        state = state.unionByName(sketches.state(t.filter(part == i)))
+    got = sketches.features(sketches.merged(state))
+    partners = t.select("account_id", "counterparty_id").filter("counterparty_id is not null").distinct().groupBy("account_id").agg(F.count(F.lit(1)).alias("exact"))
+    below = t.join(got.select("account_id", "median_amount"), "account_id").groupBy("account_id").agg(
+        F.count("amount").alias("m"), F.count_if(F.col("amount") < F.col("median_amount")).alias("lo"), F.count_if(F.col("amount") <= F.col("median_amount")).alias("hi")
+    )
+    off = 2 * sketches.rank_error() * F.col("m") + 1
+    return got.join(partners, "account_id", "left").join(below, "account_id").select(
+        "account_id", "n", "total", (F.abs(F.col("n_partners") - F.coalesce("exact", F.lit(0))) <= 4 * sketches.distinct_error() * F.coalesce("exact", F.lit(0)) + 0.5).alias("partners_within"),
+        ((F.col("lo") <= F.col("m") / 2 + off) & (F.col("hi") >= F.col("m") / 2 - off)).alias("median_within"),
+    )
