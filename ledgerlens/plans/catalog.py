@@ -10,10 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from ..operators import boosting, features, graph, models, ordered, patterns, profile, quality, sketches, stats, text, timeseries
 from ..sources.binding import ACCOUNTS_T, BANK_T, TXN_E, TXN_T, accounts_t, bank_t, read, txn_e, txn_t
+from ..sources import io
 from ..sources.shared import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1250,3 +1252,26 @@ def mergeable_state(spark, sf_dir):
         "account_id", "n", "total", (F.abs(F.col("n_partners") - F.coalesce("exact", F.lit(0))) <= 4 * sketches.distinct_error() * F.coalesce("exact", F.lit(0)) + 0.5).alias("partners_within"),
         ((F.col("lo") <= F.col("m") / 2 + off) & (F.col("hi") >= F.col("m") / 2 - off)).alias("median_within"),
     )
+
+
+# --- files with bad rows --------------------------------------------------------------------------
+
+
+@query(
+    """WITH o AS (SELECT *, CASE o_orderkey % 11 WHEN 3 THEN 'columns' WHEN 5 THEN 'columns' WHEN 7 THEN 'time' ELSE 'good' END AS reason FROM orders)
+SELECT reason, count(*) AS n, CASE WHEN reason = 'good' THEN CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) END AS total, CASE WHEN reason = 'good' THEN CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) END AS last_day FROM o GROUP BY 1"""
+)
+def csv_quarantine(spark, sf_dir):
+    """Orders written as CSV, some with a price that is no number, a column too many or a date that is none, and read back."""
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey") % 11
+    fields = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"]
+    texts = [F.col(c).cast("string") for c in fields]
+    texts[2] = F.when(k == 3, "n/a").otherwise(texts[2])
+    texts[3] = F.when(k == 7, "soon").when(k == 5, F.concat(texts[3], F.lit(",x"))).otherwise(texts[3])
+    base = Tables(spark).folder("orders-csv")
+    o.select(F.concat_ws(",", *texts)).write.text(f"{base}/in")
+    schema = T.StructType([T.StructField(f, o.schema[f].dataType) for f in fields])
+    good, bad = io.checked_csv(spark, f"{base}/in", schema, f"{base}/bad", header=False)
+    sums = good.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"), F.max("o_orderdate").cast("date").cast("string").alias("last_day"))
+    rest = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return sums.select(F.lit("good").alias("reason"), "n", "total", "last_day").unionByName(rest, allowMissingColumns=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,38 @@ def read_csv(spark: SparkSession, paths: str | Iterable[str], schema: T.StructTy
     return raw.select(*[parse_time(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name) for f in schema.fields])
 
 
+RECORD = "_record"
+
+
+def checked_csv(spark: SparkSession, paths: str | Iterable[str], schema: T.StructType, quarantine: str | None = None, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(good rows under ``schema``, bad rows as (reason, record)): no row is lost, and none is read with holes it did not have.
+
+    A row is bad for ``columns`` if it has too few or too many of them or a number that is none, and for ``time`` if a
+    timestamp is not empty and cannot be read; ``record`` is its text.  With ``quarantine`` the bad rows are written there,
+    by reason, and read back.  All columns are parsed whatever is selected later, so a row's verdict never changes.
+    """
+    # Read as text and cast here, so the filter below needs every column and none is left unparsed by pruning.
+    text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields] + [T.StructField(RECORD, T.StringType(), True)])
+    source = [paths] if isinstance(paths, str) else list(paths)
+    raw = spark.read.schema(text).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RECORD).option("columnPruning", False).csv(source)
+    value = {f.name: parse_time(F.col(f.name)) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name).try_cast(f.dataType) for f in schema.fields}
+
+    def unread(kinds: bool) -> Column:
+        out = F.lit(False)
+        for f in schema.fields:
+            if isinstance(f.dataType, T.TimestampNTZType) == kinds:
+                out = out | F.coalesce((F.trim(f.name) != "") & value[f.name].isNull(), F.lit(False))
+        return out
+
+    raw = raw.withColumn("reason", F.when(F.col(RECORD).isNotNull() | unread(False), "columns").when(unread(True), "time"))
+    good = raw.filter("reason is null").select(*[c.alias(n) for n, c in value.items()])
+    bad = raw.filter("reason is not null").select("reason", F.coalesce(RECORD, F.to_csv(F.struct(*[F.col(f.name) for f in schema.fields]))).alias("record"))
+    if quarantine:
+        bad.write.mode("overwrite").partitionBy("reason").parquet(quarantine)
+        bad = spark.read.schema("record string, reason string").parquet(quarantine).select("reason", "record")
+    return good, bad
+
+
 def parse_time(c) -> F.Column:
     """A timestamp from text; what cannot be read is null."""
     return c.try_cast("timestamp_ntz")

@@ -60,6 +60,12 @@ class Tables:
         _HELD.append((self.spark, path))
         return out
 
+    def folder(self, name: str) -> str:
+        """A folder of this object for files of other kinds, deleted when the interpreter ends."""
+        path = f"{self.base}/{name}"
+        _HELD.append((self.spark, path))
+        return path
+
     def drop(self, *frames: DataFrame) -> None:
         for frame, path in list(self.live):
             if any(frame is f for f in frames):

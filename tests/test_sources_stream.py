@@ -87,3 +87,19 @@ def test_predictions(spark):
     s = spark.createDataFrame([(1, 0.9), (2, 0.1)], "account_id long, score double")
     w = spark.createDataFrame([(1, dt.datetime(2024, 1, 2), dt.datetime(2024, 2, 3))], "account_id long, suspicious_start timestamp_ntz, suspicious_end timestamp_ntz")
     assert sorted(tuple(r) for r in io.predictions(s, w).collect()) == [(1, 0.9, "2024-01-02T00:00:00", "2024-02-03T00:00:00"), (2, 0.1, "", "")]
+
+
+def test_bad_rows_are_kept_aside(spark, tmp_path):
+    schema = twins.T._parse_datatype_string("id long, v double, at timestamp_ntz")
+    write(tmp_path / "a.csv", "id,v,at", "1,2.5,2024-01-01 00:00:00", "2,x,2024-01-01", "3,1", "4,1,2024-02-30", "5,,", "6,1,2024-01-01,7")
+    write(tmp_path / "b.csv", "id,v,at", "7,0,2024-03-01", "8,1,yesterday")
+    good, bad = io.checked_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], schema, str(tmp_path / "bad"))
+    assert sorted((r.id, r.v, r["at"] and r["at"].month) for r in good.collect()) == [(1, 2.5, 1), (5, None, None), (7, 0.0, 3)]
+    assert good.select("id").count() == 3  # also when only one column is asked for
+    assert sorted((r.reason, r.record) for r in bad.collect()) == [
+        ("columns", "2,x,2024-01-01"), ("columns", "3,1"), ("columns", "6,1,2024-01-01,7"), ("time", "4,1,2024-02-30"), ("time", "8,1,yesterday")
+    ]
+    (tmp_path / "none").mkdir()
+    write(tmp_path / "none" / "c.csv", "id,v,at")
+    good, bad = io.checked_csv(spark, str(tmp_path / "none" / "c.csv"), schema)
+    assert good.count() == 0 == bad.count()
