@@ -19,10 +19,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import Tables, importable
+from . import stats
 
 AUC_BINS = 10_000  # equal score bins in which validation rows are counted
 REWRITE = 8  # rounds after which margins are written, so that no row walks more trees than that
@@ -470,6 +471,38 @@ def importance(models: list[Model]) -> dict[str, float]:
     return out
 
 
+def permutation_importance(df: DataFrame, key: str, label: str, model: Model, columns: list[str] | None = None, seed: int = 1, buckets: int = 64) -> DataFrame:
+    """(feature, auc, auc_loss): what the model's AUC loses when one feature is shuffled, for each of ``columns`` at once.
+
+    A feature is shuffled by giving each row the value of the row before it in the order of a hash, within buckets, so that
+    no task orders all rows; a bucket's first row takes its last one's.  A row is then scored once as it is and
+    once for each feature, and all AUCs come from one pass.  Rows with a null label do not count.
+    """
+    importable(df.sparkSession)
+    names = columns or model.columns
+    order = F.xxhash64(F.col(key), F.lit(seed))
+    rows = df.filter(F.col(label).isNotNull()).withColumns({"__b": F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(buckets)), "__h": order})
+    up = Window.partitionBy("__b").orderBy("__h", key)
+    whole = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    moved = F.when(F.row_number().over(up) > 1, F.lag("z").over(up)).otherwise(F.last("z").over(whole))
+    rows = rows.select("__b", "__h", key, F.col(label).cast("int").alias("y"), F.array(*[F.col(c).cast("double") for c in model.columns]).alias("x"), F.array(*[F.col(c).cast("double") for c in names]).alias("z"))
+    src = rows.select("y", "x", moved.alias("z"))
+    at = [model.columns.index(c) for c in names]
+
+    def run(batches):
+        for rb in batches:
+            x, z = _matrix(rb.column(1), len(model.columns), np.float64), _matrix(rb.column(2), len(at), np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(["" for _ in range(len(x))]), rb.column(0), pa.array(model.margin(x))], names=["feature", "y", "score"])
+            for j, f in enumerate(at):
+                own = x.copy()
+                own[:, f] = z[:, j]
+                yield pa.RecordBatch.from_arrays([pa.array([names[j]] * len(x)), rb.column(0), pa.array(model.margin(own))], names=["feature", "y", "score"])
+
+    aucs = stats.auc_by(src.mapInArrow(run, "feature string, y int, score double"), "score", "y", "feature")
+    base = F.max(F.when(F.col("feature") == "", F.col("auc"))).over(Window.partitionBy())  # one row a feature
+    return aucs.withColumn("auc_loss", base - F.col("auc")).filter("feature <> ''")
+
+
 def _paths(tree: Tree) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
     """For each leaf its value and, per feature on its path, (feature, low, high, share): values in (low, high] stay on
     the path, and ``share`` is the product of the covers that do at the feature's splits."""

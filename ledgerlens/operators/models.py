@@ -95,22 +95,6 @@ def cross_validated(df: DataFrame, key: str, label: str, columns: list[str], k:
     return out.withColumns({"chosen": F.lit(chosen.removeprefix("score_")), "score": F.col(chosen)}), importance
 
 
-def permutation_importance(scored: DataFrame, score_of, columns: list[str], label: str, auc, seed: int = 1) -> dict[str, float]:
-    """Loss of AUC when one column is shuffled: a model-free stand-in for per-feature attributions.
-
-    ``score_of`` scores a frame, ``auc`` reads (frame) -> float.  A column is shuffled by rotating it in the
-    order of a hash, inside buckets, so that no task holds all rows.
-    """
-    base, out = auc(score_of(scored)), {}
-    for c in columns:
-        b = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(64))
-        w = Window.partitionBy("__b").orderBy(F.xxhash64("__i", F.lit(seed)))
-        rows = scored.withColumn("__i", F.monotonically_increasing_id()).withColumn("__b", b)
-        moved = rows.withColumn(c, F.coalesce(F.lag(c).over(w), F.first(c).over(w))).drop("__i", "__b")
-        out[c] = base - auc(score_of(moved))
-    return out
-
-
 def _tree(model) -> dict[str, np.ndarray]:
     """A fitted tree's nodes in arrays: feature (-1: leaf), threshold, left, right, value."""
     rows: list[list[float]] = []
@@ -240,15 +224,17 @@ def pca_error(df: DataFrame, key: str, columns: list[str], k: int = 5) -> DataFr
 def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """(key, score): isolation forest; trees are grown on ``trees`` samples of ``sample`` rows, then applied everywhere.
 
-    The rows grown on are at most trees * sample / 4, those of least hashed key, which bounds what the driver gets.
+    The rows grown on are at most trees * sample / 4, one for each of the keys of least hash (of a repeated key the
+    least row), which bounds what the driver gets.
     """
     x = df.select(key, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x"))
     most = max(sample, trees * sample // 4)
-    total, h = x.count(), F.xxhash64(F.col(key), F.lit(seed))
-    if total > 2 * most:  # leaves about twice the bound in all, however many partitions send their least ones
-        near = x.filter(F.pmod(h, F.lit(1 << 40)) < F.lit(int(2 * most / total * (1 << 40))))
-    else:
-        near = x
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    keys = x.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    near = x
+    if keys > 2 * most:  # leaves about twice the bound in all, however many partitions send their least ones
+        near = x.filter(F.pmod(h, F.lit(1 << 40)) < F.lit(int(2 * most / keys * (1 << 40))))
+    near = near.groupBy(key).agg(F.min("x").alias("x"))
     pool = np.array([r[0] for r in near.orderBy(h, key).limit(most).select("x").collect()])
     if not len(pool):
         return df.select(key, F.lit(0.0).alias("score"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources.shared import importable
 from . import stats
 
 
@@ -121,6 +124,42 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("p")).select("p.*")
 
 
+def wide_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, corr) for every pair of many columns, pairwise complete, by blocked cross products.
+
+    Tasks multiply matrices of their rows: values less the column's mean, 0 where there is none, and where there is one.
+    Sums meet by pair, so a plan has four products and no expression per pair.  NaN counts as missing; a constant column
+    has null correlations.  Pairs are ordered by name; each column also stands with itself.  The driver gets the
+    means only.
+    """
+    importable(df.sparkSession)
+    columns, d = sorted(columns), len(columns)
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    x = df.select(F.array(*[value(c) for c in columns]).alias("x"))
+    mean = np.array([m or 0.0 for m in df.agg(*[F.avg(value(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()])
+
+    def run(batches):
+        sums = np.zeros((5, d, d))
+        for rb in batches:
+            m = rb.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d) - mean
+            here = ~np.isnan(m)
+            m, here = np.where(here, m, 0.0), here.astype(np.float64)
+            one, square = m.T @ here, (m * m).T @ here
+            sums += [here.T @ here, one, one.T, m.T @ m, square]
+        both = np.stack([*sums, sums[4].T], axis=2)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(d), pa.int32()), *(pa.array(both[:, :, k].tolist(), pa.list_(pa.float64())) for k in range(6))], names=["i", "n", "sx", "sy", "sxy", "sxx", "syy"]
+        )
+
+    names = ["n", "sx", "sy", "sxy", "sxx", "syy"]
+    parts = x.mapInArrow(run, "i int, " + ", ".join(f"{k} array<double>" for k in names))
+    pairs = parts.select("i", F.posexplode(F.arrays_zip(*names)).alias("j", "s")).filter("i <= j").groupBy("i", "j").agg(*[F.sum(f"s.{k}").alias(k) for k in names])
+    n, sx, sy, sxy, sxx, syy = (F.col(k) for k in names)
+    spread = lambda s2, s1: F.when(n * s2 - s1 * s1 > 1e-12 * n * s2, n * s2 - s1 * s1)
+    name = F.array(*[F.lit(c) for c in columns])
+    return pairs.select(F.get(name, F.col("i")).alias("a"), F.get(name, F.col("j")).alias("b"), ((n * sxy - sx * sy) / F.sqrt(spread(sxx, sx)) / F.sqrt(spread(syy, sy))).alias("corr"))
+
+
 def strongest_pair(pairs: DataFrame, limit: float = 0.7) -> DataFrame:
     """(a, b, corr, too_close): of ``correlations``, the pair of different columns with the largest one."""
     own = pairs.filter("a <> b").orderBy(F.abs("corr").desc(), "a", "b").limit(1)

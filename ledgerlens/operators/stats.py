@@ -189,19 +189,21 @@ def chi_square(df: DataFrame, a: str, b: str, total: int | None = None) -> DataF
     return g.select("chi2", ((F.col("na") - 1) * (F.col("nb") - 1)).alias("dof"), "n", v.alias("cramers_v"))
 
 
-def expected_counts(df: DataFrame, a: str, b: str) -> DataFrame:
+def expected_counts(df: DataFrame, a: str, b: str, block: int = 1024) -> DataFrame:
     """(a, b, n, expected) for every row value with every column value, empty cells too.
 
-    The table is as large as its result: row values times column values, of which the smaller list is sent
-    to every task by Spark's own size check.
+    The table is as large as its result, row values times column values.  Column values are dealt into blocks of about
+    ``block``, and each row value is sent once to every block, so no list of all of them is in one row or task.
     """
     cells = _contingency(df, a, b)
     rows, cols = cells.groupBy("a").agg(F.sum("n").alias("ra")), cells.groupBy("b").agg(F.sum("n").alias("cb"))
-    size = F.broadcast(cells.agg(F.sum("n").alias("t")))  # one row
-    lists = cols.agg(F.collect_list(F.struct("b", "cb")).alias("l"))  # a category list, as the table's header
-    grid = rows.crossJoin(lists).select("a", "ra", F.explode("l").alias("c")).select("a", "ra", F.col("c.b").alias("b"), F.col("c.cb").alias("cb"))
-    out = grid.join(cells, ["a", "b"], "left").crossJoin(size)
-    return out.select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), (F.col("ra").cast("double") * F.col("cb") / F.col("t")).alias("expected"))
+    blocks = -(-cols.count() // block) or 1
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    dealt = cols.groupBy(F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("k")).agg(F.collect_list(F.struct("b", "cb")).alias("l"))
+    sent = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    grid = sent.join(dealt, "k").select("a", "ra", F.explode("l").alias("c")).select("a", "ra", F.col("c.b").alias("b"), F.col("c.cb").alias("cb"))
+    out = grid.join(cells, ["a", "b"], "left")
+    return out.select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), (F.col("ra").cast("double") * F.col("cb") / F.lit(total)).alias("expected"))
 
 
 def chi_square_p(chi2: float, dof: int) -> float:
@@ -270,5 +272,14 @@ def threshold_counts(df: DataFrame, score: str, thresholds: list[float]) -> Data
     return g.select(F.explode(rows).alias("p")).select("p.*")
 
 
+def auc_by(df: DataFrame, score: str, label: str, group: str) -> DataFrame:
+    """(group, auc) of every group in one pass: pairs of a positive and a negative ranked right, ties half; null without one."""
+    v, y = F.col(score), F.col(label)
+    counts = df.filter(v.isNotNull() & y.isNotNull()).groupBy(group, v.alias("v")).agg(F.count_if(y == 1).alias("n1"), F.count_if(y == 0).alias("n0"))
+    below = running(counts, "v", {"upto": "n0"}, [group])
+    g = below.groupBy(group).agg(F.sum(F.col("n1") * (2 * F.col("upto") - F.col("n0"))).alias("u"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return g.select(group, F.try_divide(F.col("u"), 2 * F.col("n1") * F.col("n0")).alias("auc"))
+
+
 def fold_summary(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))

@@ -1008,11 +1008,7 @@ SELECT round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS std FROM a"""
 )
 def fold_auc_summary(spark, sf_dir):
     """Mean and population deviation of the folds' AUCs."""
-    s = scored(spark, sf_dir)
-    parts = [stats.roc_auc(s.filter(F.col("account_id") % 5 == k), "score", "y") for k in range(5)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = stats.auc_by(scored(spark, sf_dir).withColumn("fold", F.col("account_id") % 5), "score", "y", "fold")
     return rounded(stats.fold_summary(out, "auc"), "mean", "std")
 
 
@@ -1068,12 +1064,10 @@ def tree_attributions(spark, sf_dir):
 
 @query()
 def permutation_importance(spark, sf_dir):
-    """Loss of AUC of a simple score when one of its columns is shuffled."""
-    df = scored(spark, sf_dir).withColumn("noise", (F.col("account_id") % 17).cast("double"))
-    loss = models.permutation_importance(
-        df, lambda d: d.withColumn("s", F.col("score") + F.col("noise") / 1000), ["score", "noise"], "y", lambda d: stats.roc_auc(d, "s", "y").first().auc
-    )
-    return spark.createDataFrame(sorted(loss.items()), "feature string, auc_loss double")
+    """Loss of AUC of a fitted model (8 rounds of leaf-wise boosting on twenty features) when one feature is shuffled."""
+    df = Tables(spark).keep(_numeric(spark, sf_dir).withColumn("fold", F.lit(0)), "rows")
+    model = boosting.train(df, "account_id", "is_mule", _FEATURES, k=1, params=boosting.Params(rounds=8, patience=8))[0]
+    return boosting.permutation_importance(df, "account_id", "is_mule", model)
 
 
 @query()
@@ -1275,3 +1269,14 @@ def csv_quarantine(spark, sf_dir):
     sums = good.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"), F.max("o_orderdate").cast("date").cast("string").alias("last_day"))
     rest = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     return sums.select(F.lit("good").alias("reason"), "n", "total", "last_day").unionByName(rest, allowMissingColumns=True)
+
+
+@query(
+    f"""WITH w AS ({_full_sql()}), d AS (SELECT account_id, CAST(COLUMNS(* EXCLUDE (account_id)) AS DOUBLE) FROM w),
+l AS (UNPIVOT d ON COLUMNS(* EXCLUDE (account_id)) INTO NAME f VALUE v)
+SELECT a.f AS a, b.f AS b, round(CASE WHEN min(a.v) < max(a.v) AND min(b.v) < max(b.v) THEN corr(a.v, b.v) END, 6) AS corr FROM l a JOIN l b ON a.account_id = b.account_id AND a.f <= b.f GROUP BY 1, 2"""
+)
+def feature_correlations(spark, sf_dir):
+    """All 7,503 pairs of the 122 features."""
+    df = Tables(spark).keep(feature_table(spark, sf_dir), "features")
+    return rounded(profile.wide_correlations(df, [c for c in df.columns if c != "account_id"]), "corr")
