@@ -863,13 +863,13 @@ def label_propagation(spark, sf_dir):
 def communities(spark, sf_dir):
     """Communities of accounts and counterparties by modularity, and the modularity of the division."""
     e = graph.edges(txn_t(spark, sf_dir))
-    found = graph.communities(e, gain=1e-3)
+    found = graph.communities(e, patience=2, gain=1e-3)
     return found.crossJoin(F.broadcast(graph.modularity(e, found).select("modularity")))  # one row
 
 
 @query()
 def betweenness(spark, sf_dir):
-    return graph.betweenness(graph.edges(txn_t(spark, sf_dir)))
+    return graph.betweenness(graph.edges(txn_t(spark, sf_dir)), epsilon=0.1)
 
 
 @query(f"WITH {SCORED} SELECT account_id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(account_id AS VARCHAR) || ':42')) - 1) % 5 AS INT) AS fold FROM s")

@@ -166,12 +166,13 @@ def test_shapley_by_enumeration(seed, depth, n):
         assert expected + got[r].sum() == pytest.approx(value_of(tree, row, set(range(n))), abs=1e-11)
 
 
-def test_written_tables_are_deleted(spark, data):
-    import glob
+def test_written_tables_are_deleted(spark, data, monkeypatch):
+    from ledgerlens.sources import shared
 
-    from ledgerlens.sources.shared import shared_dir
-
-    base = shared_dir(spark).removeprefix("file:").replace("///", "/")
-    before = set(glob.glob(f"{base}/tables-*/*"))
+    made = []
+    keep = shared.Tables.keep
+    monkeypatch.setattr(shared.Tables, "keep", lambda self, df, name: (made.append(f"{self.base}/{name}-{self.n + 1}"), keep(self, df, name))[1])
     boosting.train(data[2], "id", "y", list("abc"), k=3, params=boosting.Params(leaves=3, rounds=9, patience=99, bins=4))
-    assert set(glob.glob(f"{base}/tables-*/*")) == before
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there = [p for p in made if path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(p))]
+    assert len(made) == 2 and not there
