@@ -113,8 +113,13 @@ def mime_type(path: Column) -> Column:
     return F.when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext == "png", "image/png").when(ext == "gif", "image/gif").when(ext == "svg", "image/svg+xml").otherwise("application/octet-stream")
 
 
+def base64_text(content: Column) -> Column:
+    """Base64 in one line: Spark breaks it after every 76 characters."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+
+
 def data_uri(path: Column, content: Column) -> Column:
-    return F.concat(F.lit("data:"), mime_type(path), F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), mime_type(path), F.lit(";base64,"), base64_text(content))
 
 
 def numbered_tables(lines: DataFrame, doc: str = "doc_id", line: str = "line_no", text: str = "line") -> DataFrame:

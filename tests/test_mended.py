@@ -1,10 +1,12 @@
 """Operators that were mended: by blocks, by distinct keys, by one pass."""
 
+import base64
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import boosting, models, profile, stats
+from ledgerlens.operators import boosting, models, profile, stats, text
 
 
 def test_expected_counts_by_blocks(spark):
@@ -51,3 +53,11 @@ def test_auc_by_group_and_permutation(spark):
     pos, neg = [[m for m, (_, a, b, _) in zip(margin, rows) if int(a + 0.3 * b > 0) == v] for v in (1, 0)]
     base = np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg])
     assert got["a"].auc + got["a"].auc_loss == pytest.approx(base, abs=1e-9)
+
+
+def test_base64_of_long_text_is_one_line(spark):
+    rows = [(n, "x" * n + ".PNG") for n in (0, 50, 53, 54, 300)]
+    df = spark.createDataFrame(rows, "n int, url string")
+    for r in df.select("url", text.base64_text(F.col("url")).alias("b"), text.data_uri(F.col("url"), F.col("url")).alias("u")).collect():
+        want = base64.b64encode(r.url.encode()).decode()
+        assert r.b == want and r.u == f"data:image/png;base64,{want}"
