@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..sources.shared import kept
+from ..sources.shared import Tables, kept
 from . import ordered, stats
 
 # Channels with a rate of their own, and high-risk merchant codes.
@@ -67,9 +67,19 @@ def basic_stats(txn: DataFrame, mcc: bool = True) -> DataFrame:
     ``txn_count`` counts transaction ids.  Quantiles go by ranges of amounts and distinct counts by pairs,
     so an account with most of the rows is no single task's.
     """
+    txn = gathered(txn.select(KEY, "transaction_id", TS, AMT, "counterparty_id", *(["mcc_code"] if mcc else [])))
     return _derive_basic(_with_spread(txn, txn.groupBy(KEY).agg(*_named(_basic())), mcc))
 
 
+def gathered(txn: DataFrame) -> DataFrame:
+    """``txn`` written once, an account's rows side by side, for the passes that follow.
+
+    What makes ``txn`` is then not done again for each pass, and partial aggregates give a row or two an account instead of
+    one for nearly every transaction.  Spark splits the part of an account that has far more rows than others.
+    """
+    return Tables(txn.sparkSession).keep(txn.hint("rebalance", KEY), "transactions")
+
+
 def _named(aggs: dict[str, Column]) -> list[Column]:
     return [c.alias(k) for k, c in aggs.items()]
 
@@ -301,6 +311,7 @@ def build(txn: DataFrame, accounts: DataFrame, customers: DataFrame, products: D
     All plain aggregates share one groupBy on the account; entropies, days, gaps, distinct counts and
     quantiles use a finer key first.  ``channels`` and ``mccs``: the categories with a rate of their own.
     """
+    txn = gathered(txn)
     plain = _basic() | _flow() | _temporal() | _structuring() | _rates("channel", channels, "ch_", True) | _rates("mcc_code", mccs, "mcc_", False)
     one = _derive_flow(_derive_basic(_with_spread(txn, txn.groupBy(KEY).agg(*_named(plain)), True))).drop("first_txn", "last_txn")
     finer = [entropy(txn, "channel", "channel_entropy", "n_channels_used"), entropy(txn, F.hour(TS), "hour_entropy"), entropy(txn, "mcc_code", "mcc_entropy"), gaps(txn), bursts(txn)]

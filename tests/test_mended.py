@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import boosting, models, profile, stats, text
+from ledgerlens.operators import boosting, features, models, profile, stats, text
+from ledgerlens.plans import catalog
+from ledgerlens.sources import binding
 
 
 def test_expected_counts_by_blocks(spark):
@@ -61,3 +63,13 @@ def test_base64_of_long_text_is_one_line(spark):
     for r in df.select("url", text.base64_text(F.col("url")).alias("b"), text.data_uri(F.col("url"), F.col("url")).alias("u")).collect():
         want = base64.b64encode(r.url.encode()).decode()
         assert r.b == want and r.u == f"data:image/png;base64,{want}"
+
+
+def test_transactions_and_numbers_are_read_from_one_written_table(spark, sf):
+    """Each pass joined lines and orders anew before, and each fit and fold made all features anew."""
+    numeric = catalog._numeric(spark, sf)
+    assert numeric.inputFiles() and not [f for f in numeric.inputFiles() if "lineitem" in f or "orders" in f]
+    txn = binding.txn_t(spark, sf, mcc=True)
+    basic = features.basic_stats(txn)
+    assert basic.inputFiles() and not [f for f in basic.inputFiles() if "lineitem" in f or "orders" in f]
+    assert basic.agg(F.sum("txn_count")).first()[0] == txn.count()
