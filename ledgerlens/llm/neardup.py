@@ -244,12 +244,12 @@ def _rest(named, reps, pool, hot, least, batch, percent, width):
     """Candidates (a, b) across components, from all buckets that are still open."""
     g = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
     blocks = spread(g.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), hot, ["key"])
-    rows = named.join(blocks, ["key", "salt"])
+    cells = pool.join(named.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(lambda it: _cells(it, width), "id long, cells binary")
+    # Members meet what is compared while they are one row a bucket; only then are they repeated for each block.
+    rows = named.join(blocks, ["key", "salt"]).join(reps.select("id", "sig", "bands").join(cells, "id"), "id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "label", "n", "c")
-    cells = pool.join(named.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(lambda it: _cells(it, width), "id long, cells binary")
-    rows = rows.join(reps.select("id", "sig", "bands"), "id").join(cells, "id")
+    rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "label", "n", "c", "sig", "cells", "bands")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(lambda it: _pairs_by_group(it, least, batch, percent), "a long, b long")
 
@@ -327,7 +327,9 @@ def near_duplicates(
         rows = scratch.keep(rows.mapInArrow(lambda it: _members(it, width), "label long, id long, s long"), "shingles")
         shared = _shared(scratch, rows, reps)
         scratch.drop(rows)
-        named = scratch.keep(open_.join(shared, "id"), "counted")
+        # With fewer shared shingles than this a text reaches no other, whatever its bucket holds.
+        able = shared.filter(_reaches(F.col("c"), F.col("n"), F.col("c"), percent))
+        named = scratch.keep(open_.join(able, "id"), "counted")
         small = named.groupBy("key").agg(F.min("n").alias("least"))
         fits = _reaches(F.col("c"), F.col("n"), F.greatest("least", "c"), percent)
         reach = scratch.keep(named.join(spread(small, hot, ["key"]), ["key", "salt"]).filter(fits).drop("least"), "reach")

@@ -110,3 +110,14 @@ def test_prune_table_keeps_true_pairs():
 @pytest.mark.parametrize("text,n", [("", 0), ("a", 1), ("a b c d", 1), ("a b c d e", 1), ("a b c d e f", 2), ("x x x x x x x", 1), ("a b c", 1)])
 def test_shingle_counts(text, n):
     assert len(shingle_set(text)) == n
+
+
+def test_blocks_repeat_members_after_the_joins(spark):
+    """A large bucket's members are repeated for each pair of blocks once all joins are done, so no join grows with its square."""
+    named = spark.createDataFrame([(1, 0, i, i, 10, 9) for i in range(6)], "key long, salt int, id long, label long, n long, c long")
+    reps = spark.createDataFrame([(i, bytearray(256), [1] * neardup.BANDS) for i in range(6)], "id long, sig binary, bands array<long>")
+    pool = spark.createDataFrame([(i, "a b c d e f") for i in range(6)], SCHEMA.replace("doc_id", "id"))
+    hot = spark.createDataFrame([], "key long, salts int")
+    pairs = neardup._rest(named, reps, pool, hot, [0] * 8, 16, 75, 5)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
