@@ -77,13 +77,18 @@ def histogram(df: DataFrame, value: str, bins: int, label: str | None = None) ->
     return n.withColumn("density", F.try_divide(F.col("n"), total * F.col("__w"))).drop("__w")
 
 
+SALTS = 16
+
+
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, and the furthest values within 1.5 interquartile ranges of them."""
     v = F.col("v")
     counts = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("__c"))
     q = stats.quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group])
     r = 1.5 * (F.col("q3") - F.col("q1"))
-    j = counts.join(q, group)
+    # A group's distinct values meet its quartiles in SALTS tasks, as one group may hold most of the rows.
+    q = q.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    j = counts.withColumn("__salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(q, [group, "__salt"])
     return j.groupBy(group, "q1", "median", "q3").agg(
         F.min(F.when(v >= F.col("q1") - r, v)).alias("low_whisker"), F.max(F.when(v <= F.col("q3") + r, v)).alias("high_whisker"),
         F.coalesce(F.sum(F.when((v < F.col("q1") - r) | (v > F.col("q3") + r), F.col("__c"))), F.lit(0)).alias("n_outliers"),

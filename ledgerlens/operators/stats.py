@@ -29,7 +29,7 @@ def ranges(df: DataFrame, column: str, parts: int | None = None) -> Column:
         some = sorted(r[0] for r in least.collect())
         found = [some[i * len(some) // parts] for i in range(1, parts)] if some else []
     else:
-        found = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+        found = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], max(1000, 8 * parts))).first()[0] or []
     bounds = sorted({b for b in found if b == b})  # NaN is above all bounds
 
     def place(lo: int, hi: int) -> Column:
@@ -81,22 +81,31 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[s
     of nulls alone gives no row.
     """
     rows = df.select(*within, F.col(value).alias("v")).filter(F.col("v").isNotNull())
-    large = rows.groupBy(*[F.col(k).alias(f"__w_{k}") for k in within]).count().filter(F.col("count") > hot).drop("count")
+    large = rows.groupBy(*[F.col(k).alias(f"__w_{k}") for k in within]).count().filter(F.col("count") > hot)
+    n = large.agg(F.sum("count")).first()[0]
+    large = F.broadcast(large.drop("count"))  # rows / hot rows; by a shuffle each large group would be one task's
     small, parts = rows, []
-    if not large.isEmpty():
+    if n:
         same = F.lit(True)
         for k in within:
             same &= F.col(k).eqNullSafe(F.col(f"__w_{k}"))
-        parts.append(_spread_quantiles(rows.join(large, same, "left_semi"), probs, within))
+        parts.append(_spread_quantiles(rows.join(large, same, "left_semi"), probs, within, n))
         small = rows.join(large, same, "left_anti")
     q = small.groupBy(*within).agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("q"))
     out = q.select(*within, *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(probs)])
     return out.unionByName(parts[0]) if parts else out
 
 
-def _spread_quantiles(rows: DataFrame, probs: dict[str, float], within: list[str]) -> DataFrame:
+RANGE = 1 << 20  # rows of a range of values, up to RANGES of them
+RANGES = 512
+
+
+def _spread_quantiles(rows: DataFrame, probs: dict[str, float], within: list[str], n: int) -> DataFrame:
+    """``n``: how many rows there are; ranges grow in number with them, not in size."""
     counts = rows.groupBy(*within, "v").agg(F.count(F.lit(1)).alias("__c"))
-    cum = running(counts, "v", {"__upto": "__c"}, within, whole={"__n": "__c"}, at=ranges(rows, "v"))
+    parts = min(RANGES, -(-n // RANGE))
+    at = ranges(rows, "v", parts if parts > 64 else None)
+    cum = running(counts, "v", {"__upto": "__c"}, within, whole={"__n": "__c"}, at=at)
     place = {k: F.lit(p) * (F.col("__n") - 1) for k, p in probs.items()}
     least = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("v")))  # noqa: E731 - the value at a rank from 0
     g = cum.groupBy(*within).agg(F.first("__n").alias("__n"), *[least(f(x)).alias(f"__{side}_{k}") for k, x in place.items() for side, f in (("lo", F.floor), ("hi", F.ceil))])

@@ -125,3 +125,20 @@ def test_two_hop_unions_are_counted_where_sets_meet(spark, capsys):
         # Unions of 4 KB for each account and block were shuffled and sorted before.
         found.explain()
         assert "bitmap_or_agg" not in capsys.readouterr().out
+
+
+def test_large_groups_meet_in_many_tasks(spark):
+    """Without Spark's own broadcasts, rows of large groups are told from others where they are, not by a shuffle on the group."""
+    df = spark.range(400).select((F.col("id") % 2).alias("g"), (F.col("id") * 7 % 400).cast("double").alias("v"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = stats.quantiles(df, "v", {"m": 0.5}, ["g"], hot=50)
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.split("\n") if "SortMergeJoin" in x and ("LeftSemi" in x or "LeftAnti" in x)]
+        assert [r.m for r in q.orderBy("g").collect()] == [199.0, 200.0]
+        box = profile.box_stats(df, "g", "v")
+        assert "__salt" in [x for x in box._jdf.queryExecution().executedPlan().toString().split("\n") if "SortMergeJoin" in x][0]
+        assert [(r.low_whisker, r.high_whisker, r.n_outliers) for r in box.orderBy("g").collect()] == [(0.0, 398.0, 0), (1.0, 399.0, 0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
