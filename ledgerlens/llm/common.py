@@ -132,16 +132,33 @@ def hot_keys(scratch: Scratch, counts: DataFrame, keys: list[str], n: str = "c")
     return scratch.keep(hot.select(*keys, F.ceil(F.col(n) * HOT_SHARE / F.lit(max(1, total))).cast("int").alias("salts")), "hot")
 
 
+def _tasks(hot: DataFrame, keys: list[str]) -> Column:
+    """Into how many tasks a row's key is dealt: 1, or the ``salts`` of a hot key.
+
+    Their hashes (HOT_SHARE at most) are read once and written into the plan, so that no rows go through a join to learn
+    it.  Keys of one hash are dealt alike on both sides of a later join, so nothing is lost by it.
+    """
+    held = getattr(hot, "_tasks", None)
+    if held is None:
+        held = {}
+        for h, m in hot.select(F.xxhash64(*keys), "salts").collect():
+            held.setdefault(m, []).append(h)
+        hot._tasks = held  # noqa: SLF001 - read once for all plans
+    if not held:
+        return F.lit(1)
+    among = lambda hashes: f"xxhash64({', '.join(keys)}) IN ({', '.join(f'{h}L' for h in hashes)})"
+    each = " ".join(f"WHEN {among(hashes)} THEN {m}" for m, hashes in sorted(held.items()))
+    return F.expr(f"CASE WHEN {among([h for hashes in held.values() for h in hashes])} THEN CASE {each} END ELSE 1 END")
+
+
 def salted(rows: DataFrame, hot: DataFrame, keys: list[str], by: Column) -> DataFrame:
     """``rows`` with ``salt``: 0, and for hot keys a number that ``by`` hashes to."""
-    out = rows.join(F.broadcast(hot), keys, "left")  # HOT_SHARE rows at most
-    return out.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), _tasks(hot, keys)).cast("int"))
 
 
 def spread(small: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """``small``, a table with one row per key, repeated for every salt of a hot key."""
-    out = small.join(F.broadcast(hot), keys, "left")
-    return out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), _tasks(hot, keys) - 1)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
