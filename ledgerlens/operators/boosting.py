@@ -27,6 +27,8 @@ from . import stats
 
 AUC_BINS = 10_000  # equal score bins in which validation rows are counted
 REWRITE = 8  # rounds after which margins are written, so that no row walks more trees than that
+TASK_ROWS = 1 << 14  # rows of a task, at least: each sends its sums of all leaves, so tasks beyond the cores only add to them
+TOGETHER = 4_000_000  # bytes of sums that leave a task at once
 
 
 @dataclass
@@ -272,7 +274,10 @@ def _totals(batches, plan: _Pass):
 
 
 def _histograms(batches, plan: _Pass):
-    """(m, f, part, sums): per model and feature the sums of each wanted leaf and bin, over this task's rows."""
+    """(m, f, part, at, sums): per model and feature the sums of each wanted leaf and bin, over this task's rows.
+
+    ``at``: the places that have rows where that is shorter, else empty and ``sums`` has all places.
+    """
     from pyspark import TaskContext
 
     made: dict[tuple[int, int], np.ndarray] = {}
@@ -294,14 +299,25 @@ def _histograms(batches, plan: _Pass):
                 if size < 2:
                     continue
                 place, n = at * size + x[rows, f], len(wanted) * size
-                own = np.stack([np.bincount(place, weights=g, minlength=n), np.bincount(place, weights=hess, minlength=n), np.bincount(place, minlength=n).astype(np.float64)], axis=1)
+                own = np.stack([np.bincount(place, weights=g, minlength=n), np.bincount(place, weights=hess, minlength=n), np.bincount(place, minlength=n).astype(np.float64)])
                 key = (m, f)
                 made[key] = own if key not in made else made[key] + own
     task = TaskContext.get().partitionId()
+    rows, size = [], 0
+
+    def batch():
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["m", "f", "part", "at", "sums"])
+
     for (m, f), sums in made.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([m], pa.int32()), pa.array([f], pa.int32()), pa.array([task], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["m", "f", "part", "sums"]
-        )
+        at = np.flatnonzero(sums[2])
+        rows.append((m, f, task, at.astype(np.int32).tobytes(), sums[:, at].tobytes()) if 2 * len(at) < sums.shape[1] else (m, f, task, b"", sums.tobytes()))
+        size += len(rows[-1][4])
+        if size > TOGETHER:
+            yield batch()
+            rows, size = [], 0
+    if rows:
+        yield batch()
 
 
 def _best(batches, plan: _Pass):
@@ -310,8 +326,8 @@ def _best(batches, plan: _Pass):
 
     def settle(m, f, sums):
         size = plan.sizes[f]
-        sums = sums.reshape(-1, size, 3)
-        left, total = sums.cumsum(1)[:, :-1], sums.sum(1)[:, None, :]
+        below = sums.reshape(3, -1, size).cumsum(2)  # each kind of sum side by side: many times faster than three in turn
+        left, total = np.moveaxis(below[:, :, :-1], 0, -1), np.moveaxis(below[:, :, -1:], 0, -1)
         gain = split_gain(left, total, plan.p)
         at = gain.argmax(1)
         for k, node in enumerate(plan.wanted[m]):
@@ -321,14 +337,13 @@ def _best(batches, plan: _Pass):
 
     now, held = None, None
     for rb in batches:
-        for m, f, sums in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(3)):
-            own = np.frombuffer(sums.as_py(), dtype=np.float64)
+        for m, f, at, sums in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(3), rb.column(4)):
+            at, own = np.frombuffer(at.as_py(), dtype=np.int32), np.frombuffer(sums.as_py(), dtype=np.float64).reshape(3, -1)
             if (m, f) != now:
                 if now:
                     settle(*now, held)
-                now, held = (m, f), own
-            else:
-                held = held + own
+                now, held = (m, f), np.zeros((3, len(plan.wanted[m]) * plan.sizes[f]))
+            held[:, at if len(at) else slice(None)] += own
     if now:
         settle(*now, held)
     if best:
@@ -378,7 +393,10 @@ def train(df: DataFrame, key: str, label: str, columns: list[str], fold: str = "
             yield pa.RecordBatch.from_arrays([*rb.columns[:4], rows, pa.array([base] * len(x), pa.list_(pa.float64()))], names=["k", "y", "part", "h", "x", "margin"])
 
     schema = "k int, y double, part int, h long, x binary, margin array<double>"
-    rows = tables.keep(src.mapInArrow(binned, schema), "binned")
+    cores = spark.sparkContext.defaultParallelism  # the search for cuts is far more work than its bytes tell
+    tasks = max(1, min(cores, sum(n for _, n in classes.values()) // TASK_ROWS))
+    # In the order of the hash, so that sums are made in one order whatever the files were.
+    rows = tables.keep(src.mapInArrow(binned, schema).repartition(tasks, "h").sortWithinPartitions("h"), "binned")
     live = {m for m in range(k) if abs(base[m]) < 1}
     since: dict[int, list[Tree]] = {m: [] for m in range(k)}  # trees that the written margins lack
     best = {m: (-1.0, 0) for m in range(k)}
@@ -401,7 +419,7 @@ def train(df: DataFrame, key: str, label: str, columns: list[str], fold: str = "
         growths = {m: Growth(sums[m], chosen_features(len(columns), p.features, p.seed, m, round_), p) for m in sorted(live)}
         while wanted := {m: opened for m, g in growths.items() if (opened := g.open())}:
             plan = _Pass(p, round_, weights, {m: since[m] for m in sorted(live)}, growths, wanted, len(columns), cuts, k)
-            met = rows.mapInArrow(lambda it: _histograms(it, plan), "m int, f int, part int, sums binary").repartition("m", "f").sortWithinPartitions("m", "f", "part")
+            met = rows.mapInArrow(lambda it: _histograms(it, plan), "m int, f int, part int, at binary, sums binary").repartition(cores, "m", "f").sortWithinPartitions("m", "f", "part")
             found = met.mapInArrow(lambda it: _best(it, plan), "m int, node int, gain double, f int, cut int, left array<double>").collect()
             for m, node, gain, f, cut, left in found:
                 growths[m].offer(node, gain, f, cut, tuple(left))

@@ -176,3 +176,16 @@ def test_written_tables_are_deleted(spark, data, monkeypatch):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     there = [p for p in made if path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(p))]
     assert len(made) == 2 and not there
+
+
+def test_models_do_not_depend_on_how_rows_lie_in_files(spark):
+    """Sums are made in the order of the key's hash by tasks of a number that the rows give, so each is the same to the last bit."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 3))
+    rows = [(i, int(v[0] + v[1] * v[2] > 0.3), i % 2, *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, y int, fold int, a double, b double, c double")
+    p = boosting.Params(rounds=3, patience=3, leaves=8)
+    one, many = (boosting.train(d, "id", "y", ["a", "b", "c"], k=2, params=p) for d in (df.repartition(1), df.repartition(7)))
+    for m, n in zip(one, many):
+        assert len(m.trees) == len(n.trees) > 0
+        assert all(np.array_equal(s.value, t.value) and np.array_equal(s.feature, t.feature) for s, t in zip(m.trees, n.trees))
