@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..sources.shared import importable
+from ..sources.shared import Tables, importable
 from . import stats
 
 
@@ -32,7 +32,9 @@ def class_summary(df: DataFrame, label: str, value: str) -> DataFrame:
     """(label, n, mean, std, min, max, p25, median, p75, p95).
 
     Two or three classes hold all rows: moments are partial sums, and large classes' quantiles come from ranges of values.
+    The two columns are written once, so that what makes ``df`` is not done again, nor held beside the sums, in each pass.
     """
+    df = Tables(df.sparkSession).keep(df.select(label, value), "values")
     v = F.col(value)
     g = df.groupBy(label).agg(F.count(v).alias("n"), X.exact_mean(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
     q = stats.quantiles(df, value, QUARTILES, [label]).withColumnRenamed(label, "__label")

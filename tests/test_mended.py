@@ -73,3 +73,21 @@ def test_transactions_and_numbers_are_read_from_one_written_table(spark, sf):
     basic = features.basic_stats(txn)
     assert basic.inputFiles() and not [f for f in basic.inputFiles() if "lineitem" in f or "orders" in f]
     assert basic.agg(F.sum("txn_count")).first()[0] == txn.count()
+
+
+def test_class_summary_reads_two_written_columns(spark, sf):
+    """Each pass joined lines, orders and customers anew before, and every line was sorted again for its label."""
+    labelled = catalog.labelled_t(spark, sf)
+    got = profile.class_summary(labelled, "is_mule", "amount")
+    assert got.inputFiles() and not [f for f in got.inputFiles() if any(t in f for t in ("lineitem", "orders", "customer"))]
+    assert {r.is_mule: r.n for r in got.collect()} == {r.is_mule: r.n for r in labelled.groupBy("is_mule").agg(F.count("amount").alias("n")).collect()}
+
+
+def test_labels_meet_orders_not_lines(spark, sf):
+    labels = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("account_id"), F.when(F.col("c_acctbal") < 0, 1).otherwise(0).alias("is_mule"))
+    want = binding.txn_t(spark, sf, True).join(labels, "account_id", "left")
+    got = catalog.labelled_t(spark, sf, True)
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    before, now = (df._jdf.queryExecution().optimizedPlan().toString() for df in (want, got))
+    line = lambda plan: [x for x in plan.splitlines() if "Join" in x][0]  # noqa: E731 - the join that is made last
+    assert "account_id" in line(before) and "l_partkey" in line(now)
