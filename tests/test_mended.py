@@ -91,3 +91,12 @@ def test_labels_meet_orders_not_lines(spark, sf):
     before, now = (df._jdf.queryExecution().optimizedPlan().toString() for df in (want, got))
     line = lambda plan: [x for x in plan.splitlines() if "Join" in x][0]  # noqa: E731 - the join that is made last
     assert "account_id" in line(before) and "l_partkey" in line(now)
+
+
+def test_ids_of_transactions_are_counted_not_shuffled(spark):
+    rows = [(None if i % 5 == 0 else i, i % 3, float(i)) for i in range(60)]
+    txn = spark.createDataFrame(rows, "transaction_id long, account_id long, amount double")
+    got = features.gathered(txn)
+    assert {r[0] for r in got.select("transaction_id").distinct().collect()} == {None, 1}
+    count = lambda df: sorted(map(tuple, df.groupBy("account_id").agg(F.count("transaction_id"), F.count("*"), F.sum("amount")).collect()))
+    assert count(got) == count(txn)
